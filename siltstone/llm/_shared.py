@@ -69,8 +69,8 @@ def membership_filter(keys: DataFrame, column: str) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
 
 
-def maybe_member(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the filter: none that is gets lost.
+def mark_maybe(df: DataFrame, column: str, bits: DataFrame, flag: str = "__maybe") -> DataFrame:
+    """Adds whether a row's key may be in the filter: true for every key that is, and for a few others.
 
     The broadcast side holds 2**27 bits at most, however many keys it stands for.
     """
@@ -78,7 +78,22 @@ def maybe_member(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     at = F.bitmap_bit_position(bit)
     byte = F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))
     isset = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
-    return df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "__bucket").where(isset).drop("__bucket", "__bits")
+    joined = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "__bucket", "left")
+    return joined.withColumn(flag, F.coalesce(isset, F.lit(False))).drop("__bucket", "__bits")
+
+
+def maybe_member(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter: none that is gets lost."""
+    return mark_maybe(df, column, bits).where("__maybe").drop("__maybe")
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose key is not among ``keys``: an anti join that moves only rows that may be dropped."""
+    names = df.columns
+    marked = mark_maybe(df.withColumn("__key", key), "__key", membership_filter(keys, column))
+    stay = marked.where(~F.col("__maybe")).select(names)
+    rest = marked.where("__maybe").join(keys.select(F.col(column).alias("__key")), "__key", "left_anti").select(names)
+    return stay.unionByName(rest)
 
 
 def row_slices(batch, column: str, most: int = 6_000_000):

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import _shared
 from .decontam import contaminated, find_contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .packing import pack
 from .sharding import assign_shards
+from .simhash import near_groups
 from .tokens import token_index, write_tokens
 
 
@@ -33,12 +35,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumnRenamed("id", "doc_id").withColumn("law", F.lit("key"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"), min_sites=10)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(_shared.text_of("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shared.new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_index(spark, path)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
@@ -51,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op4_token_files, op6_packing, op10_decontamination)
+    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op10_decontamination)
 }
 
 ORACLE_SQL = {
@@ -59,4 +71,14 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window w as (partition by coalesce(text, ''))""",
+    "op3_line_dedup": r"""
+        with lines as (
+            select doc_id, source, i, list_extract(parts, i) as line, trim(list_extract(parts, i), ' ' || chr(9) || chr(13)) as bare
+            from (select doc_id, source, string_split(text, chr(10)) as parts from documents where text is not null) d,
+                 lateral (select unnest(range(1, len(parts) + 1)) as i) u),
+        common as (select bare, min(doc_id) as first_id from lines where bare <> '' group by bare having count(distinct source) >= 10),
+        judged as (select l.*, c.bare is not null and l.doc_id <> c.first_id as gone from lines l left join common c using (bare))
+        select d.doc_id, count(j.i) as n_lines, count(j.i) filter (where gone) as n_removed,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+        from documents d left join judged j on d.doc_id = j.doc_id group by d.doc_id""",
 }

@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .packing import pack
 from .sharding import assign_shards
 from .simhash import near_groups
+from .substring_dedup import substring_dedup
 from .tokens import token_index, write_tokens
 
 
@@ -55,6 +56,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"), width=13)
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join("item_ids", ",")
@@ -63,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op10_decontamination)
+    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op10_decontamination)
 }
 
 ORACLE_SQL = {

@@ -108,3 +108,29 @@ def row_slices(batch, column: str, most: int = 6_000_000):
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts, cuts[1:]):
         yield batch.slice(lo, hi - lo)
+
+
+def per_process(key: str, make):
+    """make(), once for each worker process. Tokenizers keep memory when they are freed, so a task must not make its own."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_siltstone_process", types.ModuleType("_siltstone_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def give_back_memory() -> None:
+    """At a task's end: what its buffers leave unused goes back to the system, as the worker process lives on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

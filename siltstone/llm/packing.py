@@ -75,9 +75,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, t
         import numpy as np
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer)
+        encoder = _shared.per_process(f"words {tokenizer}", lambda: WordEncoder(tokenizer))
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text"):
+            for rows in _shared.row_slices(batch, "text", 3_000_000):
                 ids, offsets = encoder.encode(rows.column("text"))
                 doc, start, length, crc, total, kind = [], [], [], [], [], []
                 for i, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
@@ -89,6 +89,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, t
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        _shared.give_back_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _shared.text_of(text_column).alias("text"))
     return rows.mapInArrow(cut, T.StructType(fields))

@@ -19,40 +19,122 @@ from . import _shared
 END_ID = 1
 
 
+#: Letters with ASCII signs after them; the tokenizer always parts the two. Apostrophes may belong to a contraction.
+_CORE_TAIL = r"^(?P<core>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+
+
 class WordEncoder:
     """Encodes whole texts through their words, each distinct word once.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order. Words are remembered up to ``limit``.
+    text are those of its words in order; likewise for a word of letters and
+    the signs after it. Unknown words of letters are encoded many to a call: in
+    this vocabulary the last token of each is marked. Where the marks do not
+    come out right (letters that the tokenizer sees otherwise), and for all
+    other words, each is encoded by itself. The first ``limit`` units are
+    remembered.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    CALL = 1000
+
+    def __init__(self, path: str, limit: int = 200_000) -> None:
+        import numpy as np
+        import pyarrow as pa
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self._forget()
+        self.plain = Tokenizer(self.tokenizer.model)  # for lower-case ASCII letters, which nothing but white space parts
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known = pa.array([], pa.string())
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _forget(self) -> None:
+    def _each(self, words: list[str]):
         import numpy as np
 
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        ids = [e.ids for at in range(0, len(words), 10 * self.CALL) for e in self.tokenizer.encode_batch_fast(words[at : at + 10 * self.CALL], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _learn(self, words: list[str]):
+    def _letters(self, words: list[str], tokenizer=None):
+        """Ids and lengths of words of letters."""
         import numpy as np
 
-        if len(self.known) + len(words) > self.limit:
-            self._forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new))))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, lengths])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        tokenizer = tokenizer or self.tokenizer
+
+        flats, lengths = [], []
+        for at in range(0, len(words), 50 * self.CALL):
+            calls = [words[i : i + self.CALL] for i in range(at, min(at + 50 * self.CALL, len(words)), self.CALL)]
+            for call, made in zip(calls, tokenizer.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False)):
+                flat = np.array(made.ids, np.uint32)
+                ends = np.flatnonzero(self.closes[np.minimum(flat, len(self.closes) - 1)]) + 1
+                if len(ends) == len(call) and len(flat) == (ends[-1] if len(ends) else 0):
+                    flats.append(flat), lengths.append(np.diff(ends, prepend=0))
+                else:
+                    flat, length = self._each(call)
+                    flats.append(flat), lengths.append(length)
+        return np.concatenate(flats), np.concatenate(lengths)
+
+    def _units(self, units, encode):
+        """units: distinct strings (Arrow). Their ids, laid end to end: flat, start, length."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place = pc.fill_null(pc.index_in(units, self.known), -1).to_numpy()
+        old, fresh = place >= 0, np.flatnonzero(place < 0)
+        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        start[old], length[old] = self.start[place[old]], self.length[place[old]]
+        flat = self.flat
+        if len(fresh):
+            new = units.take(pa.array(fresh))
+            ids, n = encode(new.to_pylist())
+            at = len(self.flat) + np.cumsum(n) - n
+            start[fresh], length[fresh] = at, n
+            flat = np.concatenate([self.flat, ids])
+            kept = min(len(new), self.limit - len(self.known))
+            if kept > 0:
+                self.known = pa.concat_arrays([self.known, new.slice(0, kept)])
+                self.flat = flat[: len(self.flat) + int(n[:kept].sum())]
+                self.start, self.length = np.concatenate([self.start, at[:kept]]), np.concatenate([self.length, n[:kept]])
+        return flat, start, length
+
+    def _words(self, words):
+        """Ids of distinct words: flat, and start and length of each."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        parts = pc.extract_regex(words, _CORE_TAIL)
+        dotted = pc.match_substring(words, "\u0130")  # lower case ends in a mark, which joins the signs after it
+        split = pc.and_(pc.is_valid(parts), pc.invert(dotted))
+        plain = split.to_numpy(zero_copy_only=False)
+        pieces = []
+        cores = pc.struct_field(parts, "core").filter(split)
+        ascii = pc.string_is_ascii(cores)
+        lower = ascii.to_numpy(zero_copy_only=False)
+        for units, rows, encode in (
+            (pc.ascii_lower(cores.filter(ascii)), np.flatnonzero(plain)[lower], lambda x: self._letters(x, self.plain)),
+            (cores.filter(pc.invert(ascii)), np.flatnonzero(plain)[~lower], self._letters),
+            (pc.struct_field(parts, "tail").filter(split), np.flatnonzero(plain), self._each),
+            (words.filter(pc.invert(split)), np.flatnonzero(~plain), self._each),
+        ):
+            coded = units.dictionary_encode()
+            flat, start, length = self._units(coded.dictionary, encode)
+            which = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int64)
+            pieces.append((flat, rows, start[which], length[which]))
+        total = np.zeros(len(words), np.int64)
+        for _, rows, _, length in pieces:
+            total[rows] += length
+        at = np.cumsum(total) - total
+        out, filled = np.empty(int(total.sum()), np.uint32), at.copy()
+        for flat, rows, start, length in pieces:
+            shift = np.repeat(np.cumsum(length) - length, length)
+            inner = np.arange(len(shift)) - shift
+            out[np.repeat(filled[rows], length) + inner] = flat[np.repeat(start, length) + inner]
+            filled[rows] += length
+        return out, at, total
 
     def encode(self, texts):
         """texts: an Arrow string array. Returns all ids, each text closed by END_ID, and the offsets of the texts."""
@@ -62,17 +144,17 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        place = self._learn(coded.dictionary.to_pylist())
-        word = place[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
-        counts = self.length[word]
+        flat, start, length = self._words(coded.dictionary)
+        word = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int64)
+        counts = length[word]
         ends = np.concatenate([[0], np.cumsum(counts)])
         offsets = ends[bounds - bounds[0]] + np.arange(len(bounds))
-        take = np.repeat(self.start[word] - ends[:-1], counts) + np.arange(ends[-1])
+        take = np.repeat(start[word] - ends[:-1], counts) + np.arange(ends[-1])
         out = np.empty(offsets[-1], np.uint32)
         closing = np.zeros(offsets[-1], bool)
         closing[offsets[1:] - 1] = True
         out[closing] = END_ID
-        out[~closing] = self.flat[take]
+        out[~closing] = flat[take]
         return out, offsets
 
 
@@ -95,9 +177,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, seen, part = WordEncoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, seen, part = _shared.per_process(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text"):
+            for rows in _shared.row_slices(batch, "text", 3_000_000):
                 ids, offsets = encoder.encode(rows.column("text"))
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([
@@ -105,6 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))),
                 ], ["doc_id", "part", "file_start", "n_tokens", "ids"])
                 seen += int(offsets[-1])
+        _shared.give_back_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _shared.text_of(text_column).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

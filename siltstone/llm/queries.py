@@ -10,6 +10,7 @@ from .decontam import contaminated, find_contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality import score_quality
 from .sharding import assign_shards
 from .simhash import near_groups
 from .substring_dedup import substring_dedup
@@ -62,6 +63,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumnRenamed("id", "doc_id")
@@ -75,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op9_toxicity, op10_decontamination)
+    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op8_quality, op9_toxicity, op10_decontamination)
 }
 
 ORACLE_SQL = {

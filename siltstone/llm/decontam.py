@@ -114,3 +114,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, i
 def contaminated(per_cent: int = 5):
     """The rule: some word is hit, and the hit words are at least this share of the document's words."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * per_cent)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, text_column: str = "text") -> DataFrame:
+    """docs without the contaminated rows, all columns as they were."""
+    names = docs.columns
+    numbered = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(names)])
+    at = {c: f"__{i}" for i, c in enumerate(names)}
+    found = find_contamination(numbered.withColumn("__no", F.lit(0)), benchmark, id_column="__no", text_column=at[text_column], keep=tuple(at.values()))
+    return found.where(~contaminated(per_cent)).select(*[F.col(at[c]).alias(c) for c in names])

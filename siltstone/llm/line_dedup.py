@@ -47,8 +47,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return _shared.materialize(sure.unionByName(counted), "boilerplate")
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source") -> DataFrame:
-    """docs with boilerplate lines removed from the text, plus n_lines and n_removed.
+def line_dedup(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with boilerplate lines removed from the text, plus n_lines and n_removed (under the names in ``counts``, which docs must not have).
 
     A line is compared without its outer blanks. On ``min_sites`` distinct
     sites or more it stays only in the document with the smallest id that has
@@ -59,6 +59,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id",
     columns are handed on. An empty table gives no rows.
     """
     names = docs.columns
+    if clash := set(names) & set(counts):
+        raise ValueError(f"docs already has {sorted(clash)}; give other names in counts")
     lines = _lines(docs, id_column, text_column, site_column)
     common = boilerplate(lines, min_sites)
     hit = lines.select("id", "text_key", "pos", "key").join(common.select("key", "first_id"), "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
@@ -68,13 +70,13 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id",
     text = _shared.text_of(text_column)
     keyed = docs.withColumn("__text_key", F.xxhash64(text)).withColumn("__doc", F.xxhash64(F.col(id_column), F.col("__text_key")))
     marked = _shared.mark_maybe(keyed, "__doc", _shared.membership_filter(hit, "__doc"))
-    n_lines = F.when(F.col(text_column).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines")
-    plain = marked.where(~F.col("__maybe")).select(*names, n_lines, F.lit(0).cast("long").alias("n_removed"))
+    n_lines = F.when(F.col(text_column).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias(counts[0])
+    plain = marked.where(~F.col("__maybe")).select(*names, n_lines, F.lit(0).cast("long").alias(counts[1]))
     wanted = hit.select(F.col("__doc").alias("__hit"), F.col("id").alias("__id"), F.col("text_key").alias("__hit_key"), "__removed")
     same = (F.col("__doc") == F.col("__hit")) & F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__hit_key"))
     joined = marked.where("__maybe").join(wanted, same, "left")
     removed = F.coalesce("__removed", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("__removed"), i)), "\n")
     cleaned = F.when(F.col("__removed").isNull(), F.col(text_column)).otherwise(kept)
-    changed = joined.select(*[cleaned.alias(c) if c == text_column else F.col(c) for c in names], n_lines, F.size(removed).cast("long").alias("n_removed"))
+    changed = joined.select(*[cleaned.alias(c) if c == text_column else F.col(c) for c in names], n_lines, F.size(removed).cast("long").alias(counts[1]))
     return plain.unionByName(changed)

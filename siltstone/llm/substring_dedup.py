@@ -6,10 +6,10 @@ cell numbers, a byte or so a window, and merged by range of cells into one bit
 a cell: counted twice or more. Counts are over-, never underestimated.
 
 Pass 2 reads the texts again and keeps the windows whose cells are all set:
-every window that repeats, and a few others. Those are grouped exactly, by 96
+every window that repeats, and a few others. Those are grouped exactly, by 80
 bits of hash, first within each task (only a task's first document of a window
 is sent on, so a window in very many documents costs a row per task), then by
-range of hash. What comes back are spans of words.
+range of hash. What comes back are spans of words, dealt by document.
 
 Pass 3 joins the spans to the texts they belong to; other texts do not move.
 
@@ -21,12 +21,14 @@ through to the exact grouping, which stays right, at the price of shuffle.
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _shared
+from ._blobs import pack_sorted, unpack_sorted
 
 MAX_CELL_BITS = 29
 ROWS = 2
@@ -183,75 +185,80 @@ def count_min(texts: DataFrame, width: int, bits: int) -> list[bytes]:
     for r in merged.toLocalIterator():  # ROWS * 2**bits / 8 bytes in all
         row, k = divmod(r["range"], RANGES)
         rows[row][k * size : (k + 1) * size] = r["bits"]
-    return [bytes(x) for x in rows]
+    return [zlib.compress(bytes(x), 1) for x in rows]
 
 
-def repeated_spans(texts: DataFrame, width: int, bits: int, sketch: list[bytes], shards: int) -> DataFrame:
-    """id, text_key, spans: words of the text that lie in a window which also starts in a document with a smaller id (pairs of begin and end, flat)."""
-    spark = texts.sparkSession
-    heavy = spark.sparkContext.broadcast(sketch)
-    out_schema = "shard int, id long, text_key long, spans binary, hashes binary, more binary, docs binary, doc binary, place binary"
-    names = ["shard", "id", "text_key", "spans", "hashes", "more", "docs", "doc", "place"]
+def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int) -> DataFrame:
+    """id, text_key, spans: words of a text that lie in a window which also starts in a document with a smaller id (begins and ends, merged).
 
-    def intervals(places):
-        """Sorted distinct window starts as merged word intervals."""
+    heavy: the broadcast sketch, compressed.
+    """
+    wire = "shard int, kind int, docs binary, starts binary, places binary, hashes binary, more binary"
+
+    def intervals(doc, place):
+        """Window starts, sorted by document and place, as merged word intervals: document, begin, end."""
         import numpy as np
 
-        new = np.flatnonzero(np.diff(places, prepend=-width - 1) > width)
-        last = np.append(new[1:], len(places)) - 1
-        return np.stack([places[new], places[last] + width], axis=1).astype("<u4")
+        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(place, prepend=0) > width))
+        last = np.append(new[1:], len(place)) - 1
+        return doc[new], place[new], place[last] + width
 
-    def spans_of(doc, place, ids, keys, shard):
-        """Rows of spans, one a document."""
+    def found(doc, place, ids, keys, spread):
+        """Rows of intervals (kind 1), dealt by document."""
         import numpy as np
 
         order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        new = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
-        for a, b in zip(new, new[1:]):
-            d = doc[a]
-            yield {"shard": shard, "id": int(ids[d]), "text_key": int(keys[d]), "spans": intervals(np.unique(place[a:b])).tobytes()}
+        d, begin, end = intervals(doc[order], place[order])
+        bucket = (ids[d] ^ keys[d] ^ (keys[d] >> 32)) % spread
+        order = np.lexsort((begin, d, bucket))
+        d, begin, end, bucket = d[order], begin[order], end[order], bucket[order]
+        new = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        for x, y in zip(new, new[1:]):
+            used, counts = np.unique(d[x:y], return_counts=True)
+            yield {"shard": int(bucket[x]), "kind": 1, "docs": np.stack([ids[used], keys[used]]).astype("<i8").tobytes(), "starts": counts.astype("<u4").tobytes(), "places": np.stack([begin[x:y], end[x:y]]).astype("<u4").tobytes()}
 
     def grouped(h, more, doc, place, ids):
-        """Order by window and document; whether a window's document is not its first, and the first of each document's windows."""
+        """Sorted by window and document; whether a window's document has a larger id than its first."""
         import numpy as np
 
-        order = np.lexsort((place, doc, ids[doc], more, h))
+        order = np.lexsort((ids[doc], more, h))
         h, more, doc, place = h[order], more[order], doc[order], place[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        later = ids[doc] > ids[doc[start]]
-        return h, more, doc, place, new, later
+        return h, more, doc, place, ids[doc] > ids[doc[start]]
+
+    def schema():
+        import pyarrow as pa
+
+        return pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("docs", "starts", "places", "hashes", "more"))])
 
     def candidates(batches):
         import numpy as np
         import pyarrow as pa
 
-        bitmaps = [np.frombuffer(x, np.uint8) for x in heavy.value]
-        hasher = WordHasher()
-        schema = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("text_key", pa.int64()), *((c, pa.binary()) for c in names[3:])])
-        held, count, ids, keys, n_docs = [], 0, [], [], 0
+        bitmaps = [np.frombuffer(zlib.decompress(x), np.uint8) for x in heavy.value]
+        hasher, held, count, ids, keys, n_docs = WordHasher(), [], 0, [], [], 0
 
         def flush():
             h, more, doc, place = (np.concatenate(x) for x in zip(*held))
             all_ids, all_keys = np.concatenate(ids), np.concatenate(keys)
-            h, more, doc, place, new, later = grouped(h, more, doc, place, all_ids)
-            rows = list(spans_of(doc[later], place[later], all_ids, all_keys, 0)) if later.any() else []
-            for i, r in enumerate(rows):
-                r["shard"] = (r["id"] ^ r["text_key"]) % shards
-            for lo in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_pylist(rows[lo : lo + 20_000], schema=schema)
+            h, more, doc, place, later = grouped(h, more, doc, place, all_ids)
+            out = list(found(doc[later], place[later], all_ids, all_keys, shards)) if later.any() else []
             send = ~later  # every place of a window in its first document here
             h, more, doc, place = h[send], more[send], doc[send], place[send]
-            shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-            edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            out = []
+            shard = (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((place, doc, shard))
+            h, more, doc, place, shard = h[order], more[order], doc[order], place[order], shard[order]
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            length = np.zeros(len(all_ids) + 1, np.int64)
+            np.maximum.at(length, doc + 1, place + 1)
+            base = np.cumsum(length)  # places of all documents laid end to end
             for k, (a, b) in enumerate(zip(edges, edges[1:])):
                 if b > a:
-                    used, local = np.unique(doc[a:b], return_inverse=True)
-                    out.append({"shard": k, "hashes": h[a:b].tobytes(), "more": more[a:b].tobytes(), "docs": np.stack([all_ids[used], all_keys[used]]).astype("<i8").tobytes(), "doc": local.astype("<u4").tobytes(), "place": place[a:b].astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    used = np.unique(doc[a:b])
+                    out.append({"shard": k, "kind": 0, "docs": np.stack([all_ids[used], all_keys[used]]).astype("<i8").tobytes(), "starts": pack_sorted(base[used]), "places": _deltas(base[doc[a:b]] + place[a:b] + 1), "hashes": h[a:b].tobytes(), "more": more[a:b].astype("<u2").tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=schema())
 
         for batch in batches:
             for rows in _shared.row_slices(batch, "text"):
@@ -260,7 +267,7 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, sketch: list[bytes],
                 for row in range(ROWS):
                     cell = cells(h, row, bits)
                     hit &= (bitmaps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-                held.append((h[hit], more[hit], doc[hit] + n_docs, place[hit]))
+                held.append((h[hit], more[hit].astype(np.uint16), doc[hit] + n_docs, place[hit]))
                 ids.append(rows.column("id").to_numpy())
                 keys.append(rows.column("text_key").to_numpy())
                 n_docs += rows.num_rows
@@ -270,48 +277,72 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, sketch: list[bytes],
                     held, count, ids, keys, n_docs = [], 0, [], [], 0
         if count:
             yield from flush()
+        _shared.give_back_memory()
 
     def settle(batches):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
         held, docs, n, shard = [], [], 0, None
 
         def finish():
             h, more, doc, place = (np.concatenate(x) for x in zip(*held))
-            ids, keys = np.concatenate(docs, axis=1)
-            h, more, doc, place, _, later = grouped(h, more, doc, place, ids)
-            if not later.any():
-                return
-            # a document may have come from several blobs
-            pairs, same = np.unique(np.stack([ids, keys]), axis=1, return_inverse=True)
-            rows = [{c: r[c] for c in schema.names} for r in spans_of(same.reshape(-1)[doc[later]], place[later], pairs[0], pairs[1], 0)]
-            for lo in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_pylist(rows[lo : lo + 20_000], schema=schema)
+            (ids, keys), same = np.unique(np.concatenate(docs, axis=1), axis=1, return_inverse=True)  # a document may be in several rows
+            h, more, doc, place, later = grouped(h, more, same.reshape(-1)[doc], place, ids)
+            if later.any():
+                yield pa.RecordBatch.from_pylist(list(found(doc[later], place[later], ids, keys, shards)), schema=schema())
 
         for batch in batches:
-            done = []
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i].as_py() for c in names}
-                if r["spans"] is not None:
-                    done.append({c: r[c] for c in schema.names})
-                    continue
+            through = batch.filter(pa.array(batch.column("kind").to_numpy() == 1))
+            if through.num_rows:
+                yield through
+            for i in np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist():
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if held and r["shard"] != shard:
                     yield from finish()
                     held, docs, n = [], [], 0
                 shard = r["shard"]
-                table = np.frombuffer(r["docs"], "<i8").reshape(2, -1)
-                held.append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["more"], np.uint32), np.frombuffer(r["doc"], "<u4").astype(np.int64) + n, np.frombuffer(r["place"], "<u4")))
+                table, starts, at = np.frombuffer(r["docs"], "<i8").reshape(2, -1), unpack_sorted(r["starts"]), _undeltas(r["places"]) - 1
+                doc = np.searchsorted(starts, at, "right") - 1
+                held.append((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["more"], np.uint16), doc + n, at - starts[doc]))
                 docs.append(table)
                 n += table.shape[1]
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=schema)
         if held:
             yield from finish()
+        _shared.give_back_memory()
+
+    def gather(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        docs, begins, ends, which, n = [], [], [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in ("docs", "starts", "places")}
+                table, pair = np.frombuffer(r["docs"], "<i8").reshape(2, -1), np.frombuffer(r["places"], "<u4").reshape(2, -1)
+                which.append(np.repeat(np.arange(table.shape[1]) + n, np.frombuffer(r["starts"], "<u4")))
+                docs.append(table), begins.append(pair[0]), ends.append(pair[1])
+                n += table.shape[1]
+        if not docs:
+            return
+        (ids, keys), same = np.unique(np.concatenate(docs, axis=1), axis=1, return_inverse=True)
+        doc, begin, end = same.reshape(-1)[np.concatenate(which)], np.concatenate(begins).astype(np.int64), np.concatenate(ends).astype(np.int64)
+        order = np.lexsort((begin, doc))
+        doc, begin, end = doc[order], begin[order], end[order]
+        reach = np.maximum.accumulate(end + (doc << 32)) & 0xFFFFFFFF
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > reach[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        spans = np.stack([begin[first], reach[last]], axis=1).astype("<u4")
+        cut = np.append(np.flatnonzero(np.diff(doc[first], prepend=-1)), len(first))
+        schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
+        for lo in range(0, len(cut) - 1, 20_000):
+            own = cut[lo : lo + 20_001]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[first[own[:-1]]]]), pa.array(keys[doc[first[own[:-1]]]]), pa.array([spans[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], schema=schema)
 
-    sent = texts.mapInArrow(candidates, out_schema).repartition(shards, "shard").sortWithinPartitions("shard")
-    return sent.mapInArrow(settle, "id long, text_key long, spans binary")
+    dealt = texts.mapInArrow(candidates, wire).repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(settle, wire).select("shard", "docs", "starts", "places").repartition(shards, "shard").mapInArrow(gather, "id long, text_key long, spans binary")
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id", text_column: str = "text", max_cell_bits: int = MAX_CELL_BITS) -> DataFrame:
@@ -327,19 +358,19 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id",
     spark = docs.sparkSession
     texts = _texts(docs, id_column, text_column)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0)).alias("n")).first()["n"]
-    bits = min(max_cell_bits, max(13, math.ceil(math.log2(4 * (size // 6 + 1)))))
-    sketch = count_min(texts, width, bits)
+    bits = min(max_cell_bits, max(13, math.ceil(math.log2(2 * (size // 6 + 1)))))
+    sketch = spark.sparkContext.broadcast(count_min(texts, width, bits))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)  # 32 MB of text each at most: 130 MB of windows if all repeat
     spans = repeated_spans(texts, width, bits, sketch, shards)
-    found = spans.withColumn("__doc", F.xxhash64("id", "text_key")).groupBy("__doc", "id", "text_key").agg(F.collect_list("spans").alias("spans"))
-    found = _shared.materialize(found, "spans")
+    found = _shared.materialize(spans.withColumn("__doc", F.xxhash64("id", "text_key")), "spans")
+    sketch.unpersist()
 
     text = _shared.text_of(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key")).withColumn("__doc", F.xxhash64(F.col("id").cast("long"), F.col("text_key")))
     marked = _shared.mark_maybe(keyed, "__doc", _shared.membership_filter(found, "__doc"))
     wanted = found.select(F.col("__doc").alias("d"), F.col("id").alias("i"), F.col("text_key").alias("k"), "spans")
     joined = marked.where("__maybe").join(wanted, (F.col("__doc") == F.col("d")) & (F.col("id") == F.col("i")) & (F.col("text_key") == F.col("k")), "left")
-    rows = marked.where(~F.col("__maybe")).select("id", "text", F.lit(None).cast("array<binary>").alias("spans")).unionByName(joined.select("id", "text", "spans"))
+    rows = marked.where(~F.col("__maybe")).select("id", "text", F.lit(None).cast("binary").alias("spans")).unionByName(joined.select("id", "text", "spans"))
 
     def cut(batches):
         import numpy as np
@@ -348,23 +379,15 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id",
         result = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
         for batch in batches:
             out = []
-            texts, lists = batch.column("text").cast(pa.binary()), batch.column("spans")
+            texts, spans = batch.column("text").cast(pa.binary()), batch.column("spans")
             for i in range(batch.num_rows):
-                words = texts[i].as_py().split()
-                blobs, merged = lists[i].as_py(), []
-                if blobs:
-                    pairs = np.concatenate([np.frombuffer(b, "<u4").reshape(-1, 2) for b in blobs]).astype(np.int64)
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    reach = np.maximum.accumulate(pairs[:, 1])
-                    new = np.append(np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1])), len(pairs))
-                    merged = [(int(pairs[a, 0]), int(reach[b - 1])) for a, b in zip(new, new[1:])]
-                    kept, at = [], 0
-                    for a, b in merged:
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                else:
-                    kept = words
+                words, blob = texts[i].as_py().split(), spans[i].as_py()
+                merged = np.frombuffer(blob or b"", "<u4").reshape(-1, 2).tolist()
+                kept, at = [], 0
+                for a, b in merged:
+                    kept += words[at:a]
+                    at = b
+                kept += words[at:]
                 out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "spans": [{"begin": a, "end": b} for a, b in merged], "kept_text": b" ".join(kept).decode()})
             made = pa.RecordBatch.from_pylist(out, schema=result)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *made.columns], ["id", *result.names])

@@ -26,6 +26,26 @@ def unpack_sorted(data: bytes):
     return np.cumsum(gaps)
 
 
+def pack_cells(dense) -> tuple[bytes, bytes]:
+    """A dense array of whole numbers as its nonzero cells, compressed."""
+    import zlib
+
+    import numpy as np
+
+    at = np.flatnonzero(dense)
+    return zlib.compress(pack_sorted(at), 1), zlib.compress(dense[at].astype("<u4").tobytes(), 1)
+
+
+def unpack_cells(packed: tuple[bytes, bytes], size: int):
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros(size, np.float32)
+    out[unpack_sorted(zlib.decompress(packed[0]))] = np.frombuffer(zlib.decompress(packed[1]), "<u4")
+    return out
+
+
 def sparse_rows(name: str, index, value):
     """Rows (name, piece, index, value) of the nonzero cells of an array; index may repeat and come in any order."""
     import numpy as np

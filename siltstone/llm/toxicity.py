@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _shared
-from ._blobs import SPARSE, sparse_rows, sum_arrays
+from ._blobs import SPARSE, pack_cells, sparse_rows, sum_arrays, unpack_cells
 
 CELL_BITS = 22
 #: The longest beginning, in letters.
@@ -245,6 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     if not all((True, k) in sums for k in (False, True)):
         return Model(None, prior)
     counts = sum_arrays(_sparse(unit_counts(rows.where("fold < 4"))), {name: 1 << CELL_BITS for name in ARRAYS})
+    for name in ("ordinary", "toxic"):
+        counts[f"held-{name}"][counts[name] == 0] = 0  # asked for below a known beginning only
     model = Model(counts, prior)
     if (False, True) in sums and (False, False) in sums:
         some = rows.where("fold = 4").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_calibration)
@@ -259,13 +261,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """rows with a text column: the kept columns, features and score."""
-    sent = rows.sparkSession.sparkContext.broadcast((model.counts, model.prior, model.weights))  # of a fixed size: the cells above
+    packed = model.counts and {name: pack_cells(x) for name, x in model.counts.items()}
+    sent = rows.sparkSession.sparkContext.broadcast((packed, model.prior, model.weights))  # of a fixed size: the cells above
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        own = Model(*sent.value)
+        packed, prior, weights = sent.value
+        own = Model(packed and {name: unpack_cells(x, 1 << CELL_BITS) for name, x in packed.items()}, prior, weights)
         for batch in batches:
             for part in _shared.row_slices(batch, "text"):
                 if own.counts is None:

@@ -37,8 +37,8 @@ def _expansions() -> list[tuple[str, str]]:
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding: lower case, then what folds further."""
-    one, many = [], []
+    """Unicode case folding: lower case, then what folds further. A capital sigma goes first, as lower case makes two letters of it."""
+    one, many = [("\u03a3", "\u03c3")], []
     for char, folded in sorted(set(_expansions())):
         (one if len(folded) == 1 else many).append((char, folded))
     out = F.translate(text, "".join(c for c, _ in one), "".join(f for _, f in one))

@@ -13,7 +13,7 @@ from ..functions.text import strip
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Whole files in the first encoding that takes all their bytes."""
 
@@ -109,7 +109,7 @@ def audio_index(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root, "*.wav").groupBy(F.element_at(F.split("path", "/"), -1).alias("file_name")).agg(F.min("path").alias("path"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wav_seconds(content: pd.Series) -> pd.Series:
     """Frames by rate to six places; null for what is no WAV file."""
     import io

@@ -45,16 +45,18 @@ class LsmIndex:
             raise ValueError("keep is 'smallest' or 'largest'")
         self.spark, self.path, self.keep = spark, path, keep
         self.runs: list[str] = []
+        self.flushed = 0
         self.level: str | None = None
         self.run_schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", id_type), T.StructField("row", T.LongType())])
         self.level_schema = T.StructType([*self.run_schema.fields, T.StructField("n", T.LongType())])
 
     def flush(self, rows: DataFrame) -> DataFrame:
-        """rows: digest, id. Each task sorts its memtable and writes a run; ``row`` numbers the rows for good."""
-        run = f"{self.path}/run-{len(self.runs)}"
-        numbered = rows.select("digest", "id", (F.monotonically_increasing_id() + F.lit(len(self.runs)) * F.lit(1 << 55)).alias("row"))
+        """rows: digest, id. Each task sorts its memtable and writes a run; ``row`` numbers the rows of a batch for good."""
+        run = f"{self.path}/run-{self.flushed}"
+        numbered = rows.select("digest", "id", F.monotonically_increasing_id().alias("row"))
         numbered.sortWithinPartitions("digest").write.options(**self.FILTER).parquet(run)
         self.runs.append(run)
+        self.flushed += 1
         return self.spark.read.schema(self.run_schema).parquet(run)
 
     def entries(self) -> DataFrame:
@@ -72,7 +74,7 @@ class LsmIndex:
         by = F.min_by if self.keep == "smallest" else F.max_by
         best = F.min if self.keep == "smallest" else F.max
         merged = self.entries().groupBy("digest").agg(best("id").alias("id"), F.coalesce(by("row", "id"), F.min("row")).alias("row"), F.sum("n").alias("n"))
-        level = f"{self.path}/level-{len(self.runs)}"
+        level = f"{self.path}/level-{self.flushed}"
         merged.sortWithinPartitions("digest").write.options(**self.FILTER).parquet(level)
         self.runs, self.level = [], level
         return self.spark.read.schema(self.level_schema).parquet(level)

@@ -77,7 +77,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, t
 
         encoder = _shared.per_process(f"words {tokenizer}", lambda: WordEncoder(tokenizer))
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text", 3_000_000):
+            for rows in _shared.row_slices(batch, "text", 5_000_000):
                 ids, offsets = encoder.encode(rows.column("text"))
                 doc, start, length, crc, total, kind = [], [], [], [], [], []
                 for i, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):

@@ -23,6 +23,41 @@ END_ID = 1
 _CORE_TAIL = r"^(?P<core>\p{L}+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
 
+class _Memory:
+    """Ids of the first ``limit`` distinct strings seen."""
+
+    def __init__(self, limit: int) -> None:
+        import numpy as np
+        import pyarrow as pa
+
+        self.limit, self.known = limit, pa.array([], pa.string())
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, units, encode):
+        """units: distinct strings (Arrow). Their ids, laid end to end: flat, start, length."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place = pc.fill_null(pc.index_in(units, self.known), -1).to_numpy()
+        old, fresh = place >= 0, np.flatnonzero(place < 0)
+        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        start[old], length[old] = self.start[place[old]], self.length[place[old]]
+        flat = self.flat
+        if len(fresh):
+            new = units.take(pa.array(fresh))
+            ids, n = encode(new.to_pylist())
+            at = len(self.flat) + np.cumsum(n) - n
+            start[fresh], length[fresh] = at, n
+            flat = np.concatenate([self.flat, ids])
+            kept = min(len(new), self.limit - len(self.known))
+            if kept > 0:
+                self.known = pa.concat_arrays([self.known, new.slice(0, kept)])
+                self.flat = flat[: len(self.flat) + int(n[:kept].sum())]
+                self.start, self.length = np.concatenate([self.start, at[:kept]]), np.concatenate([self.length, n[:kept]])
+        return flat, start, length
+
+
 class WordEncoder:
     """Encodes whole texts through their words, each distinct word once.
 
@@ -37,19 +72,17 @@ class WordEncoder:
 
     CALL = 1000
 
-    def __init__(self, path: str, limit: int = 200_000) -> None:
+    def __init__(self, path: str, limit: int = 240_000) -> None:
         import numpy as np
-        import pyarrow as pa
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.tokenizer.model)  # for lower-case ASCII letters, which nothing but white space parts
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known = pa.array([], pa.string())
-        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.plain_words, self.other_words, self.rest = (_Memory(max(1, limit // n)) for n in (2, 4, 4))
 
     def _each(self, words: list[str]):
         import numpy as np
@@ -77,30 +110,6 @@ class WordEncoder:
                     flats.append(flat), lengths.append(length)
         return np.concatenate(flats), np.concatenate(lengths)
 
-    def _units(self, units, encode):
-        """units: distinct strings (Arrow). Their ids, laid end to end: flat, start, length."""
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        place = pc.fill_null(pc.index_in(units, self.known), -1).to_numpy()
-        old, fresh = place >= 0, np.flatnonzero(place < 0)
-        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-        start[old], length[old] = self.start[place[old]], self.length[place[old]]
-        flat = self.flat
-        if len(fresh):
-            new = units.take(pa.array(fresh))
-            ids, n = encode(new.to_pylist())
-            at = len(self.flat) + np.cumsum(n) - n
-            start[fresh], length[fresh] = at, n
-            flat = np.concatenate([self.flat, ids])
-            kept = min(len(new), self.limit - len(self.known))
-            if kept > 0:
-                self.known = pa.concat_arrays([self.known, new.slice(0, kept)])
-                self.flat = flat[: len(self.flat) + int(n[:kept].sum())]
-                self.start, self.length = np.concatenate([self.start, at[:kept]]), np.concatenate([self.length, n[:kept]])
-        return flat, start, length
-
     def _words(self, words):
         """Ids of distinct words: flat, and start and length of each."""
         import numpy as np
@@ -114,14 +123,14 @@ class WordEncoder:
         cores = pc.struct_field(parts, "core").filter(split)
         ascii = pc.string_is_ascii(cores)
         lower = ascii.to_numpy(zero_copy_only=False)
-        for units, rows, encode in (
-            (pc.ascii_lower(cores.filter(ascii)), np.flatnonzero(plain)[lower], lambda x: self._letters(x, self.plain)),
-            (cores.filter(pc.invert(ascii)), np.flatnonzero(plain)[~lower], self._letters),
-            (pc.struct_field(parts, "tail").filter(split), np.flatnonzero(plain), self._each),
-            (words.filter(pc.invert(split)), np.flatnonzero(~plain), self._each),
+        for units, rows, memory, encode in (
+            (pc.ascii_lower(cores.filter(ascii)), np.flatnonzero(plain)[lower], self.plain_words, lambda x: self._letters(x, self.plain)),
+            (cores.filter(pc.invert(ascii)), np.flatnonzero(plain)[~lower], self.other_words, self._letters),
+            (pc.struct_field(parts, "tail").filter(split), np.flatnonzero(plain), self.rest, self._each),
+            (words.filter(pc.invert(split)), np.flatnonzero(~plain), self.rest, self._each),
         ):
             coded = units.dictionary_encode()
-            flat, start, length = self._units(coded.dictionary, encode)
+            flat, start, length = memory.ids(coded.dictionary, encode)
             which = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int64)
             pieces.append((flat, rows, start[which], length[which]))
         total = np.zeros(len(words), np.int64)
@@ -179,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
 
         encoder, seen, part = _shared.per_process(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text", 3_000_000):
+            for rows in _shared.row_slices(batch, "text", 5_000_000):
                 ids, offsets = encoder.encode(rows.column("text"))
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([
@@ -216,7 +225,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             ids = batch.column("ids")
-            flat, bounds = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            flat, bounds = ids.values.to_numpy().view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("file_start"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "file_start", "n_tokens", "ids_crc32"])
 

@@ -50,11 +50,11 @@ def cuts(tokens: int, capacity: int, slack: float = 0.02) -> list[tuple[int, int
     out = [(i * capacity, capacity, 1) for i in range(full)]
     at = full * capacity
     while rest:
-        k = size_class(rest, capacity)
-        if k > FINE or capacity / k - rest <= slack * max(capacity / k, tokens):
-            out.append((at, rest, k))
+        fits = capacity // rest
+        if fits > FINE or capacity / fits - rest <= slack * max(capacity / fits, tokens):
+            out.append((at, rest, size_class(rest, capacity)))
             break
-        cut = capacity // (k + 1)
+        cut = capacity // (fits + 1)
         out.append((at, cut, size_class(cut, capacity)))
         at, rest = at + cut, rest - cut
     return out

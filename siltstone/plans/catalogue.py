@@ -220,7 +220,7 @@ def seeded_subset(spark, d):
     return U.seeded_subset(table(spark, d, "documents").select("doc_id"), 40, 42, "doc_id").withColumn("ord", F.col("ord").cast("long"))
 
 
-_DRAW = "('0x' || substr(sha1('7:' || a || ':{}'), 1, 12))::bigint % 300"
+_DRAW = "('0x' || substr(sha1('7:' || a || ':{}'), 1, 12))::bigint % (select least(300, count(*)) from documents)"
 _RANDOM = f"""
     with s as (select doc_id, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 300),
          r as (select a as priority, {_DRAW.format(0)} as i, {_DRAW.format(1)} as j from range(2000) t(a)),

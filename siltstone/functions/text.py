@@ -37,14 +37,19 @@ def _expansions() -> list[tuple[str, str]]:
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding: lower case, then what folds further. A capital sigma goes first, as lower case makes two letters of it."""
+    """Unicode case folding: lower case, then what folds further.
+
+    A capital sigma goes first, as lower case makes two letters of it. The long
+    list of rare letters is gone through only for a text that holds one.
+    """
     one, many = [("\u03a3", "\u03c3")], []
-    for char, folded in sorted(set(_expansions())):
+    for char, folded in sorted(set(_expansions()) - {("\u00df", "ss")}):
         (one if len(folded) == 1 else many).append((char, folded))
+    rare = "[" + "".join(c for c, _ in [*one, *many]) + "]"
     out = F.translate(text, "".join(c for c, _ in one), "".join(f for _, f in one))
     for char, folded in many:
         out = F.replace(out, F.lit(char), F.lit(folded))
-    return F.lower(out)
+    return F.lower(F.replace(F.when(text.rlike(rare), out).otherwise(text), F.lit("\u00df"), F.lit("ss")))
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -53,8 +58,9 @@ def lexical_tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Of two arrays without repeated items; 0 if both are empty."""
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(all_ == 0, F.lit(0.0)).otherwise(both / (all_ - both))
 
 
 def folded_words(text: Column) -> Column:
@@ -81,12 +87,21 @@ def _padded(tokens: Column) -> Column:
 
 def holds_phrase(caption: Column, phrase: Column) -> Column:
     """Whether the phrase's grounding tokens stand next to each other in the caption; tokens hold no spaces, so padding marks their ends."""
-    p = grounding_tokens(phrase)
-    return (F.size(p) > 0) & F.contains(_padded(grounding_tokens(caption)), _padded(p))
+    return is_grounded(F.array(caption), phrase)
 
 
 def is_grounded(captions: Column, phrase: Column) -> Column:
-    return F.exists(captions, lambda c: holds_phrase(c, phrase))
+    """Whether some caption holds the phrase. Each text is folded once: an array of one hands the phrase to the inner walk."""
+    asked = F.filter(F.transform(F.array(grounding_tokens(phrase)), lambda p: _padded(p)), lambda p: F.trim(p) != "")
+    said = F.transform(captions, lambda c: _padded(grounding_tokens(c)))
+    return F.coalesce(F.exists(asked, lambda p: F.exists(said, lambda c: F.contains(c, p))), F.lit(False))
+
+
+def is_relevant(question: Column, claim: Column) -> Column:
+    """Whether a word of the question is related to one of the claim."""
+    claimed = F.array(relevance_tokens(claim))
+    asked = relevance_tokens(question)
+    return F.coalesce(F.exists(claimed, lambda words: F.exists(asked, lambda q: F.exists(words, lambda c: related(q, c)))), F.lit(False))
 
 
 def related(a: Column, b: Column) -> Column:
@@ -94,11 +109,6 @@ def related(a: Column, b: Column) -> Column:
     return (a == b) | ((F.char_length(a) >= 4) & F.startswith(b, a)) | ((F.char_length(b) >= 4) & F.startswith(a, b))
 
 
-def is_relevant(question: Column, claim: Column) -> Column:
-    claimed = relevance_tokens(claim)
-    return F.exists(relevance_tokens(question), lambda q: F.exists(claimed, lambda c: related(q, c)))
-
-
 def argues_from_absence(text: Column) -> Column:
     return F.lower(text).rlike("|".join(ABSENCE_PHRASES))
 

@@ -18,13 +18,23 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
 
 
+def reaches(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio is the threshold or more; cheap upper bounds settle most pairs."""
+    from difflib import SequenceMatcher
+
+    if not a or not b:
+        return False
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
 def similar(new: tuple[str, str, str], kept: tuple[str, str, str], threshold: float) -> bool:
     """Of (claim, question, signature): equal texts are similar whatever their label; else the labels and sources must agree."""
     if new[:2] == kept[:2]:
         return True
     if new[2] != kept[2]:
         return False
-    return max(ratio(new[0], kept[0]), ratio(f"{new[0]} {new[1]}", f"{kept[0]} {kept[1]}")) >= threshold
+    return reaches(new[0], kept[0], threshold) or reaches(f"{new[0]} {new[1]}", f"{kept[0]} {kept[1]}", threshold)
 
 
 def keep_distinct(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str, signature: Column, threshold: float = 0.9) -> DataFrame:

@@ -26,7 +26,7 @@ def seeded_subset(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
 def combinations(subset: DataFrame, k: int, columns: list[str]) -> DataFrame:
     """m0..m(k-1): structs of the columns of every unordered choice of k rows by ``ord``. The caller bounds C(n, k)."""
     member = F.struct("ord", *columns)
-    out = subset.select(member.alias("m0"))
+    out = subset.select(member.alias("m0")).repartition(subset.sparkSession.sparkContext.defaultParallelism)
     for i in range(1, k):
         right = subset.select(member.alias(f"m{i}"))
         out = out.join(right, F.col(f"m{i}.ord") > F.col(f"m{i - 1}.ord"))

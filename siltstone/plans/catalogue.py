@@ -42,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for expressions that cost much a row: dealt to all cores where a scan would use fewer."""
+    out, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written to the shared folder; a local one where the session names none."""
     context = df.sparkSession.sparkContext
@@ -157,7 +163,7 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 
 @query(f"""select doc_id, array_to_string(list_sort({_TOKENS}), ' ') as tokens from documents""")
 def lexical_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("tokens"))
+    return spread(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 @query(f"""
@@ -165,7 +171,7 @@ def lexical_tokens(spark, d):
          c as (select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.token = y.token and x.doc_id < y.doc_id group by 1, 2)
     select a, b, round(c / (p.n + q.n - c)::double, 6) as similarity from c join n p on p.doc_id = a join n q on q.doc_id = b where c / (p.n + q.n - c)::double >= 0.7""")
 def similar_pairs(spark, d):
-    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
+    sets = spread(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
     return U.similar_pairs(sets, 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -177,7 +183,7 @@ _SUBSET = f"""
 
 
 def _pairs(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
+    docs = spread(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
     subset = U.seeded_subset(docs, 200, 42, "doc_id")
     U.choose_plan(200, 2, "similar", 2_000_000)
     pairs = U.combinations(subset, 2, ["doc_id", "tokens"]).withColumn("similarity", U.group_similarity(2))
@@ -267,7 +273,7 @@ def candidate_fanout(spark, d):
     with c as (select doc_id, {_LINES} as c from documents)
     select doc_id, array_to_string(case when len(c) <= 3 then c else list_transform(range(3), lambda i: c[(doc_id + i) % len(c) + 1]) end, '|') as captions from c""")
 def caption_window(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     return docs.select("doc_id", F.array_join(X.rotating_window(F.split("text", "\n"), 3, F.col("doc_id")), "|").alias("captions"))
 
 
@@ -276,7 +282,7 @@ def caption_window(spark, d):
     select doc_id, case when doc_id % 3 = 1 then '' else 'AUDIO_1 captions:' || chr(10) || case when len(w) = 0 then '- none' else array_to_string(list_transform(w, lambda x: '- ' || x), chr(10)) end end
         || case when doc_id % 3 = 0 then chr(10) || chr(10) else '' end || case when doc_id % 3 = 2 then '' else 'AUDIO_2 captions:' || chr(10) || '- none' end as context from w""")
 def context_render(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     captions = F.array(F.split("text", "\n"), F.array().cast("array<string>"))
     sources = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("AUDIO_2"))).otherwise(F.array(F.lit("AUDIO_1")))
     chosen = X.selected_labels(F.lit(2), sources, F.lit("no source named"))
@@ -289,14 +295,14 @@ def context_render(spark, d):
          l as (select doc_id, list_transform(o[-2:], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) as l from o)
     select doc_id, case when len(l) = 0 then 'None.' else array_to_string(list_transform(l, lambda x: '- ' || case when length(x) > 360 then rtrim(substr(x, 1, 357)) || '...' else x end), chr(10)) end as feedback from l""")
 def feedback_render(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     errors = F.transform(X.nonblank(F.split("text", "\n")), lambda x, i: F.concat(F.when((i + 1) % 2 == 0, F.lit("Claim")).otherwise(F.lit("QA")), F.lit(" attempt 1: "), x))
     return docs.select("doc_id", X.render_feedback(errors, F.lit("QA")).alias("feedback"))
 
 
 @query()
 def grounded_phrases(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     lines = X.nonblank(F.split("text", "\n"))
     words = X.words(F.element_at(lines, -1))
     phrase = F.when(F.col("doc_id") % 2 == 0, F.array_join(F.slice(words, 2, 4), " ")).otherwise(F.array_join(F.reverse(F.slice(words, 1, 4)), " "))
@@ -305,7 +311,7 @@ def grounded_phrases(spark, d):
 
 @query()
 def question_relevance(spark, d):
-    turns = table(spark, d, "conversations")
+    turns = spread(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.select("conv_id", "turn", "text", F.lag("text").over(w).alias("claim")).where("claim is not null")
     return pairs.select("conv_id", "turn", X.is_relevant(F.col("text"), F.col("claim")).alias("relevant"))
@@ -317,13 +323,13 @@ _SAID = "text || case turn % 4 when 0 then ' It is Not Mentioned anywhere.' when
 @query(f"""select conv_id, turn, regexp_matches(lower({_SAID}), 'not mentioned|does not mention|no caption|absent from the caption|absence from the caption|not in the captions') as absent from conversations""")
 def absence_language(spark, d):
     said = F.concat("text", F.when(F.col("turn") % 4 == 0, " It is Not Mentioned anywhere.").when(F.col("turn") % 4 == 1, " absent from the captions").otherwise(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", X.argues_from_absence(said).alias("absent"))
+    return spread(spark, d, "conversations").select("conv_id", "turn", X.argues_from_absence(said).alias("absent"))
 
 
 @query("""
     select conv_id, turn, case when turn % 3 = 2 then '<b>' || trim(text) else trim(text) end as cleaned, turn % 3 <> 2 as removed from conversations""")
 def reasoning_strip(spark, d):
-    turns = table(spark, d, "conversations")
+    turns = spread(spark, d, "conversations")
     wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<Think>so\nmuch</thinking> "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<|channel>thought \nhm<channel|>"), "text")).otherwise(F.concat(F.lit("<b>"), "text"))
     cleaned = J.strip_reasoning(wrapped)
     return turns.select("conv_id", "turn", cleaned["text"].alias("cleaned"), cleaned["removed"].alias("removed"))
@@ -352,7 +358,7 @@ def schema_validate(spark, d):
 
 def _units(spark, d):
     """A unit of two clips, a claim about the first and a question, with faults by turns."""
-    docs = table(spark, d, "documents").select("doc_id", X.nonblank(F.split("text", "\n")).alias("lines"))
+    docs = spread(spark, d, "documents").select("doc_id", X.nonblank(F.split("text", "\n")).alias("lines"))
     words = X.words(F.get("lines", F.lit(0)))
     text = F.array_join(F.slice(words, 1, 8), " ")
     case = F.col("doc_id") % 6

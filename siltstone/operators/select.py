@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import seeded_index, seeded_order, unit_id
 from ..functions.text import jaccard
+from .assemble import with_ordinal
 
 #: The versions that units carry.
 UNIT_VERSION = "audio_unit_manifest_v1"
@@ -19,7 +20,9 @@ GROUNDING_STANDARD = "caption_grounded"
 def seeded_subset(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     """The first ``size`` rows of a seeded shuffle with their place in it (``ord``); all of them for a size of 0 or less."""
     order = [seeded_order(seed, F.col(key)), F.col(key)]
-    drawn = rows.orderBy(*order).limit(size) if size > 0 else rows
+    if size <= 0:
+        return with_ordinal(rows, *order).withColumnRenamed("row_ordinal", "ord")
+    drawn = rows.orderBy(*order).limit(size)
     return drawn.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)  # of a sample that the caller bounds
 
 
@@ -39,20 +42,28 @@ def group_similarity(k: int, column: str = "tokens") -> Column:
     return sum(pairs[1:], pairs[0]) / len(pairs) if pairs else F.lit(0.0)
 
 
+def token_classes(sets: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
+    """id, rep: the smallest id with the same token set (an empty set has its class, too)."""
+    rows = sets.select(F.col(key).alias("id"), F.array_sort(tokens).alias("tokens"))
+    reps = rows.groupBy("tokens").agg(F.min("id").alias("rep"))
+    return rows.join(reps, "tokens").select("id", "rep")
+
+
 def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", tokens: str = "tokens") -> DataFrame:
-    """a, b, similarity: pairs of ids (a < b) whose token sets have a Jaccard similarity of the threshold or more.
+    """a, b, similarity: pairs a < b of class representatives whose token sets have a Jaccard similarity of the threshold or more.
+
+    Rows with the same token set are one class (see token_classes) and are not
+    expanded into pairs, so that a set of many copies costs no more than one.
 
     An exact prefix-filter join. Tokens are ranked from rare to common; a pair
     that similar shares one of the first n - ceil(threshold * n) + 1 tokens of
     either set, so only those are joined, and frequent tokens hardly ever are.
-    Rows with the same token set are joined as one and expanded at the end.
     Empty sets are similar to nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     rows = sets.select(F.col(key).alias("id"), F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    rows = rows.withColumn("class", F.xxhash64("tokens"))
-    classes = rows.groupBy("class", "tokens").agg(F.min("id").alias("rep"))
+    classes = rows.groupBy("tokens").agg(F.min("id").alias("rep"))
     counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     ranked = classes.select("rep", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
     ranked = ranked.select("rep", F.size("x").alias("n"), F.transform("x", lambda t: t["token"]).alias("tokens"))
@@ -63,11 +74,7 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", tokens: st
     found = left.join(right, "token").where(fits).select("a", "b").distinct()
     full = ranked.select("rep", "tokens")
     scored = found.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-    links = scored.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = rows.join(classes, ["class", "tokens"]).select("rep", "id")
-    across = links.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
-    within = members.select("rep", F.col("id").alias("x")).join(members.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return scored.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def choose_plan(n: int, k: int, strategy: str, most: int) -> str:

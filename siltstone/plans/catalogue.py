@@ -166,9 +166,18 @@ def lexical_tokens(spark, d):
     return spread(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("tokens"))
 
 
+_CLASSES = f"select doc_id, min(doc_id) over (partition by list_sort({_TOKENS})) as rep from documents"
+
+
+@query(_CLASSES)
+def token_classes(spark, d):
+    sets = spread(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
+    return U.token_classes(sets).withColumnRenamed("id", "doc_id")
+
+
 @query(f"""
-    with t as (select doc_id, unnest({_TOKENS}) as token from documents), n as (select doc_id, count(*) as n from t group by 1),
-         c as (select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.token = y.token and x.doc_id < y.doc_id group by 1, 2)
+    with r as (select doc_id from ({_CLASSES}) where doc_id = rep), t as (select doc_id, unnest({_TOKENS}) as token from documents join r using (doc_id)),
+         n as (select doc_id, count(*) as n from t group by 1), c as (select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.token = y.token and x.doc_id < y.doc_id group by 1, 2)
     select a, b, round(c / (p.n + q.n - c)::double, 6) as similarity from c join n p on p.doc_id = a join n q on q.doc_id = b where c / (p.n + q.n - c)::double >= 0.7""")
 def similar_pairs(spark, d):
     sets = spread(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))

@@ -60,7 +60,9 @@ def test_similar_pairs_against_brute_force(spark, threshold):
     base = [set(rng.choice(40, rng.integers(0, 12), replace=False).tolist()) for _ in range(60)]
     base += [set(b) for b in base[:12]] + [set(list(b)[1:]) | {99} for b in base[:20]]
     rows = spark.createDataFrame([(i, [f"t{x}" for x in s]) for i, s in enumerate(base)], "id int, tokens array<string>")
-    want = {(a, b) for a, b in combinations(range(len(base)), 2) if base[a] | base[b] and base[a] and base[b] and len(base[a] & base[b]) / len(base[a] | base[b]) >= threshold}
+    rep = [base.index(b) for b in base]
+    assert {(r.id, r.rep) for r in U.token_classes(rows).collect()} == set(enumerate(rep))
+    want = {(a, b) for a, b in combinations(sorted(set(rep)), 2) if base[a] and base[b] and len(base[a] & base[b]) / len(base[a] | base[b]) >= threshold}
     got = [(r.a, r.b) for r in U.similar_pairs(rows, threshold).collect()]
     assert set(got) == want and len(got) == len(want)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from . import _shared
+
 #: A summed array is cut into pieces of so many cells.
 PIECE = 1 << 16
 
@@ -26,23 +28,36 @@ def unpack_sorted(data: bytes):
     return np.cumsum(gaps)
 
 
-def pack_cells(dense) -> tuple[bytes, bytes]:
-    """A dense array of whole numbers as its nonzero cells, compressed."""
+def pack_cells(dense) -> bytes:
+    """The nonzero cells of a piece of whole numbers, compressed."""
     import zlib
 
     import numpy as np
 
     at = np.flatnonzero(dense)
-    return zlib.compress(pack_sorted(at), 1), zlib.compress(dense[at].astype("<u4").tobytes(), 1)
+    return zlib.compress(pack_sorted(at) + dense[at].astype("<u4").tobytes(), 1)
 
 
-def unpack_cells(packed: tuple[bytes, bytes], size: int):
+def unpack_cells(packed: bytes, into) -> None:
+    """Fills the cells of a zero array."""
     import zlib
 
     import numpy as np
 
-    out = np.zeros(size, np.float32)
-    out[unpack_sorted(zlib.decompress(packed[0]))] = np.frombuffer(zlib.decompress(packed[1]), "<u4")
+    data = zlib.decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    into[unpack_sorted(data[: len(data) - 4 * n])] = np.frombuffer(data, "<u4", n, len(data) - 4 * n)
+
+
+def dense_arrays(packed: dict[str, list[tuple[int, bytes]]], size: int) -> dict:
+    """The arrays that packed pieces stand for, in float32."""
+    import numpy as np
+
+    out = {}
+    for name, pieces in packed.items():
+        out[name] = np.zeros(size, np.float32)
+        for piece, cells in pieces:
+            unpack_cells(cells, out[name][piece * PIECE : (piece + 1) * PIECE])
     return out
 
 
@@ -65,9 +80,8 @@ def sparse_rows(name: str, index, value):
 SPARSE = "name string, piece int, index binary, value binary"
 
 
-def sum_arrays(rows: DataFrame, sizes: dict[str, int]) -> dict:
-    """Sums sparse rows to dense float32 arrays. The driver gets the arrays' fixed sizes, whatever the number of rows."""
-    import numpy as np
+def sum_arrays(rows: DataFrame, names: tuple[str, ...]) -> dict[str, list[tuple[int, bytes]]]:
+    """Sums sparse rows. The driver gets the nonzero cells of a fixed number of pieces, compressed, whatever the number of rows."""
 
     def add(batches):
         import numpy as np
@@ -77,12 +91,12 @@ def sum_arrays(rows: DataFrame, sizes: dict[str, int]) -> dict:
         sums: dict[tuple, object] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                dense = sums.setdefault((r["name"], r["piece"]), np.zeros(PIECE, np.float32))
+                dense = sums.setdefault((r["name"], r["piece"]), np.zeros(PIECE, np.int64))
                 dense[unpack_sorted(r["index"])] += np.frombuffer(r["value"], "<i8")
         for (name, piece), dense in sums.items():
-            yield pa.RecordBatch.from_pylist([{"name": name, "piece": piece, "cells": dense.tobytes()}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"name": name, "piece": piece, "cells": pack_cells(np.minimum(dense, 0xFFFFFFFF))}], schema=schema)
 
-    out = {name: np.zeros(-(-size // PIECE) * PIECE, np.float32) for name, size in sizes.items()}
-    for r in rows.repartition("name", "piece").mapInArrow(add, "name string, piece int, cells binary").toLocalIterator():
-        out[r["name"]][r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["cells"], np.float32)
-    return {name: out[name][:size] for name, size in sizes.items()}
+    out: dict[str, list[tuple[int, bytes]]] = {name: [] for name in names}
+    for r in rows.repartition("name", "piece").transform(_shared.in_arrow, add, "name string, piece int, cells binary").toLocalIterator():
+        out[r["name"]].append((r["piece"], bytes(r["cells"])))
+    return out

@@ -124,16 +124,54 @@ def per_process(key: str, make):
     return held[key]
 
 
-def give_back_memory() -> None:
-    """At a task's end: what its buffers leave unused goes back to the system, as the worker process lives on."""
+#: Bytes of an Arrow batch that goes to Python: two tasks, their buffers and copies stay well inside an executor.
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, and memory that goes back to the system at a task's end, as worker processes live on."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28)).rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    per_process("malloc", _tidy_malloc)
+
+    def run(batches):
+        per_process("malloc", _tidy_malloc)
+        yield from function(batches)
+        _give_back_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def _libc():
     import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def _tidy_malloc() -> bool:
+    """Blocks over a megabyte are mapped one by one and unmapped when freed; Arrow's go the same way."""
+    import pyarrow as pa
+
+    libc = _libc()
+    if libc is not None and hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+        pa.set_memory_pool(pa.system_memory_pool())
+    return True
+
+
+def _give_back_memory() -> None:
     import gc
 
     import pyarrow as pa
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -108,7 +108,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, i
             kept = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *out.columns], [*kept, *result.names])
 
-    return taken.mapInArrow(scan, schema).withColumnRenamed("__id", id_column)
+    return taken.transform(_shared.in_arrow, scan, schema).withColumnRenamed("__id", id_column)
 
 
 def contaminated(per_cent: int = 5):

@@ -89,10 +89,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, t
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
-        _shared.give_back_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _shared.text_of(text_column).alias("text"))
-    return rows.mapInArrow(cut, T.StructType(fields))
+    return rows.transform(_shared.in_arrow, cut, T.StructType(fields))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text", slack: float = 0.02, with_ids: bool = False) -> DataFrame:
@@ -161,4 +160,4 @@ def _best_fit(rest: DataFrame, capacity: int, base: int) -> DataFrame:
         out = table.drop_columns(["class", "class_n", "rank"]).append_column("sequence_id", pa.array(where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
         yield from out.select(schema.names).to_batches()
 
-    return rest.repartition(1).mapInArrow(lay, schema)
+    return rest.repartition(1).transform(_shared.in_arrow, lay, schema)

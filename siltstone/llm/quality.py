@@ -119,7 +119,7 @@ def _featured(rows: DataFrame) -> DataFrame:
                 views[1].append(meta_features(*meta).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(views[0], pa.binary()), pa.array(views[1], pa.binary())], ["label", "text_view", "meta_view"])
 
-    return rows.mapInArrow(run, "label int, text_view binary, meta_view binary")
+    return rows.transform(_shared.in_arrow, run, "label int, text_view binary, meta_view binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str, label_column: str, max_labelled: int, max_pool: int, rounds: int):
@@ -181,4 +181,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x) for x in p)], ["id", "text_score", "meta_score", "score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *(T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score"))])
-    return rows.mapInArrow(run, schema).select("id", (fold("id") == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.transform(_shared.in_arrow, run, schema).select("id", (fold("id") == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     text = _shared.text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(_shared.in_arrow, run, schema)
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
@@ -265,7 +265,7 @@ def links(distinct: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
             yield from one(kept)
 
     key = ["turn", "depth", "a", "b"]
-    return _tasks(distinct, radius, most).repartition(*key).sortWithinPartitions(*key).mapInArrow(join, "u long, v long")
+    return _tasks(distinct, radius, most).repartition(*key).sortWithinPartitions(*key).transform(_shared.in_arrow, join, "u long, v long")
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 4, shingle: int = 4, most: int = 8192) -> DataFrame:

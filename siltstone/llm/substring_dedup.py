@@ -128,8 +128,8 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("id is not null")
 
 
-def count_min(texts: DataFrame, width: int, bits: int) -> list[bytes]:
-    """Per sketch row, one bit a cell: set if the windows counted there are two or more."""
+def count_min(texts: DataFrame, width: int, bits: int) -> dict[int, bytes]:
+    """By range of cells, compressed: one bit a cell, set if the windows counted there are two or more."""
 
     def sketch(batches):
         import numpy as np
@@ -175,17 +175,23 @@ def count_min(texts: DataFrame, width: int, bits: int) -> list[bytes]:
                 count = counts.setdefault(r["range"], np.zeros(span, np.uint8))
                 for ids, add in ((_undeltas(r["once"]), 1), (_undeltas(r["more"]), 2)):
                     count[ids] = np.minimum(count[ids], 250) + add
-        out = [{"range": k, "bits": np.packbits(c > 1).tobytes()} for k, c in counts.items()]
+        out = [{"range": k, "bits": zlib.compress(np.packbits(c > 1).tobytes(), 1)} for k, c in counts.items()]
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("range", pa.int32()), ("bits", pa.binary())]))
 
-    partial = texts.select("text").mapInArrow(sketch, "range int, once binary, more binary")
-    merged = partial.repartition("range").mapInArrow(merge, "range int, bits binary")
+    partial = texts.select("text").transform(_shared.in_arrow, sketch, "range int, once binary, more binary")
+    merged = partial.repartition("range").transform(_shared.in_arrow, merge, "range int, bits binary")
+    return {r["range"]: bytes(r["bits"]) for r in merged.toLocalIterator()}  # ROWS * 2**bits / 8 bytes at most, compressed
+
+
+def bitmaps(packed: dict[int, bytes], bits: int) -> list:
+    """The sketch's rows, a bit a cell."""
+    import numpy as np
+
     size = max(1, (1 << bits) // 8 // RANGES)
-    rows = [bytearray(size * RANGES) for _ in range(ROWS)]
-    for r in merged.toLocalIterator():  # ROWS * 2**bits / 8 bytes in all
-        row, k = divmod(r["range"], RANGES)
-        rows[row][k * size : (k + 1) * size] = r["bits"]
-    return [zlib.compress(bytes(x), 1) for x in rows]
+    out = [np.zeros(size * RANGES, np.uint8) for _ in range(ROWS)]
+    for k, data in packed.items():
+        out[k // RANGES][k % RANGES * size : (k % RANGES + 1) * size] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
 
 
 def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int) -> DataFrame:
@@ -237,7 +243,7 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
         import numpy as np
         import pyarrow as pa
 
-        bitmaps = [np.frombuffer(zlib.decompress(x), np.uint8) for x in heavy.value]
+        heavy_cells = bitmaps(heavy.value, bits)
         hasher, held, count, ids, keys, n_docs = WordHasher(), [], 0, [], [], 0
 
         def flush():
@@ -266,7 +272,7 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
                 hit = np.ones(len(h), bool)
                 for row in range(ROWS):
                     cell = cells(h, row, bits)
-                    hit &= (bitmaps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+                    hit &= (heavy_cells[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
                 held.append((h[hit], more[hit].astype(np.uint16), doc[hit] + n_docs, place[hit]))
                 ids.append(rows.column("id").to_numpy())
                 keys.append(rows.column("text_key").to_numpy())
@@ -277,7 +283,6 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
                     held, count, ids, keys, n_docs = [], 0, [], [], 0
         if count:
             yield from flush()
-        _shared.give_back_memory()
 
     def settle(batches):
         import numpy as np
@@ -309,7 +314,6 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
                 n += table.shape[1]
         if held:
             yield from finish()
-        _shared.give_back_memory()
 
     def gather(batches):
         import numpy as np
@@ -341,8 +345,8 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
             own = cut[lo : lo + 20_001]
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc[first[own[:-1]]]]), pa.array(keys[doc[first[own[:-1]]]]), pa.array([spans[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())], schema=schema)
 
-    dealt = texts.mapInArrow(candidates, wire).repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(settle, wire).select("shard", "docs", "starts", "places").repartition(shards, "shard").mapInArrow(gather, "id long, text_key long, spans binary")
+    dealt = texts.transform(_shared.in_arrow, candidates, wire).repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.transform(_shared.in_arrow, settle, wire).select("shard", "docs", "starts", "places").repartition(shards, "shard").transform(_shared.in_arrow, gather, "id long, text_key long, spans binary")
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id", text_column: str = "text", max_cell_bits: int = MAX_CELL_BITS) -> DataFrame:
@@ -393,4 +397,4 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), *made.columns], ["id", *result.names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *T._parse_datatype_string("n_words long, n_removed long, spans array<struct<begin:int,end:int>>, kept_text string").fields])
-    return rows.mapInArrow(cut, schema)
+    return rows.transform(_shared.in_arrow, cut, schema)

@@ -196,7 +196,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))),
                 ], ["doc_id", "part", "file_start", "n_tokens", "ids"])
                 seen += int(offsets[-1])
-        _shared.give_back_memory()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _shared.text_of(text_column).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -205,7 +204,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
         "parquet.block.size": str(row_group_mb << 20), "parquet.page.size": str(page_kb << 10), "parquet.page.row.count.limit": "2000",
     }
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**options).parquet(path)
+    ordered.transform(_shared.in_arrow, encode, FILE_SCHEMA).write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -229,7 +228,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("file_start"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "file_start", "n_tokens", "ids_crc32"])
 
-    read = read_tokens(spark, path, "doc_id", "part", "file_start", "ids").mapInArrow(check, "doc_id long, part int, file_start long, n_tokens long, ids_crc32 long")
+    read = read_tokens(spark, path, "doc_id", "part", "file_start", "ids").transform(_shared.in_arrow, check, "doc_id long, part int, file_start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     totals = read_tokens(spark, path, "part", "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     bases = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))

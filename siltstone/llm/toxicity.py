@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _shared
-from ._blobs import SPARSE, pack_cells, sparse_rows, sum_arrays, unpack_cells
+from ._blobs import SPARSE, dense_arrays, sparse_rows, sum_arrays
 
 CELL_BITS = 22
 #: The longest beginning, in letters.
@@ -68,7 +68,7 @@ def cells_of(units):
 
 @dataclass
 class Model:
-    """Counts by cell, and the calibration; ``prior`` alone where a class has no rows."""
+    """Counts by cell (compressed on the driver), and the calibration; ``prior`` alone where a class has no rows."""
 
     counts: dict | None
     prior: float
@@ -188,7 +188,7 @@ def unit_counts(rows: DataFrame) -> DataFrame:
                 seen = pa.array(np.flatnonzero(n[0] + n[1]))
                 yield pa.RecordBatch.from_arrays([names.take(seen), pa.array(n[0]).take(seen), pa.array(n[1]).take(seen)], ["word", "ordinary", "toxic"])
 
-    counted = rows.select("text", "label").mapInArrow(words, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counted = rows.select("text", "label").transform(_shared.in_arrow, words, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     size = F.char_length("word")
     begin = F.transform(F.sequence(F.lit(0), F.least(size, F.lit(DEPTH))), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("unit"), F.when(k > 0, F.substring(F.col("word"), F.lit(1), k - 1)).alias("parent")))
     whole = F.array(F.struct(F.concat("word", F.lit(END)).alias("unit"), F.substring("word", 1, DEPTH).alias("parent")))
@@ -231,7 +231,7 @@ def _sparse(units: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return units.mapInArrow(run, SPARSE)
+    return units.transform(_shared.in_arrow, run, SPARSE)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_calibration: int = 20_000) -> Model:
@@ -244,10 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     prior = sum(x for k, x in sums.items() if k[1]) / n if n else 0.0
     if not all((True, k) in sums for k in (False, True)):
         return Model(None, prior)
-    counts = sum_arrays(_sparse(unit_counts(rows.where("fold < 4"))), {name: 1 << CELL_BITS for name in ARRAYS})
-    for name in ("ordinary", "toxic"):
-        counts[f"held-{name}"][counts[name] == 0] = 0  # asked for below a known beginning only
-    model = Model(counts, prior)
+    model = Model(sum_arrays(_sparse(unit_counts(rows.where("fold < 4"))), ARRAYS), prior)
     if (False, True) in sums and (False, False) in sums:
         some = rows.where("fold = 4").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_calibration)
         asked = rows.where("fold = 4").join(F.broadcast(some), "id", "left_semi")  # max_calibration ids at most
@@ -261,15 +258,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """rows with a text column: the kept columns, features and score."""
-    packed = model.counts and {name: pack_cells(x) for name, x in model.counts.items()}
-    sent = rows.sparkSession.sparkContext.broadcast((packed, model.prior, model.weights))  # of a fixed size: the cells above
+    sent = rows.sparkSession.sparkContext.broadcast((model.counts, model.prior, model.weights))  # of a fixed size: the cells above
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         packed, prior, weights = sent.value
-        own = Model(packed and {name: unpack_cells(x, 1 << CELL_BITS) for name, x in packed.items()}, prior, weights)
+        own = Model(packed and dense_arrays(packed, 1 << CELL_BITS), prior, weights)
         for batch in batches:
             for part in _shared.row_slices(batch, "text"):
                 if own.counts is None:
@@ -279,10 +275,9 @@ def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     score = own.score(features)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 4), pa.array(features.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), listed, pa.array(score)], [*keep, "features", "score"])
-        _shared.give_back_memory()
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("score", T.DoubleType())])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, "text").transform(_shared.in_arrow, run, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_calibration: int = 20_000) -> DataFrame:

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    if path.startswith("file:/") and spark.sparkContext.master.startswith("local["):
+    if path.startswith(("file:/", "/")) and spark.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), True)  # one machine: nobody else reads it later
     return path
 

@@ -101,4 +101,23 @@ ORACLE_SQL = {
         select d.doc_id, count(j.i) as n_lines, count(j.i) filter (where gone) as n_removed,
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
         from documents d left join judged j on d.doc_id = j.doc_id group by d.doc_id""",
+    "op7_substring_dedup": r"""
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+             p as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as k from d, lateral (select unnest(range(1, len(w) - 11)) as i) u),
+             f as (select k, min(doc_id) as first_id from p group by k having count(*) > 1),
+             gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from p join f using (k) where first_id < doc_id),
+             words as (select doc_id, j, w[j] as word from d, lateral (select unnest(range(1, len(w) + 1)) as j) u),
+             kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by j) as t from words anti join gone using (doc_id, j) group by doc_id)
+        select d.doc_id, len(w)::bigint as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op10_decontamination": r"""
+        with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+             b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+             win as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i:i + 12], ' ') as k from b, lateral (select unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i) u where len(w) > 0),
+             p as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as k from (select * from d, (select distinct n from win) l where len(w) >= n), lateral (select unnest(range(1, len(w) - n + 2)) as i) u),
+             hit as (select doc_id, i, n, item_id from p join win using (n, k)),
+             pos as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hit) group by doc_id),
+             items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item_id::varchar as item from hit where item_id is not null) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from d left join pos using (doc_id) left join items using (doc_id)""",
 }

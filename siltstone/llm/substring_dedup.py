@@ -36,40 +36,26 @@ ROWS = 2
 RANGES = 64
 
 
-class WordHasher:
-    """64-bit hashes of words, each distinct word of a batch hashed once."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def words(self, texts):
-        """Hash of every word (numpy), and the offsets of the texts."""
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        import xxhash
-
-        parts = pc.ascii_split_whitespace(texts)
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        flat = parts.flatten()
-        coded = flat.dictionary_encode()
-        names = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for w in names:
-            if w not in known:
-                known[w] = digest(w)
-        hashes = np.array([known[w] for w in names], np.uint64)
-        real = np.array([bool(w) for w in names], bool)  # a text that starts or ends with white space gives empty words
-        index = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int64)
-        bounds = bounds - bounds[0]
-        if not real.all():
-            keep = real[index]
-            bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
-            index = index[keep]
-        return (hashes[index] if len(index) else np.empty(0, np.uint64)), bounds
+def hash_words(texts):
+    """64-bit hash of every word of an Arrow string array, each distinct word hashed once, and the offsets of the texts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    parts = pc.ascii_split_whitespace(texts)
+    bounds = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    names, digest = coded.dictionary.cast(pa.binary()), xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((digest(w.as_buffer()) for w in names), np.uint64, len(names))
+    real = pc.greater(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)  # a text that starts or ends with white space gives empty words
+    index = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int32)
+    bounds = bounds - bounds[0]
+    if not real.all():
+        keep = real[index]
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        index = index[keep]
+    return (hashes[index] if len(index) else np.empty(0, np.uint64)), bounds
 
 
 def window_hashes(words, bounds, width: int):
@@ -78,8 +64,8 @@ def window_hashes(words, bounds, width: int):
 
     sizes = np.diff(bounds)
     n = np.maximum(sizes - width + 1, 0)
-    doc = np.repeat(np.arange(len(sizes)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), n)
+    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     if not len(doc):
         return np.empty(0, np.uint64), np.empty(0, np.uint32), doc, place
     first = bounds[:-1][doc] + place
@@ -101,7 +87,7 @@ def window_hashes(words, bounds, width: int):
 def cells(h, row: int, bits: int):
     import numpy as np
 
-    return ((h >> np.uint64(64 - bits)) if row == 0 else ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits))).astype(np.int64)
+    return ((h >> np.uint64(64 - bits)) if row == 0 else ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits))).astype(np.uint32)
 
 
 def _deltas(sorted_ids) -> bytes:
@@ -135,7 +121,7 @@ def count_min(texts: DataFrame, width: int, bits: int) -> dict[int, bytes]:
         import numpy as np
         import pyarrow as pa
 
-        hasher, pending, held = WordHasher(), [], 0
+        pending, held = [], 0
         schema = pa.schema([("range", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
         span = 1 << max(0, bits - int(math.log2(RANGES)))
 
@@ -143,19 +129,20 @@ def count_min(texts: DataFrame, width: int, bits: int) -> dict[int, bytes]:
             h = np.concatenate(pending)
             out = []
             for row in range(ROWS):
-                cell = np.sort(cells(h, row, bits))
-                new = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
+                cell = cells(h, row, bits)
+                cell.sort()
+                new = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
                 cell, times = cell[new[:-1]], np.diff(new)
                 edges = np.searchsorted(cell, np.arange(0, (1 << bits) + span, span))
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     if b > a:
-                        own, twice = cell[a:b] - k * span, times[a:b] > 1
+                        own, twice = cell[a:b].astype(np.int64) - k * span, times[a:b] > 1
                         out.append({"range": row * RANGES + k, "once": _deltas(own[~twice]), "more": _deltas(own[twice])})
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text"):
-                h, _, _, _ = window_hashes(*hasher.words(rows.column("text")), width)
+            for rows in _shared.row_slices(batch, "text", 4_000_000):
+                h, _, _, _ = window_hashes(*hash_words(rows.column("text")), width)
                 pending.append(h)
                 held += len(h)
                 if held > 6_000_000:
@@ -244,7 +231,7 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
         import pyarrow as pa
 
         heavy_cells = bitmaps(heavy.value, bits)
-        hasher, held, count, ids, keys, n_docs = WordHasher(), [], 0, [], [], 0
+        held, count, ids, keys, n_docs = [], 0, [], [], 0
 
         def flush():
             h, more, doc, place = (np.concatenate(x) for x in zip(*held))
@@ -267,18 +254,18 @@ def repeated_spans(texts: DataFrame, width: int, bits: int, heavy, shards: int)
             yield pa.RecordBatch.from_pylist(out, schema=schema())
 
         for batch in batches:
-            for rows in _shared.row_slices(batch, "text"):
-                h, more, doc, place = window_hashes(*hasher.words(rows.column("text")), width)
+            for rows in _shared.row_slices(batch, "text", 4_000_000):
+                h, more, doc, place = window_hashes(*hash_words(rows.column("text")), width)
                 hit = np.ones(len(h), bool)
                 for row in range(ROWS):
                     cell = cells(h, row, bits)
                     hit &= (heavy_cells[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-                held.append((h[hit], more[hit].astype(np.uint16), doc[hit] + n_docs, place[hit]))
+                held.append((h[hit], more[hit].astype(np.uint16), (doc[hit] + n_docs).astype(np.int32), place[hit].astype(np.int32)))
                 ids.append(rows.column("id").to_numpy())
                 keys.append(rows.column("text_key").to_numpy())
                 n_docs += rows.num_rows
                 count += int(hit.sum())
-                if count > 3_000_000:
+                if count > 2_000_000:
                     yield from flush()
                     held, count, ids, keys, n_docs = [], 0, [], [], 0
         if count:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from siltstone.llm import _shared
 from siltstone.llm.decontam import drop_contaminated
 from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.near_copies import drop_similar
 from siltstone.llm.packing import pack
 from siltstone.llm.queries import table, tokenizer_path
-from siltstone.llm.simhash import drop_near_copies
 from siltstone.llm.toxicity import drop_toxic
 
 
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles stays, the one with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

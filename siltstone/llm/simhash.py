@@ -290,7 +290,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id (see near_groups). Rows alike in id and text count as one."""
-    found = near_groups(docs, id_column, text_column, radius, shingle)
+    return keep_first(docs, near_groups(docs, id_column, text_column, radius, shingle), id_column, text_column)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """docs with the rows that found (id, text_key, row, keep_row) keeps, all columns as they were. Rows alike in id and text count as one."""
     key = lambda i, t: F.xxhash64(i, t).alias("key")
     kept = found.where("row = keep_row").select(key(F.col("id"), F.col("text_key")), "id", "text_key")
     gone = found.where("row <> keep_row").select(key(F.col("id"), F.col("text_key")), "id", "text_key")

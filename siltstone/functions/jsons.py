@@ -17,8 +17,9 @@ REASONING_BLOCKS = (
     r"(?is)<\|channel>thought\s*.*?<channel\|>",
     r"(?is)<\|channel\|>thought\s*.*?<\|channel\|>",
 )
+#: Fixed value: a token that opens reasoning at the start of an answer.
 LEADING_TOKEN = r"(?i)^\s*<\|think\|>\s*"
-#: Prose before a closer goes only if JSON follows it.
+#: Fixed value: prose before a closer, which goes only if JSON follows it.
 LEADING_PROSE = r"(?is)^\s*(?:(?!<think(?:ing)?>).)*?</think(?:ing)?>\s*(?=(?:```(?:json)?\s*)?\{)"
 #: Fixed value: how much of an error's detail is kept.
 MAX_DETAIL = 4000
@@ -109,21 +110,29 @@ def _value_problems(name: str, value: Column, schema: Mapping[str, Any]) -> list
     return out
 
 
-def schema_problems(json: Column, schema: Mapping[str, Any]) -> list[tuple[str, Column]]:
-    """(code, whether it is broken) for a closed object schema: required, unexpected, then each property's own rules."""
-    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+def opened(json: Column) -> Column:
+    """Struct (keys, value) of an object's text. Put into a column of its own, it is parsed once for all rules."""
+    return F.struct(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")).alias("keys"), F.try_parse_json(json).alias("value"))
+
+
+def opened_problems(there: Column, schema: Mapping[str, Any]) -> list[tuple[str, Column]]:
+    """(code, whether it is broken) for a closed object schema: required, unexpected, then each property's own rules. See ``opened``."""
+    keys, parsed = there["keys"], there["value"]
     out = [(f"{name}:required", ~F.array_contains(keys, name)) for name in schema.get("required", [])]
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(n) for n in schema["properties"]])
         out.append(("unexpected", F.size(F.array_except(keys, known)) > 0))
-    parsed = F.try_parse_json(json)
     for name, rules in schema.get("properties", {}).items():
         value = F.try_variant_get(parsed, f"$.{name}", "variant")
-        there = F.array_contains(keys, name)
-        out += [(code, there & broken) for code, broken in _value_problems(name, value, rules)]
+        out += [(code, F.array_contains(keys, name) & broken) for code, broken in _value_problems(name, value, rules)]
     return out
 
 
+def schema_problems(json: Column, schema: Mapping[str, Any]) -> list[tuple[str, Column]]:
+    """The same for an object's text, parsed anew in each rule: for the odd row; else see ``opened``."""
+    return opened_problems(opened(json), schema)
+
+
 def first_problem(problems: list[tuple[str, Column]]) -> Column:
     """The code of the first rule that is broken; null if none is. A rule on a missing value is not broken."""
     out = F.lit(None).cast("string")
@@ -179,15 +188,37 @@ def message_text(response: Column, structured: bool = False) -> Column:
     return F.struct(F.when(problem.isNull(), F.when(empty, rescued).otherwise(content)).alias("text"), problem.alias("problem"))
 
 
+def _quoted(text: Column) -> Column:
+    """A text between quotes, single ones unless it holds those alone."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
 def error_detail(body: Column) -> Column:
     """What an HTTP error body says: its error's fields, its detail, or all of it, cut to a fixed length."""
-    fields = [F.concat(F.lit(f"{k}="), F.nullif(F.get_json_object(body, f"$.error.{k}"), F.lit(""))) for k in ("message", "type", "param", "code")]
-    joined = F.nullif(F.concat_ws(", ", *fields), F.lit(""))
+    value = F.try_parse_json(body)
+
+    def shown(name: str) -> Column:
+        at = F.try_variant_get(value, f"$.error.{name}", "variant")
+        text = F.get_json_object(body, f"$.error.{name}")
+        said = F.when(F.schema_of_variant(at) == "STRING", _quoted(text)).otherwise(text)
+        return F.when(text != "", F.concat(F.lit(f"{name}="), said))
+
+    joined = F.nullif(F.concat_ws(", ", *[shown(k) for k in ("message", "type", "param", "code")]), F.lit(""))
     detail = F.nullif(F.get_json_object(body, "$.detail"), F.lit(""))
-    text = F.coalesce(joined, detail, F.nullif(strip(body), F.lit("")), F.lit("empty error response"))
+    whole = F.when(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.to_json(value))
+    text = F.coalesce(joined, detail, whole, F.nullif(strip(body), F.lit("")), F.lit("empty error response"))
     return F.when(F.char_length(text) > MAX_DETAIL, F.concat(F.substring(text, 1, MAX_DETAIL), F.lit("... [truncated]"))).otherwise(text)
 
 
+def request_summary(request: Column, standard: tuple[str, ...] = ("model", "messages", "temperature", "top_p", "max_tokens", "response_format")) -> Column:
+    """What a request asked for, without the text of its messages."""
+    messages = F.get_json_object(request, "$.messages")
+    extra = F.array_sort(F.array_except(F.coalesce(F.json_object_keys(request), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in standard])))
+    return F.struct(F.get_json_object(request, "$.model").alias("model"), F.json_array_length(messages).alias("message_count"), prompt_chars(request).alias("prompt_chars"), F.get_json_object(request, "$.response_format.type").alias("response_format"), extra.alias("extra_fields"))
+
+
 def prompt_chars(request: Column) -> Column:
     contents = F.from_json(F.get_json_object(request, "$.messages"), "array<struct<role:string,content:string>>")
     return F.aggregate(contents, F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.char_length(m["content"]), F.lit(0)))

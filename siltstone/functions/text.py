@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(collapse(text), " "), lambda w: w != "")
 
 
+@functools.cache
 def _expansions() -> list[tuple[str, str]]:
     """Characters whose case folding is not their lower case, found by rule; letters that a lower-case text cannot hold are left out."""
     return [(c, f) for c in map(chr, range(0x80, 0x1FFFF)) if (f := c.casefold()) != (low := c.lower()) and c.isalnum() for c in {c, low} if len(c) == 1 and c.casefold() == f]

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.hashing import stable_hash
 from ..functions.text import nonblank, split_keywords, strip
 from ..schemas import CAPTION_COLUMNS
+from ..sources.scratch import new_path
 
 
 def one_per_key(df: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -103,6 +104,30 @@ def split_stats(classified: DataFrame, metadata_rows: DataFrame, split: str = "s
     return out.withColumn("missing_caption_rows", F.greatest(F.lit(0), F.col("metadata_rows_loaded") - F.col("caption_rows_loaded")))
 
 
+def append_splits(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all splits in one table with the split's name; a column that a split lacks is null there."""
+    out = None
+    for name, rows in parts.items():
+        named = rows.withColumn("split", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("there are no splits")
+    return out
+
+
+def audio_of_split(own: DataFrame, whole: DataFrame) -> DataFrame:
+    """The split's own audio index, or the whole root's where the split's folder has no audio at all. Both: file_name, path."""
+    return whole if own.isEmpty() else own
+
+
+def run_totals(stats: DataFrame, written: DataFrame, provenance_rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: splits seen and records, provenance rows and errors of all of them."""
+    parts = stats.select(F.lit("split_names").alias("name"), F.lit(1).cast("long").alias("n"), "split")
+    for df, name in ((written, "total_records_written"), (provenance_rows, "total_provenance_records_written"), (errors, "total_errors")):
+        parts = parts.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"), allowMissingColumns=True)
+    return parts.agg(F.array_sort(F.collect_set("split")).alias("split_names"), *[F.sum(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in ("total_records_written", "total_provenance_records_written", "total_errors")])
+
+
 def duplicate_ids(rows: DataFrame, column: str = "audio_id") -> DataFrame:
     """Non-blank ids on more than one row."""
     return rows.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg(F.count("*").alias("count")).where("count > 1")
@@ -121,11 +146,28 @@ def lean(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_ordinal(df: DataFrame, *order: Column) -> DataFrame:
-    """row_ordinal from 0 in the given order, numbered across range partitions without gathering rows in one task."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    shift = counts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return placed.join(shift, "__part").withColumn("row_ordinal", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+def with_ordinal(df: DataFrame, *order: Column, name: str = "row_ordinal") -> DataFrame:
+    """A number from 0 in the given order, without gaps; no row is gathered in one task.
+
+    The rows are written once, in order, by range; a row's number is its place
+    in its file and the rows of the files before it. So it does not depend on
+    which columns are read later, nor on how Spark plans that. Rows that the
+    order does not tell apart are numbered in any order, but for good.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "ordered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    file = F.struct(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("task"), F.col("_metadata.file_name").alias("name"))
+    at = _unused("__at", df)
+    placed = spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns], F.struct(file.alias("file"), F.col("_metadata.row_index").alias("row")).alias(at))
+    counts = placed.groupBy(F.col(f"{at}.file").alias("__file")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    first = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    joined = placed.join(first, F.col(f"{at}.file") == F.col("__file"))
+    return joined.select(*[placed[f"`{c}`"] for c in df.columns], (F.col(f"{at}.row") + F.col("__first")).alias(name))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

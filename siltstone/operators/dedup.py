@@ -7,9 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-
-_COLUMNS = "ordinal long, claim string, question string, signature string"
-
+from ..sources.scratch import put_aside
 
 def ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp similarity without junk heuristics; 0 for an empty side. It is not symmetric."""
@@ -37,28 +35,125 @@ def similar(new: tuple[str, str, str], kept: tuple[str, str, str], threshold: fl
     return reaches(new[0], kept[0], threshold) or reaches(f"{new[0]} {new[1]}", f"{kept[0]} {kept[1]}", threshold)
 
 
+def _numbered(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str, signature: Column) -> DataFrame:
+    """row (all columns), n (a number of its own), at (order in the unit), and what candidates are compared by. Written, so that n is fixed."""
+    text = lambda c: normalized(F.coalesce(F.col(c), F.lit("")))
+    made = rows.select(
+        F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("n"), F.struct(F.col(ordinal).isNull().alias("last"), F.col(ordinal).alias("ordinal")).alias("at"),
+        F.struct(F.col(unit).alias("unit")).alias("unit"), text(claim).alias("claim"), text(question).alias("question"), F.coalesce(signature, F.lit("")).alias("signature"),
+    )
+    return put_aside(made, "candidates")
+
+
+def _with_verdict(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    gone = dropped.select("n", F.lit(True).alias("gone"))
+    return numbered.select("row", "n").join(gone, "n", "left").select("row.*", F.col("gone").isNull().alias("kept"))
+
+
+def _first_of(rows: DataFrame, *key: str) -> DataFrame:
+    """The key and ``first``: (at, n) of its first row. A partial aggregate finds it, whatever the number of copies."""
+    return rows.groupBy(*key).agg(F.min(F.struct("at", "n")).alias("first"))
+
+
+def _runs(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters; none in a shorter text."""
+    n = F.char_length(text)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _close_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """new, old: numbers of candidates of one unit and signature whose claims, or claims with questions, may reach the ratio; none that do is left out.
+
+    A ratio of t or more leaves at most (1 - t) (a + b) characters of both
+    texts outside the matches, and each takes ``size`` runs of characters away
+    at most. So a prefix filter over runs, from rare to common, finds all pairs:
+    for runs of two characters from 0.88 on, of one above two thirds. Below
+    that it bounds nothing, and lengths alone rule pairs out.
+    """
+    size = 2 if threshold >= 0.88 else 1
+    texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("claim").alias("text")), F.struct(F.lit(1).alias("kind"), F.concat_ws(" ", "claim", "question").alias("text")))
+    rows = reps.select("unit", "signature", "n", "at", F.explode(texts).alias("x")).select("unit", "signature", "n", "at", "x.*").where("text <> ''").withColumn("size", F.char_length("text"))
+    own = ["unit", "signature", "kind", "n", "at", "size"]
+    if threshold > 2 / 3:
+        runs = rows.select(*own, F.explode(_runs(F.col("text"), size)).alias("run")).groupBy(*own, "run").agg(F.count("*").alias("times"))
+        runs = put_aside(runs.select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.concat_ws(" ", "run", k.cast("string")))).alias("run")), "runs")
+        often = runs.groupBy("run").agg(F.count("*").alias("df"))
+        ranked = runs.join(often, "run").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("runs"))
+        # the longer of a pair has (2 - t) / t of the shorter's characters at most, so this bounds what is outside the matches
+        outside = F.floor(F.col("size") * (2 * (1 - threshold) / threshold) + 1e-6)
+        heads = ranked.select(*own, F.explode(F.slice("runs", F.lit(1), (outside * size + 1).cast("int"))).alias("head")).withColumn("head", F.col("head.run"))
+        heads = heads.unionByName(rows.where(F.col("size") < size).select(*own, F.lit(None).cast("string").alias("head")))
+    else:
+        heads = rows.select(*own, F.lit(None).cast("string").alias("head"))
+    key = ["unit", "signature", "kind", "head"]
+    old, new = (heads.select(*[F.col(c).alias(f"{c}_{s}") for c in heads.columns]) for s in "on")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(f"{c}_o").eqNullSafe(F.col(f"{c}_n"))
+    fits = (F.struct("at_o", "n_o") < F.struct("at_n", "n_n")) & (2 * F.least("size_o", "size_n") >= (F.col("size_o") + F.col("size_n")) * threshold - 1e-9)
+    return old.join(new, same).where(fits).select(F.col("n_n").alias("new"), F.col("n_o").alias("old")).distinct()
+
+
 def keep_distinct(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str, signature: Column, threshold: float = 0.9) -> DataFrame:
-    """rows with ``kept``: false for one similar to an earlier kept one of its unit. A unit holds the few candidates made for it."""
+    """rows with ``kept``: false for one similar to an earlier kept one of its unit.
+
+    Every row comes back once. Rows of a null unit are a unit; null texts count
+    as empty; a null ordinal comes last, and ties are settled by a number that
+    the rows are given. Rows alike in text and signature are compared as one.
+    Pairs that may be similar come from a join over rare runs of characters and
+    are compared in tasks that Spark deals out; the verdicts are then settled
+    in rounds that equal a walk through the unit in order. So a unit may hold
+    any share of the rows.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    taken = rows.select(F.col(unit).alias("__unit"), F.col(ordinal).cast("long").alias("ordinal"), normalized(F.coalesce(F.col(claim), F.lit(""))).alias("claim"), normalized(F.coalesce(F.col(question), F.lit(""))).alias("question"), F.coalesce(signature, F.lit("")).alias("signature"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        for row in zip(pdf["claim"], pdf["question"], pdf["signature"]):
-            out.append(not any(similar(row, k, threshold) for k in kept))
-            if out[-1]:
-                kept.append(row)
-        return pd.DataFrame({"__unit": pdf["__unit"], "ordinal": pdf["ordinal"], "kept": out})
-
-    verdicts = taken.groupBy("__unit").applyInPandas(walk, f"__unit {rows.schema[unit].dataType.simpleString()}, ordinal long, kept boolean")
-    return rows.join(verdicts, (F.col(unit).eqNullSafe(F.col("__unit"))) & (F.col(ordinal) == verdicts["ordinal"])).select(*[rows[c] for c in rows.columns], "kept")
+    numbered = _numbered(rows, unit, ordinal, claim, question, signature)
+    key = ["unit", "claim", "question", "signature"]
+    firsts = put_aside(_first_of(numbered, *key).select(*key, "first.at", "first.n"), "firsts")
+    reps = firsts.select("n", "at", *key)
+    # equal texts under other signatures are similar, too: each to the ones before it
+    spelled = reps.groupBy("unit", "claim", "question").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("same")).where(F.size("same") > 1)
+    equal = spelled.select(F.posexplode("same").alias("i", "x"), "same").select(F.col("x.n").alias("new"), F.explode(F.slice("same", F.lit(1), F.col("i"))).alias("y")).select("new", F.col("y.n").alias("old"))
+    texts = reps.select("n", "claim", "question")
+
+    @F.pandas_udf("boolean")
+    def alike(c: pd.Series, q: pd.Series, d: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([reaches(a, x, threshold) or reaches(f"{a} {b}", f"{x} {y}", threshold) for a, b, x, y in zip(c, q, d, r)], dtype=bool)
+
+    pairs = _close_pairs(reps, threshold)
+    for side in ("new", "old"):
+        pairs = pairs.join(texts.select(F.col("n").alias(side), F.col("claim").alias(f"c_{side}"), F.col("question").alias(f"q_{side}")), side)
+    close = pairs.where(alike("c_new", "q_new", "c_old", "q_old")).select("new", "old")
+    links = put_aside(close.unionByName(equal).distinct(), "links")
+    dropped = _settled(links)
+    # a row that is not the first of its kind goes, whatever becomes of the first: what drops that one drops it, too
+    later = numbered.join(firsts.select(F.col("n").alias("n")), "n", "left_anti").select("n")
+    return _with_verdict(numbered, later.unionByName(dropped))
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """n of the rows that go. links: new, old. In order, a row goes if it is linked to an earlier one that stays.
+
+    Rounds: a row without open links to earlier ones stays, and what is linked
+    to it goes. Each round settles the first open row of every chain.
+    """
+    open_, gone = links, []
+    while not open_.isEmpty():
+        stays = open_.select(F.col("old").alias("n")).distinct().join(open_.select(F.col("new").alias("n")), "n", "left_anti")
+        out = put_aside(open_.join(stays.select(F.col("n").alias("old")), "old", "left_semi").select(F.col("new").alias("n")).distinct(), "gone")
+        gone.append(out)
+        left = open_.join(out.select(F.col("n").alias("new")), "new", "left_anti").join(out.select(F.col("n").alias("old")), "old", "left_anti")
+        open_ = put_aside(left.select("new", "old"), "open")
+    if not gone:
+        return links.select(F.col("new").alias("n"))
+    whole = gone[0]
+    for g in gone[1:]:
+        whole = whole.unionByName(g)
+    return whole
 
 
 def keep_distinct_exact(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str) -> DataFrame:
     """The same for a threshold that only equal texts reach, without Python."""
-    key = [F.col(unit), normalized(F.coalesce(F.col(claim), F.lit(""))), normalized(F.coalesce(F.col(question), F.lit("")))]
-    from pyspark.sql.window import Window
-
-    return rows.withColumn("kept", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal)) == 1)
+    numbered = _numbered(rows, unit, ordinal, claim, question, F.lit(""))
+    firsts = _first_of(numbered, "unit", "claim", "question").select("first.n")
+    return _with_verdict(numbered, numbered.join(firsts, "n", "left_anti").select("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,30 +11,45 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import seeded_index, seeded_order, unit_id
 from ..functions.text import jaccard
+from ..sources.scratch import put_aside
 from .assemble import with_ordinal
 
 #: The versions that units carry.
 UNIT_VERSION = "audio_unit_manifest_v1"
 GROUNDING_STANDARD = "caption_grounded"
+#: How members of a unit go together.
+STRATEGIES = ("random", "similar", "dissimilar")
 
 
 def seeded_subset(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     """The first ``size`` rows of a seeded shuffle with their place in it (``ord``); all of them for a size of 0 or less."""
     order = [seeded_order(seed, F.col(key)), F.col(key)]
     if size <= 0:
-        return with_ordinal(rows, *order).withColumnRenamed("row_ordinal", "ord")
+        return with_ordinal(rows, *order, name="ord")
     drawn = rows.orderBy(*order).limit(size)
     return drawn.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)  # of a sample that the caller bounds
 
 
-def combinations(subset: DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """m0..m(k-1): structs of the columns of every unordered choice of k rows by ``ord``. The caller bounds C(n, k)."""
-    member = F.struct("ord", *columns)
-    out = subset.select(member.alias("m0")).repartition(subset.sparkSession.sparkContext.defaultParallelism)
+def combinations(subset: DataFrame, n: int, k: int, columns: list[str]) -> DataFrame:
+    """priority and m0..m(k-1): structs of the columns of every unordered choice of k of the n rows with ``ord`` 0 to n - 1. The caller bounds C(n, k).
+
+    The choices are numbers that are counted up, and rows are joined to them by ``ord``.
+    """
+    out = subset.sparkSession.range(n).select(F.array("id").alias("ords"))
     for i in range(1, k):
-        right = subset.select(member.alias(f"m{i}"))
-        out = out.join(right, F.col(f"m{i}.ord") > F.col(f"m{i - 1}.ord"))
-    return out
+        last = F.element_at("ords", -1)
+        more = F.when(last + 1 < n, F.sequence(last + 1, F.lit(n - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
+        out = out.select("ords", F.explode(more).alias("next")).select(F.concat("ords", F.array("next")).alias("ords"))
+        if i == 1:
+            out = out.repartition(subset.sparkSession.sparkContext.defaultParallelism, "ords")
+    return _members(out.withColumn("priority", F.array_join("ords", ":")), subset, k, columns)
+
+
+def _members(drawn: DataFrame, subset: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """The rows at each place of ``ords`` as m0..m(k-1)."""
+    for i in range(k):
+        drawn = drawn.join(subset.select(F.col("ord").cast("long").alias("__o"), F.struct("ord", *columns).alias(f"m{i}")), F.col("ords")[i] == F.col("__o")).drop("__o")
+    return drawn.drop("ords")
 
 
 def group_similarity(k: int, column: str = "tokens") -> Column:
@@ -42,9 +58,14 @@ def group_similarity(k: int, column: str = "tokens") -> Column:
     return sum(pairs[1:], pairs[0]) / len(pairs) if pairs else F.lit(0.0)
 
 
+def _sets(sets: DataFrame, key: str, tokens: str) -> DataFrame:
+    """id and tokens, sorted; a null set counts as empty."""
+    return sets.select(F.col(key).alias("id"), F.array_sort(F.coalesce(F.col(tokens), F.array().cast(sets.schema[tokens].dataType))).alias("tokens"))
+
+
 def token_classes(sets: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
-    """id, rep: the smallest id with the same token set (an empty set has its class, too)."""
-    rows = sets.select(F.col(key).alias("id"), F.array_sort(tokens).alias("tokens"))
+    """id, rep: the smallest id with the same token set (an empty or null set has its class, too)."""
+    rows = _sets(sets, key, tokens)
     reps = rows.groupBy("tokens").agg(F.min("id").alias("rep"))
     return rows.join(reps, "tokens").select("id", "rep")
 
@@ -58,22 +79,28 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", tokens: st
     An exact prefix-filter join. Tokens are ranked from rare to common; a pair
     that similar shares one of the first n - ceil(threshold * n) + 1 tokens of
     either set, so only those are joined, and frequent tokens hardly ever are.
-    Empty sets are similar to nothing.
+    The first token that two sets share is followed by all others, so its place
+    in both bounds what they share. Tokens stand as hashes until pairs are
+    compared. Empty and null sets are similar to nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    rows = sets.select(F.col(key).alias("id"), F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    classes = rows.groupBy("tokens").agg(F.min("id").alias("rep"))
-    counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = classes.select("rep", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
-    ranked = ranked.select("rep", F.size("x").alias("n"), F.transform("x", lambda t: t["token"]).alias("tokens"))
-    prefix = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    heads = ranked.select("rep", "n", F.explode(prefix).alias("token"))
-    left, right = heads.select("token", F.col("rep").alias("a"), F.col("n").alias("na")), heads.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    found = left.join(right, "token").where(fits).select("a", "b").distinct()
-    full = ranked.select("rep", "tokens")
-    scored = found.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
+    classes = put_aside(_sets(sets, key, tokens).where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("rep")), "classes")
+    exploded = classes.select("rep", F.explode("tokens").alias("token"))
+    counts = exploded.groupBy("token").agg(F.count("*").alias("df"))
+    # a class of its own has no partner at a token that no other class has
+    ranked = exploded.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h")))).alias("x"))
+    n = F.size("x")
+    most = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+    heads = ranked.select("rep", n.alias("n"), F.posexplode(F.slice("x", F.lit(1), most)).alias("at", "t")).where("t.df > 1").select("rep", "n", "at", F.col("t.h").alias("token"))
+    heads = put_aside(heads, "heads")
+    left, right = (heads.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "at")]) for s in "ab")
+    needed = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = (F.col("rep_a") < F.col("rep_b")) & (shared >= needed)
+    found = left.join(right, "token").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}"))
+    scored = found.join(side("a"), "a").join(side("b"), "b")
     return scored.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
@@ -91,12 +118,10 @@ def choose_plan(n: int, k: int, strategy: str, most: int) -> str:
 
 
 def random_candidates(subset: DataFrame, n: int, k: int, attempts: int, seed: int, columns: list[str]) -> DataFrame:
-    """priority and m0..m(k-1) of seeded attempts; one that draws a row twice is dropped."""
-    out = subset.sparkSession.range(attempts).withColumnRenamed("id", "priority")
-    out = out.withColumn("ords", F.array(*[seeded_index(seed, n, F.col("priority"), F.lit(i)) for i in range(k)])).where(F.size(F.array_distinct("ords")) == k)
-    for i in range(k):
-        out = out.join(subset.select(F.col("ord").alias("__o"), F.struct("ord", *columns).alias(f"m{i}")), F.col("ords")[i] == F.col("__o")).drop("__o")
-    return out.drop("ords")
+    """priority and m0..m(k-1) of seeded attempts over the n rows with ``ord`` 0 to n - 1; one that draws a row twice is dropped. None for fewer than k rows."""
+    out = subset.sparkSession.range(attempts if n >= k else 0).withColumnRenamed("id", "priority")
+    out = out.withColumn("ords", F.array(*[seeded_index(seed, max(n, 1), F.col("priority"), F.lit(i)) for i in range(k)])).where(F.size(F.array_distinct("ords")) == k)
+    return _members(out, subset, k, columns)
 
 
 def distinct_units(candidates: DataFrame, k: int, id_column: str = "id") -> DataFrame:
@@ -135,6 +160,87 @@ def capped_units(units: DataFrame, cap: int, checkpoint) -> DataFrame:
     return units.join(chosen, "unit_id", "left_semi")
 
 
+@dataclass(frozen=True)
+class UnitPlan:
+    """How units are made. ``most`` bounds the units that are counted up; beyond it the random strategy draws, and others draw or end in an error, as ``beyond`` says."""
+
+    members: int = 2
+    count: int = 100_000
+    strategy: str = "random"
+    seed: int = 42
+    subset: int = 0
+    reuse: int | None = None
+    similar_from: float = 0.10
+    similar_to: float = 1.0
+    dissimilar_to: float = 0.05
+    most: int = 2_000_000
+    beyond: str = "error"
+
+    def __post_init__(self) -> None:
+        if self.members < 1 or self.most < 1 or (self.reuse is not None and self.reuse < 1):
+            raise ValueError("members, most and reuse must be 1 or more")
+        if self.strategy not in STRATEGIES or self.beyond not in ("error", "sample"):
+            raise ValueError(f"strategy is one of {STRATEGIES}, beyond is error or sample")
+        if not (0 <= self.similar_from <= self.similar_to <= 1 and 0 <= self.dissimilar_to <= 1):
+            raise ValueError("bounds of the similarity lie from 0 to 1, in order")
+
+    def attempts(self, asked: int) -> int:
+        """A hundred attempts a unit asked for, 10,000 at least."""
+        return max(10_000, 100 * asked)
+
+    def allows(self, similarity: Column) -> Column:
+        if self.strategy == "similar":
+            return similarity.between(self.similar_from, self.similar_to)
+        return similarity <= self.dissimilar_to if self.strategy == "dissimilar" else F.lit(True)
+
+
+def create_units(records: DataFrame, plan: UnitPlan, key: str = "audio_id", tokens: str | None = None, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, shortfalls, stats) under a plan. Units: unit_id, priority, members (keys as strings), similarity, m0..m(k-1) with the columns.
+
+    A seeded subset is drawn (all rows for a size of 0), the number asked for is
+    clipped to the units that there can be, and candidates are counted up or
+    drawn, as choose_plan says. Those that the strategy allows come first by a
+    seeded order (counted up) or by their draw; a member set counts once, and
+    the reuse cap is held as by a walk in that order. ``tokens`` names the
+    column that similarities are taken of. Fewer records than members give an
+    error, as does a plan that needs more units counted up than it allows.
+    """
+    spark, k = records.sparkSession, plan.members
+    kept = list(dict.fromkeys([key, *columns, *([tokens] if tokens else [])]))
+    subset = put_aside(seeded_subset(records.select(*kept), plan.subset, plan.seed, key), "subset")
+    n = subset.count()
+    how = choose_plan(n, k, "random" if plan.beyond == "sample" else plan.strategy, plan.most)
+    possible = math.comb(n, k)
+    asked = max(0, min(plan.count, possible))
+    drawn = combinations(subset, n, k, kept) if how == "enumerate" else random_candidates(subset, n, k, plan.attempts(asked), plan.seed, kept)
+    if plan.strategy != "random":
+        if tokens is None:
+            raise ValueError(f"{plan.strategy} units need a column of tokens")
+        drawn = drawn.withColumn("similarity", group_similarity(k, tokens)).where(plan.allows(F.col("similarity")))
+    units = distinct_units(drawn, k, key)
+    if how == "enumerate":
+        units = units.withColumn("priority", seeded_order(plan.seed, F.col("unit_id")))
+    units = put_aside(units, "units")
+    if plan.reuse is not None:
+        units = put_aside(capped_units(units, plan.reuse, put_aside), "capped-units")
+    chosen = put_aside(units.orderBy("priority", "unit_id").limit(asked), "chosen-units")
+    made = chosen.count()
+    used = chosen.select(F.explode("members").alias("m")).agg(F.count_distinct("m").alias("distinct_members_used"))
+    stats = used.withColumns({"possible_unordered_units": F.lit(possible).cast("double"), "candidate_units_considered": F.lit(possible if how == "enumerate" else plan.attempts(asked)).cast("long"), "units_requested": F.lit(plan.count).cast("long"), "units_generated": F.lit(made).cast("long"), "subset_records_selected": F.lit(n).cast("long")})
+    return chosen, shortfall(spark, plan.count, possible, made), stats
+
+
+def missing_paths(units: DataFrame, paths: str = "local_audio_paths") -> DataFrame:
+    """One row: how many members of all units have no local path."""
+    empty = F.size(F.filter(F.coalesce(F.col(paths), F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) == ""))
+    return units.agg(F.coalesce(F.sum(empty), F.lit(0)).cast("long").alias("missing_local_audio_paths_in_units"))
+
+
+def member_reuse(units: DataFrame, members: str = "members") -> DataFrame:
+    """member, units: in how many units each member is."""
+    return units.select(F.explode(members).alias("member")).groupBy("member").agg(F.count("*").alias("units"))
+
+
 def shortfall(spark, requested: int, possible: int, made: int) -> DataFrame:
     """Error rows: more asked than there can be, and fewer made than asked."""
     rows = [("unit", "unit_count_exceeds_possible", requested, possible, None)] if requested > possible else []
@@ -177,7 +283,7 @@ def conditions(count: Column) -> Column:
 
 def choose_condition(count: Column, index: Column, strategy: str = "cycle", seed: int = 42) -> Column:
     n = 2 * count
-    at = F.pmod(index, n) if strategy == "cycle" else F.pmod(F.xxhash64(F.lit(seed) + index), n)
+    at = F.pmod(index, n) if strategy == "cycle" else seeded_index(seed, n, index)
     return F.element_at(conditions(count), (at + 1).cast("int"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.jsons import all_problems, first_problem, schema_problems
+from ..functions.jsons import all_problems, first_problem, opened_problems
 from ..schemas import CLAIM_JSON, LABELS, QA_GENERATED_JSON, QA_JSON, VERIFIER_JSON
 
 Rules = list[tuple[str, Column]]
@@ -48,14 +48,14 @@ def unit_rules() -> Rules:
     return [*out, ("local_audio_paths:length", F.col("local_audio_paths").isNotNull() & (F.size("local_audio_paths") != F.col("audio_count")))]
 
 
-def claim_rules(claim: Column, target: Column, captions: Column, count: Column, json: Column | None = None) -> Rules:
-    """claim and target: structs; captions: a list for each source."""
+def claim_rules(claim: Column, target: Column, captions: Column, count: Column, opened: Column | None = None) -> Rules:
+    """claim and target: structs; captions: a list for each source; opened: the claim's JSON (see jsons.opened), where its schema is to be held."""
     sources, phrases = claim["evidence_sources"], claim["supporting_caption_phrases"]
     own = X.nonblank(F.get(captions, F.regexp_extract(F.get(sources, F.lit(0)), r"(\d+)$", 1).cast("int") - 1))
     basis = X.strip(F.coalesce(claim["contradiction_basis"], F.lit("")))
     against = claim["claim_status"] == "CONTRADICTED"
     return [
-        *(schema_problems(json, CLAIM_JSON) if json is not None else []),
+        *(opened_problems(opened, CLAIM_JSON) if opened is not None else []),
         ("status_differs", ~claim["claim_status"].eqNullSafe(target["claim_status"])),
         ("unknown_source", _unknown(sources, count)),
         ("sources_differ", ~_same_items(sources, target["evidence_sources"])),
@@ -75,11 +75,11 @@ def build_qa(generated: Column, claim: Column) -> Column:
     return F.struct(generated["question"].alias("question"), benchmark_answer(claim["claim_status"], sources).alias("answer"), sources.alias("answer_source"), generated["claim_evaluation_explanation"].alias("claim_evaluation_explanation"), sources.alias("required_evidence_sources"))
 
 
-def qa_rules(qa: Column, claim: Column, count: Column, json: Column | None = None, generated_json: Column | None = None) -> Rules:
+def qa_rules(qa: Column, claim: Column, count: Column, opened: Column | None = None, opened_generated: Column | None = None) -> Rules:
     question, sources = X.strip(F.coalesce(qa["question"], F.lit(""))), claim["evidence_sources"]
     return [
-        *(schema_problems(generated_json, QA_GENERATED_JSON) if generated_json is not None else []),
-        *(schema_problems(json, QA_JSON) if json is not None else []),
+        *(opened_problems(opened_generated, QA_GENERATED_JSON) if opened_generated is not None else []),
+        *(opened_problems(opened, QA_JSON) if opened is not None else []),
         ("unknown_source", _unknown(qa["required_evidence_sources"], count)),
         ("sources_differ", ~_same_items(qa["required_evidence_sources"], sources)),
         ("question_form", (F.size(X.words(question)) < 6) | ~F.endswith(question, F.lit("?"))),
@@ -89,10 +89,10 @@ def qa_rules(qa: Column, claim: Column, count: Column, json: Column | None = Non
     ]
 
 
-def verifier_rules(verifier: Column, count: Column, json: Column | None = None) -> Rules:
+def verifier_rules(verifier: Column, count: Column, opened: Column | None = None) -> Rules:
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
     return [
-        *(schema_problems(json, VERIFIER_JSON) if json is not None else []),
+        *(opened_problems(opened, VERIFIER_JSON) if opened is not None else []),
         ("unknown_source", _unknown(verifier["corrected_evidence_sources"], count)),
         ("rejected", verifier["verifier_status"] == "FAIL"),
         ("pass_with_errors", ~none(verifier["validation_errors"])),

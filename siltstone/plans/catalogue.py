@@ -7,8 +7,6 @@ in for claims and questions, events and pages for JSON and paths.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +16,12 @@ from ..functions import hashing as H
 from ..functions import jsons as J
 from ..functions import text as X
 from ..operators import assemble as A
+from ..operators import chain as C
 from ..operators import dedup as D
 from ..operators import generate as G
 from ..operators import select as U
 from ..operators import validate as V
+from ..sources.scratch import new_path
 from ..sources.sinks import BatchWriter
 
 QUERIES: dict = {}
@@ -42,22 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table for expressions that cost much a row: dealt to all cores where a scan would use fewer."""
-    out, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder; a local one where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-"))
-    return df.checkpoint()
-
-
 def _clips(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     name = F.concat(F.lit("doc"), F.col("doc_id"))
@@ -105,6 +89,39 @@ def split_stats(spark, d):
     return A.split_stats(A.classify(clips, "file_name", meta), placed)
 
 
+@query("""
+    select (select list_sort(list(distinct lang)) from documents)::varchar as split_names, (select count(*) from documents join labels using (doc_id)) as total_records_written,
+           (select count(*) from documents join labels using (doc_id)) as total_provenance_records_written, (select count(*) from documents where doc_id not in (select doc_id from labels)) as total_errors""")
+def run_totals(spark, d):
+    clips = _clips(spark, d)
+    parts = {lang: clips.where(F.col("split") == lang).drop("split") for lang in ("de", "en", "es", "fr")}
+    ok, bad = A.split_outcome(A.classify(A.append_splits(parts), "file_name", _metadata(spark, d)))
+    totals = A.run_totals(clips, ok, ok, bad)
+    return totals.withColumn("split_names", F.concat(F.lit("["), F.array_join("split_names", ", "), F.lit("]")))
+
+
+@query("""
+    select 'doc_' || d.doc_id as audio_id, 'siltstone' as source_name, lang as split, 'doc' || d.doc_id as original_file_name, '/data/' || lang || '/doc' || d.doc_id || '.WAV' as local_audio_path_abs,
+           d.doc_id::varchar as sound_id, '' as license_url, '{"keywords":"quality ' || quality || '; toxic ' || toxic || ';","license":"","manufacturer":"","sound_id":"' || d.doc_id || '","sound_link":"","start_end_samples":""}' as metadata_json
+    from documents d join labels l on d.doc_id = l.doc_id""")
+def provenance(spark, d):
+    ok, _ = A.split_outcome(A.classify(_clips(spark, d), "file_name", _metadata(spark, d)))
+    whole = ok.withColumns({c: F.lit(None).cast("string") for c in ("license", "manufacturer", "sound_link", "start_end_samples")})
+    made = A.provenance(whole, F.concat(F.lit("doc_"), "sound_id"), {"source_name": "siltstone"})
+    return made.select("audio_id", "source_name", "split", "original_file_name", "local_audio_path_abs", "sound_id", "license_url", "metadata_json")
+
+
+@query("""select sum((turn % 3 = 0)::int) as missing_local_audio_paths_in_units from conversations""")
+def missing_paths(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("path"))
+    return U.missing_paths(turns.select(F.array("path").alias("local_audio_paths")))
+
+
+@query("""select role as member, count(*) as units from conversations group by 1""")
+def member_reuse(spark, d):
+    return U.member_reuse(table(spark, d, "conversations").select(F.array("role").alias("members")))
+
+
 @query("""select audio_id, count(*) as "count" from (select sha1(text) as audio_id from documents) group by 1 having count(*) > 1""")
 def duplicate_ids(spark, d):
     return A.duplicate_ids(table(spark, d, "documents").select(F.sha1(F.col("text").cast("binary")).alias("audio_id")))
@@ -127,15 +144,15 @@ def split_filter(spark, d):
     return table(spark, d, "documents").where(F.col("lang").isin("de", "fr")).select("doc_id", "lang")
 
 
-@query("""select doc_id, row_number() over (order by doc_id) - 1 as row_ordinal from documents qualify row_ordinal >= 25 and row_ordinal < 125""")
+@query("""select *, row_number() over (order by doc_id) - 1 as row_ordinal from documents qualify row_ordinal >= 25 and row_ordinal < 125""")
 def row_slice(spark, d):
-    return U.row_slice(A.with_ordinal(table(spark, d, "documents").select("doc_id"), F.col("doc_id")), 25, 100)
+    return U.row_slice(A.with_ordinal(table(spark, d, "documents"), F.col("doc_id")), 25, 100)
 
 
-@query("""select batch_id, count(*) as n, min(event_id) as first_id from (select event_id, (row_number() over (order by event_id) - 1) // 256 as batch_id from events) group by 1""")
+@query("""select event_id, user_id, event_type, value, props, (row_number() over (order by event_id) - 1) // 256 as batch_id from events""")
 def batch_assign(spark, d):
-    rows = A.with_ordinal(table(spark, d, "events").select("event_id"), F.col("event_id"))
-    return rows.groupBy(U.batch_of(F.col("row_ordinal"), 256).alias("batch_id")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    rows = A.with_ordinal(table(spark, d, "events"), F.col("event_id"))
+    return rows.select("event_id", "user_id", "event_type", "value", "props", U.batch_of(F.col("row_ordinal"), 256).alias("batch_id"))
 
 
 @query("""
@@ -163,7 +180,7 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 
 @query(f"""select doc_id, array_to_string(list_sort({_TOKENS}), ' ') as tokens from documents""")
 def lexical_tokens(spark, d):
-    return spread(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 _CLASSES = f"select doc_id, min(doc_id) over (partition by list_sort({_TOKENS})) as rep from documents"
@@ -171,7 +188,7 @@ _CLASSES = f"select doc_id, min(doc_id) over (partition by list_sort({_TOKENS}))
 
 @query(_CLASSES)
 def token_classes(spark, d):
-    sets = spread(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
+    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
     return U.token_classes(sets).withColumnRenamed("id", "doc_id")
 
 
@@ -180,85 +197,119 @@ def token_classes(spark, d):
          n as (select doc_id, count(*) as n from t group by 1), c as (select x.doc_id as a, y.doc_id as b, count(*) as c from t x join t y on x.token = y.token and x.doc_id < y.doc_id group by 1, 2)
     select a, b, round(c / (p.n + q.n - c)::double, 6) as similarity from c join n p on p.doc_id = a join n q on q.doc_id = b where c / (p.n + q.n - c)::double >= 0.7""")
 def similar_pairs(spark, d):
-    sets = spread(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
+    sets = table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.lexical_tokens(F.col("text")).alias("tokens"))
     return U.similar_pairs(sets, 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
-#: A seeded sample of 200 documents, as a run takes before it forms units.
-_SUBSET = f"""
-    with s as (select doc_id, {_TOKENS} as tokens, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 200),
-         p as (select a.doc_id as x, b.doc_id as y, len(list_intersect(a.tokens, b.tokens)) as i, len(a.tokens) + len(b.tokens) as n from s a join s b on a.ord < b.ord),
-         j as (select x, y, case when n - i = 0 then 0.0 else i / (n - i)::double end as similarity, sha1(array_to_string(list_sort([x::varchar, y::varchar]), '::')) as h from p)"""
+#: Seeded draws over a whole table: place in a seeded shuffle (o), and what attempt a draws at place i of a unit.
+def _shuffled(name: str, key: str) -> str:
+    return f"s as (select {key} as id, {_TOKENS} as tokens, row_number() over (order by sha1('42:' || {key}), {key}) - 1 as o from {name})"
+
+
+def _draw(i: int) -> str:
+    return f"('0x' || substr(sha1('42:' || a || ':{i}'), 1, 12))::bigint % (select greatest(count(*), 1) from s)"
 
 
-def _pairs(spark, d):
-    docs = spread(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    subset = U.seeded_subset(docs, 200, 42, "doc_id")
-    U.choose_plan(200, 2, "similar", 2_000_000)
-    pairs = U.combinations(subset, 2, ["doc_id", "tokens"]).withColumn("similarity", U.group_similarity(2))
-    return pairs.withColumn("unit_id", H.unit_id(F.array(F.col("m0.doc_id").cast("string"), F.col("m1.doc_id").cast("string"))))
+def _jaccard(a: str, b: str) -> str:
+    both, n = f"len(list_intersect({a}.tokens, {b}.tokens))", f"len({a}.tokens) + len({b}.tokens)"
+    return f"(case when {n} = 0 then 0.0 else {both} / ({n} - {both})::double end)"
 
 
-def _first_units(pairs):
-    return pairs.orderBy(H.seeded_order(42, F.col("unit_id")), "unit_id").limit(50).select("unit_id", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"), F.round("similarity", 6).alias("similarity"))
+def _unit_sql(where: str) -> str:
+    """Units of two documents: 10,000 draws, equal units once, the first 100 that are allowed."""
+    return f"""
+    with {_shuffled("documents", "doc_id")}, r as (select a as priority, {_draw(0)} as i, {_draw(1)} as j from range(10000) t(a)),
+         m as (select priority, x.id as x, y.id as y, {_jaccard("x", "y")} as similarity from r join s x on x.o = i join s y on y.o = j where i <> j),
+         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar]), '::')), 1, 16) as unit_id, priority, x, y, round(similarity, 6) as similarity
+               from m where {where} qualify row_number() over (partition by unit_id order by priority) = 1)"""
 
 
-_UNITS = "select 'unit_' || substr(h, 1, 16) as unit_id, x, y, round(similarity, 6) as similarity from j where {} order by sha1('42:unit_' || substr(h, 1, 16)), 1 limit 50"
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"{_SUBSET} {_UNITS.format('similarity >= 0.1 and similarity <= 1.0')}")
+def _units_of(spark, d, **plan):
+    """A hundred units of two documents, drawn over all of them whatever their number."""
+    made = U.UnitPlan(**({"members": 2, "count": 100, "most": 1, "beyond": "sample"} | plan))
+    return U.create_units(_documents(spark, d), made, "doc_id", "tokens")
+
+
+@query(f"{_unit_sql('similarity >= 0.1 and similarity <= 1.0')} select unit_id, x, y, similarity from u order by priority limit 100")
 def similar_units(spark, d):
-    return _first_units(_pairs(spark, d).where(F.col("similarity").between(0.1, 1.0)))
+    units, _, _ = _units_of(spark, d, strategy="similar")
+    return units.select("unit_id", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"{_SUBSET} {_UNITS.format('similarity <= 0.05')}")
+@query(f"{_unit_sql('similarity <= 0.05')} select unit_id, x, y, similarity from u order by priority limit 100")
 def dissimilar_units(spark, d):
-    return _first_units(_pairs(spark, d).where(F.col("similarity") <= 0.05))
+    units, _, _ = _units_of(spark, d, strategy="dissimilar")
+    return units.select("unit_id", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""
-    with s as (select item_id, {_TOKENS} as t from benchmark),
-         p as (select a.item_id as x, b.item_id as y, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double as j from s a join s b on a.item_id < b.item_id)
-    select p.x as a, p.y as b, q.y as c, round((p.j + q.j + r.j) / 3, 6) as similarity from p join p q on q.x = p.y join p r on r.x = p.x and r.y = q.y where (p.j + q.j + r.j) / 3 >= 0.2""")
+    with {_shuffled("benchmark", "item_id")}, r as (select a as priority, {_draw(0)} as i, {_draw(1)} as j, {_draw(2)} as k from range(10000) t(a)),
+         m as (select priority, x.id as x, y.id as y, z.id as z, ({_jaccard("x", "y")} + {_jaccard("x", "z")} + {_jaccard("y", "z")}) / 3 as similarity
+               from r join s x on x.o = i join s y on y.o = j join s z on z.o = k where i <> j and i <> k and j <> k),
+         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar, z::varchar]), '::')), 1, 16) as unit_id, priority, x, y, z, round(similarity, 6) as similarity
+               from m where similarity >= 0.1 qualify row_number() over (partition by unit_id order by priority) = 1)
+    select unit_id, x, y, z, similarity from u order by priority limit 100""")
 def triple_units_mean_similarity(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), "item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    U.choose_plan(items.count(), 3, "similar", 2_000_000)
-    pairs = U.combinations(items, 2, ["tokens"]).select(F.col("m0.ord").alias("x"), F.col("m1.ord").alias("y"), U.group_similarity(2).alias("j"))
-    q, r = (pairs.select(F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"), F.col("j").alias(f"{n}j")) for n in "qr")
-    out = pairs.join(q, F.col("qx") == F.col("y")).join(r, (F.col("rx") == F.col("x")) & (F.col("ry") == F.col("qy")))
-    score = (F.col("j") + F.col("qj") + F.col("rj")) / 3
-    return out.where(score >= 0.2).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("qy").alias("c"), F.round(score, 6).alias("similarity"))
+    items = table(spark, d, "benchmark").select("item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
+    n = items.count()
+    made = U.UnitPlan(members=3, count=100, strategy="similar", most=1, beyond="sample")
+    if n < made.members:
+        none = items.limit(0).select(F.lit("").alias("unit_id"), *[F.col("item_id").alias(c) for c in "xyz"], F.lit(0.0).alias("similarity"))
+        return none
+    units, _, _ = U.create_units(items, made, "item_id", "tokens")
+    return units.select("unit_id", *[F.col(f"m{i}.item_id").alias(c) for i, c in enumerate("xyz")], F.round("similarity", 6).alias("similarity"))
 
 
-@query("""select doc_id, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 40""")
-def seeded_subset(spark, d):
-    return U.seeded_subset(table(spark, d, "documents").select("doc_id"), 40, 42, "doc_id").withColumn("ord", F.col("ord").cast("long"))
+@query(f"""
+    with {_shuffled("benchmark", "item_id")}, u as (select x.id as x, y.id as y, 'unit_' || substr(sha1(array_to_string(list_sort([x.id::varchar, y.id::varchar]), '::')), 1, 16) as unit_id, {_jaccard("x", "y")} as similarity from s x join s y on x.o < y.o)
+    select unit_id, least(x, y) as x, greatest(x, y) as y, round(similarity, 6) as similarity from u where similarity >= 0.1 order by sha1('42:' || unit_id), unit_id limit 50""")
+def enumerated_units(spark, d):
+    """Every pair of items is counted up, as there are few; beyond two million the plan is an error."""
+    items = table(spark, d, "benchmark").select("item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
+    units, _, _ = U.create_units(items, U.UnitPlan(members=2, count=50, strategy="similar"), "item_id", "tokens")
+    return units.select("unit_id", F.least("m0.item_id", "m1.item_id").alias("x"), F.greatest("m0.item_id", "m1.item_id").alias("y"), F.round("similarity", 6).alias("similarity"))
 
 
-_DRAW = "('0x' || substr(sha1('7:' || a || ':{}'), 1, 12))::bigint % (select least(300, count(*)) from documents)"
-_RANDOM = f"""
-    with s as (select doc_id, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 300),
-         r as (select a as priority, {_DRAW.format(0)} as i, {_DRAW.format(1)} as j from range(2000) t(a)),
-         m as (select priority, x.doc_id as x, y.doc_id as y from r join s x on x.ord = i join s y on y.ord = j where i <> j),
-         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar]), '::')), 1, 16) as unit_id, priority, x, y from m qualify row_number() over (partition by unit_id order by priority) = 1)"""
+@query("""select *, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 40""")
+def seeded_subset(spark, d):
+    return U.seeded_subset(table(spark, d, "documents"), 40, 42, "doc_id").withColumn("ord", F.col("ord").cast("long"))
 
 
-def _random(spark, d):
-    docs = table(spark, d, "documents")
-    subset = U.seeded_subset(docs.select("doc_id"), 300, 42, "doc_id")
-    n = min(300, docs.count())
-    return U.distinct_units(U.random_candidates(subset, n, 2, 2000, 7, ["doc_id"]), 2, "doc_id")
+@query("""select doc_id, text, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents""")
+def seeded_shuffle(spark, d):
+    return U.seeded_subset(table(spark, d, "documents"), 0, 42, "doc_id").select("doc_id", "text", "ord")
 
 
-@query(f"{_RANDOM} select unit_id, priority, x, y from u order by priority limit 100")
+@query(f"{_unit_sql('true')} select unit_id, priority, x, y from u order by priority limit 100")
 def random_units(spark, d):
-    return _random(spark, d).orderBy("priority").limit(100).select("unit_id", "priority", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"))
+    units, _, _ = _units_of(spark, d)
+    return units.select("unit_id", "priority", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"))
 
 
 @query()
 def reuse_capped_units(spark, d):
-    units = U.capped_units(_random(spark, d).select("unit_id", "priority", "members"), 2, checkpoint)
-    return units.orderBy("priority").limit(100).select("unit_id", "priority", F.array_join("members", ",").alias("members"))
+    units, _, _ = _units_of(spark, d, count=1_000, reuse=2)
+    return units.select("unit_id", "priority", F.array_join("members", ",").alias("members"))
+
+
+@query("""
+    select 'unit' as stage, 'unit_count_exceeds_possible' as error_type, n * (n - 1) // 2 + 5 as requested_unit_count, n * (n - 1) // 2 as possible_unordered_units, null::bigint as units_generated from (select count(*) as n from benchmark)
+    union all select 'unit', 'unit_count_not_satisfied', n * (n - 1) // 2 + 5, null, n * (n - 1) // 2 from (select count(*) as n from benchmark)""")
+def unit_shortfalls(spark, d):
+    items = table(spark, d, "benchmark").select("item_id")
+    n = items.count()
+    _, short, _ = U.create_units(items, U.UnitPlan(members=2, count=n * (n - 1) // 2 + 5), "item_id")
+    return short
+
+
+@query(f"{_unit_sql('true')}, f as (select x, y from u order by priority limit 100) select count(distinct m) as distinct_members_used, 100::bigint as units_generated, (select count(*) from documents) as subset_records_selected from (select unnest([x, y]) as m from f)")
+def unit_stats(spark, d):
+    _, _, stats = _units_of(spark, d)
+    return stats.select("distinct_members_used", "units_generated", "subset_records_selected")
 
 
 @query("""
@@ -282,7 +333,7 @@ def candidate_fanout(spark, d):
     with c as (select doc_id, {_LINES} as c from documents)
     select doc_id, array_to_string(case when len(c) <= 3 then c else list_transform(range(3), lambda i: c[(doc_id + i) % len(c) + 1]) end, '|') as captions from c""")
 def caption_window(spark, d):
-    docs = spread(spark, d, "documents")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.array_join(X.rotating_window(F.split("text", "\n"), 3, F.col("doc_id")), "|").alias("captions"))
 
 
@@ -291,7 +342,7 @@ def caption_window(spark, d):
     select doc_id, case when doc_id % 3 = 1 then '' else 'AUDIO_1 captions:' || chr(10) || case when len(w) = 0 then '- none' else array_to_string(list_transform(w, lambda x: '- ' || x), chr(10)) end end
         || case when doc_id % 3 = 0 then chr(10) || chr(10) else '' end || case when doc_id % 3 = 2 then '' else 'AUDIO_2 captions:' || chr(10) || '- none' end as context from w""")
 def context_render(spark, d):
-    docs = spread(spark, d, "documents")
+    docs = table(spark, d, "documents")
     captions = F.array(F.split("text", "\n"), F.array().cast("array<string>"))
     sources = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("AUDIO_2"))).otherwise(F.array(F.lit("AUDIO_1")))
     chosen = X.selected_labels(F.lit(2), sources, F.lit("no source named"))
@@ -304,7 +355,7 @@ def context_render(spark, d):
          l as (select doc_id, list_transform(o[-2:], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) as l from o)
     select doc_id, case when len(l) = 0 then 'None.' else array_to_string(list_transform(l, lambda x: '- ' || case when length(x) > 360 then rtrim(substr(x, 1, 357)) || '...' else x end), chr(10)) end as feedback from l""")
 def feedback_render(spark, d):
-    docs = spread(spark, d, "documents")
+    docs = table(spark, d, "documents")
     errors = F.transform(X.nonblank(F.split("text", "\n")), lambda x, i: F.concat(F.when((i + 1) % 2 == 0, F.lit("Claim")).otherwise(F.lit("QA")), F.lit(" attempt 1: "), x))
     return docs.select("doc_id", X.render_feedback(errors, F.lit("QA")).alias("feedback"))
 
@@ -333,7 +384,7 @@ _FIRST_WORDS = f"array_to_string(list_filter(string_split(regexp_replace(({_LINE
          t as (select *, ' ' || array_to_string({_ground('phrase')}, ' ') || ' ' as padded from p)
     select doc_id, phrase, trim(padded) <> '' and len(list_filter(lines, lambda x: contains(' ' || array_to_string({_ground('x')}, ' ') || ' ', padded))) > 0 as grounded from t""")
 def grounded_phrases(spark, d):
-    docs = spread(spark, d, "documents")
+    docs = table(spark, d, "documents")
     lines = X.nonblank(F.split("text", "\n"))
     words = X.words(F.element_at(lines, -1))
     phrase = F.when(F.col("doc_id") % 2 == 0, F.array_join(F.slice(words, 2, 4), " ")).otherwise(F.array_join(F.reverse(F.slice(words, 1, 4)), " "))
@@ -343,7 +394,7 @@ def grounded_phrases(spark, d):
 @query(f"""
     select conv_id, turn, {_relevant('text', 'claim')} as relevant from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as claim from conversations) where claim is not null""")
 def question_relevance(spark, d):
-    turns = spread(spark, d, "conversations")
+    turns = table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = turns.select("conv_id", "turn", "text", F.lag("text").over(w).alias("claim")).where("claim is not null")
     return pairs.select("conv_id", "turn", X.is_relevant(F.col("text"), F.col("claim")).alias("relevant"))
@@ -355,13 +406,13 @@ _SAID = "text || case turn % 4 when 0 then ' It is Not Mentioned anywhere.' when
 @query(f"""select conv_id, turn, regexp_matches(lower({_SAID}), 'not mentioned|does not mention|no caption|absent from the caption|absence from the caption|not in the captions') as absent from conversations""")
 def absence_language(spark, d):
     said = F.concat("text", F.when(F.col("turn") % 4 == 0, " It is Not Mentioned anywhere.").when(F.col("turn") % 4 == 1, " absent from the captions").otherwise(""))
-    return spread(spark, d, "conversations").select("conv_id", "turn", X.argues_from_absence(said).alias("absent"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.argues_from_absence(said).alias("absent"))
 
 
 @query("""
     select conv_id, turn, case when turn % 3 = 2 then '<b>' || trim(text) else trim(text) end as cleaned, turn % 3 <> 2 as removed from conversations""")
 def reasoning_strip(spark, d):
-    turns = spread(spark, d, "conversations")
+    turns = table(spark, d, "conversations")
     wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<Think>so\nmuch</thinking> "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<|channel>thought \nhm<channel|>"), "text")).otherwise(F.concat(F.lit("<b>"), "text"))
     cleaned = J.strip_reasoning(wrapped)
     return turns.select("conv_id", "turn", cleaned["text"].alias("cleaned"), cleaned["removed"].alias("removed"))
@@ -383,14 +434,14 @@ def strict_json(spark, d):
     select event_id, case when event_id % 8 = 6 then 'unexpected' when event_id % 8 = 7 then 'k:required' when (props->>'k')::int > 50 then 'k:maximum' else 'none' end as problem
     from events where event_id % 8 not in (2, 3, 4, 5)""")
 def schema_validate(spark, d):
-    parsed = _faulty(spark, d).withColumn("json", J.parse_object(F.col("raw"))["json"]).where("json is not null")
+    parsed = _faulty(spark, d).withColumn("json", J.parse_object(F.col("raw"))["json"]).where("json is not null").withColumn("opened", J.opened(F.col("json")))
     schema = S.closed(k={"type": "number", "minimum": 0, "maximum": 50})
-    return parsed.select("event_id", F.coalesce(J.first_problem(J.schema_problems(F.col("json"), schema)), F.lit("none")).alias("problem"))
+    return parsed.select("event_id", F.coalesce(J.first_problem(J.opened_problems(F.col("opened"), schema)), F.lit("none")).alias("problem"))
 
 
 def _units(spark, d):
     """A unit of two clips, a claim about the first and a question, with faults by turns."""
-    docs = spread(spark, d, "documents").select("doc_id", X.nonblank(F.split("text", "\n")).alias("lines"))
+    docs = table(spark, d, "documents").select("doc_id", X.nonblank(F.split("text", "\n")).alias("lines"))
     words = X.words(F.get("lines", F.lit(0)))
     text = F.array_join(F.slice(words, 1, 8), " ")
     case = F.col("doc_id") % 6
@@ -405,8 +456,8 @@ def _units(spark, d):
     select doc_id, case when doc_id % 6 = 2 then 'status_differs' when doc_id % 6 = 4 then 'claim_too_short' when len({_ground('t')}) = 0 then 'not_grounded' when doc_id % 6 = 1 then 'no_basis' when doc_id % 6 = 3 then 'basis_is_absence' else 'none' end as problem
     from (select doc_id, {_FIRST_WORDS} as t from documents)""")
 def claim_validate(spark, d):
-    rows = _units(spark, d)
-    rules = V.claim_rules(F.col("claim"), F.col("target"), F.col("captions"), F.col("audio_count"), F.to_json("claim"))
+    rows = _units(spark, d).withColumn("opened", J.opened(F.to_json("claim")))
+    rules = V.claim_rules(F.col("claim"), F.col("target"), F.col("captions"), F.col("audio_count"), F.col("opened"))
     return rows.select("doc_id", F.coalesce(J.first_problem(rules), F.lit("none")).alias("problem"))
 
 
@@ -420,7 +471,8 @@ def qa_validate(spark, d):
     case = F.col("doc_id") % 5
     asked = F.when(case == 1, "too short?").when(case == 2, F.concat(F.lit("does it say that "), "claim.claim_text")).when(case == 3, "is one of all of them up?").otherwise(F.concat(F.lit("is it said in there that "), "claim.claim_text", F.lit("?")))
     rows = rows.withColumn("qa", V.build_qa(F.struct(asked.alias("question"), F.lit("because").alias("claim_evaluation_explanation")), F.col("claim")))
-    rules = V.qa_rules(F.col("qa"), F.col("claim"), F.col("audio_count"), F.to_json("qa"))
+    rows = rows.withColumn("opened", J.opened(F.to_json("qa")))
+    rules = V.qa_rules(F.col("qa"), F.col("claim"), F.col("audio_count"), F.col("opened"))
     return rows.select("doc_id", F.coalesce(J.first_problem(rules), F.lit("none")).alias("problem"), F.array_join("qa.answer", "|").alias("answer"))
 
 
@@ -434,8 +486,8 @@ def verifier_gate(spark, d):
         F.when(case == 1, "FAIL").otherwise("PASS").alias("verifier_status"), F.when(case.isin(1, 2), F.array(F.lit("bad"), F.lit("worse"))).otherwise(none).alias("validation_errors"), F.when(case == 0, " ").otherwise("note").alias("validation_notes"),
         F.when(case == 3, "SUPPORTED").alias("corrected_claim_status"), F.when(case == 4, F.array(F.lit("AUDIO_3"))).otherwise(none).alias("corrected_evidence_sources"),
     )
-    rows = table(spark, d, "documents").select("doc_id", made.alias("v"))
-    rules = V.verifier_rules(F.col("v"), F.lit(2), F.to_json("v", {"ignoreNullFields": "false"}))
+    rows = table(spark, d, "documents").select("doc_id", made.alias("v")).withColumn("opened", J.opened(F.to_json("v", {"ignoreNullFields": "false"})))
+    rules = V.verifier_rules(F.col("v"), F.lit(2), F.col("opened"))
     return rows.select("doc_id", F.coalesce(J.first_problem(rules), F.lit("none")).alias("problem"), V.rejection_detail(F.col("v")).alias("detail"))
 
 
@@ -463,9 +515,8 @@ def _script(prompt: str) -> str:
 def scripted_generation(spark, d):
     rows = table(spark, d, "documents").select("doc_id")
     prompt = lambda feedback: X.render_template("Errors: {{said}}\n{{claim}}", said=feedback, claim=F.col("doc_id"))
-    parse = lambda raw: F.from_json(J.parse_object(J.strip_reasoning(raw)["text"])["json"], S.QA_GENERATED)
-    rules = lambda qa: J.schema_problems(F.to_json(qa), S.QA_GENERATED_JSON) + [("question_form", F.size(X.words(qa["question"])) < 6)]
-    ok, _ = G.with_retries(rows, "QA", prompt, G.ScriptedGenerator(_script), parse, rules, ["doc_id"], checkpoint)
+    rules = lambda qa: [("question_form", F.size(X.words(qa["question"])) < 6)]
+    ok, _ = G.with_retries(rows, G.Stage("QA", prompt, S.QA_GENERATED_JSON, S.QA_GENERATED, rules), G.ScriptedGenerator(_script))
     return ok.select("doc_id", "record.question", H.example_id(F.concat(F.lit("u"), "doc_id"), F.col("doc_id").cast("string"), F.col("record.question")).alias("example_id"))
 
 
@@ -484,11 +535,61 @@ def near_dedup_ratio(spark, d):
     return D.keep_distinct(rows, "conv_id", "turn", "claim", "question", F.col("role"), 0.9).select("conv_id", "turn", "kept")
 
 
-@query("""select lang, count(*) * 2 as candidate_generations_planned, count(l.doc_id) as examples_written, count(*) - count(l.doc_id) as errors_written, count(*) as near_duplicates_removed, 2 * count(*) as candidate_generations_completed from documents d left join labels l on d.doc_id = l.doc_id group by 1""")
+def _answer(prompt: str) -> str:
+    """A model that says what its prompt asks for, with faults that follow from the caption."""
+    import json
+
+    lines = prompt.split("\n")
+    told = {k: json.loads(v) for k, is_, v in (x.partition("=") for x in lines) if is_ and k in ("target", "claim", "qa")}
+    if lines[0] == "verify":
+        bad = len(told["qa"]["question"]) % 7 == 0
+        return json.dumps({"verifier_status": "FAIL" if bad else "PASS", "validation_errors": ["odd"] if bad else [], "validation_notes": "", "corrected_claim_status": None, "corrected_evidence_sources": []})
+    if lines[0] == "ask":
+        return json.dumps({"question": "Is it right that " + told["claim"]["claim_text"] + "?", "claim_evaluation_explanation": "as said"})
+    said = " ".join(lines[lines.index("AUDIO_1 captions:") + 1][2:].split()[:6])
+    if len(said) % 3 == 0 and "None." in prompt:
+        return "<think>hm</think> no json"
+    never = told["target"]["claim_status"] == "CONTRADICTED" and len(said) % 5 > 0
+    claim = {"claim_text": f"they {'never ' if never else ''}said {said}", "claim_status": told["target"]["claim_status"], "evidence_sources": told["target"]["evidence_sources"], "supporting_caption_phrases": [said]}
+    return "<think>so</think>" + json.dumps(claim | {"contradiction_basis": "the captions say otherwise", "forbidden_inferences": [], "confidence": 0.5})
+
+
+_CHAIN = C.Chain({
+    C.CLAIM: "claim\n{{audio_context}}\ntarget={{target_condition_json}}\n{{validation_feedback}}\n{{reasoning_instruction}}",
+    C.QA: "ask\nclaim={{claim_record_json}}\n{{validation_feedback}}\n{{reasoning_instruction}}",
+    C.VERIFIER: "verify\n{{audio_context}}\ntarget={{target_condition_json}}\nclaim={{claim_record_json}}\nqa={{qa_record_json}}\n{{validation_feedback}}\n{{reasoning_instruction}}",
+}, G.ScriptedGenerator(_answer), each=2)
+
+
+def _run_chain(spark, d):
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("doc"), F.col("doc_id"))
+    one = lambda c: F.array(c)
+    units = docs.select(name.alias("unit_id"), F.col("doc_id").alias("unit_index"), F.lit(1).alias("audio_count"), one(name).alias("audio_ids"), one(name).alias("local_audio_paths"), one(name).alias("audio_file_names"), one(X.nonblank(F.split("text", "\n"))).alias("audio_captions"))
+    return C.run(units, _CHAIN)
+
+
+_OUTCOME = f"""
+    with c as (select doc_id, {_LINES} as c from documents), k as (select doc_id, unnest([0, 1]) as k, c from c),
+         t as (select doc_id, k, len(c) > 0 as spoken, case when len(c) <= 3 then c[1] else c[(doc_id + k) % len(c) + 1] end as line from k),
+         p as (select doc_id, k, spoken, array_to_string(list_filter(string_split(regexp_replace(line, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:6], ' ') as said from t),
+         q as (select doc_id, k, said, spoken and len({_ground('said')}) > 0 as grounded, 'they ' || case when k = 1 and length(said) % 5 > 0 then 'never ' else '' end || 'said ' || said as claim from p),
+         v as (select *, 'Is it right that ' || claim || '?' as question, grounded and length('Is it right that ' || claim || '?') % 7 > 0 as verified from q),
+         o as (select *, case when not verified or grounded is null then 'error' when k = 1 and exists (select 1 from v b where b.doc_id = v.doc_id and b.k = 0 and b.verified and {_folded('b.claim')} = {_folded('v.claim')}) then 'duplicate' else 'example' end as outcome from v)"""
+
+
+@query(f"{_OUTCOME} select 'doc' || doc_id as unit_id, k as candidate_index, outcome, case when outcome = 'error' then '' else question end as question from o")
+def unit_run(spark, d):
+    out = _run_chain(spark, d)
+    text = lambda df, name: df.select("unit_id", "candidate_index", F.lit(name).alias("outcome"), F.col("qa.question").alias("question"))
+    kept = out.audit.select("unit_id", "candidate_index", F.lit("example").alias("outcome"), F.col("qa_record.question").alias("question"))
+    return kept.unionByName(text(out.duplicates, "duplicate")).unionByName(out.errors.select("unit_id", "candidate_index", F.lit("error").alias("outcome"), F.lit("").alias("question")))
+
+
+@query(f"""{_OUTCOME} select count(*) as candidate_generations_planned, count(*) filter (outcome = 'example') as examples_written, count(*) filter (outcome = 'error') as errors_written,
+    count(*) filter (outcome = 'duplicate') as near_duplicates_removed, count(*) as candidate_generations_completed from o""")
 def example_stats(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", F.lit(1).alias("there"))
-    n, ok = F.count("*"), F.count("there")
-    return docs.join(labels, "doc_id", "left").groupBy("lang").agg(*G.example_stats(n * 2, ok, n - ok, n))
+    return _run_chain(spark, d).stats.drop("dry_run", "examples_per_unit")
 
 
 @query("""select attempt, least(1.0 * 2.0 ** (attempt - 1), 30.0) as delay, status, status in (408, 425, 429) or status >= 500 as retryable from range(1, 9) t(attempt), (select unnest([200, 400, 408, 425, 429, 500, 503]) as status)""")
@@ -514,31 +615,24 @@ def message_text(spark, d):
     return rows.select("event_id", F.coalesce(got["text"], F.lit("")).alias("text"), F.coalesce(got["problem"], F.lit("none")).alias("problem"), J.field_state(F.col("message"), "content").alias("content_state"))
 
 
-@query("""
-    select conv_id, sum(length(text)) as prompt_chars, 'message=bad ' || conv_id || ', code=400' as detail from conversations group by conv_id""")
+@query("""select conv_id, turn, length(text) as prompt_chars, 'm' as model, 1 as message_count, 'seed|top_k' as extra_fields, 'message=' || chr(39) || 'bad ' || conv_id || chr(39) || ', code=400' as detail from conversations""")
 def request_summary(spark, d):
-    turns = table(spark, d, "conversations")
-    request = F.to_json(F.struct(F.lit("m").alias("model"), F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages")))
-    rows = turns.groupBy("conv_id").agg(request.alias("request"))
+    request = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.lit(7).alias("top_k"), F.lit(1).alias("seed")))
     body = F.concat(F.lit('{"error":{"message":"bad '), "conv_id", F.lit('","code":400,"param":null}}'))
-    return rows.select("conv_id", J.prompt_chars(F.col("request")).alias("prompt_chars"), J.error_detail(body).alias("detail"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", request.alias("request"), body.alias("body"))
+    rows = rows.select("conv_id", "turn", J.request_summary(F.col("request")).alias("s"), J.error_detail(F.col("body")).alias("detail"))
+    return rows.select("conv_id", "turn", F.coalesce("s.prompt_chars", F.lit(0)).alias("prompt_chars"), "s.model", "s.message_count", F.array_join("s.extra_fields", "|").alias("extra_fields"), "detail")
 
 
 @query("""select event_id, event_type, value, (event_id // 4000) as batch_id from events""")
 def commit_finalize(spark, d):
-    from ..sources.sinks import exists
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    root = f"{base}/siltstone-batches-{uuid.uuid4().hex}"
+    """Batches committed in one write and put together; a second commit of the same batches changes nothing."""
+    at = new_path(spark, "batches")
     schema = S.ddl("event_id long, event_type string, value double")
-    events, writer = table(spark, d, "events"), BatchWriter(spark, root)
-    last = events.agg(F.max("event_id")).first()[0]
-    for batch in range(0 if last is None else last // 4000 + 1):
-        writer.commit(batch, events.where(F.floor(F.col("event_id") / 4000) == batch), schema)
-        if writer.commit(batch, events, schema) or exists(spark, f"{root}/_staged-{batch}"):
-            raise AssertionError("a batch is written once")
-    return writer.read(schema).select("event_id", "event_type", "value", "batch_id")
+    events, writer = table(spark, d, "events"), BatchWriter(spark, at)
+    batch = U.batch_of(F.col("event_id"), 4000)
+    writer.commit_all(events, batch, schema)
+    if writer.commit_all(events, batch, schema):
+        raise AssertionError("a batch is written once")
+    writer.finalize(f"{at}-whole", schema, ["event_id"])
+    return spark.read.schema(schema).parquet(f"{at}-whole").withColumn("batch_id", batch)

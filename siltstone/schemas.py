@@ -42,7 +42,7 @@ def closed(**properties: dict) -> dict:
     return {"type": "object", "additionalProperties": False, "required": list(properties), "properties": properties}
 
 
-#: Payload schemas of the generation stages.
+#: Payload schemas of the generation stages, and the pattern of source labels above.
 CLAIM_JSON = closed(claim_text=_filled, claim_status={"type": "string", "enum": CLAIM_STATUSES}, evidence_sources=_sources, supporting_caption_phrases=_texts, contradiction_basis=_text, forbidden_inferences=_texts, confidence={"type": "number", "minimum": 0.0, "maximum": 1.0})
 QA_GENERATED_JSON = closed(question=_filled, claim_evaluation_explanation=_filled)
 QA_JSON = closed(question=_filled, answer={"type": "array", "minItems": 2, "maxItems": 2, "items": _filled}, answer_source=_sources, claim_evaluation_explanation=_filled, required_evidence_sources=_sources)

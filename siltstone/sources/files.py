@@ -18,12 +18,11 @@ def decode_text(content: pd.Series) -> pd.Series:
     """Whole files in the first encoding that takes all their bytes."""
 
     def one(data: bytes) -> str:
-        for encoding in ("utf-8-sig", "utf-8", "cp1252"):
+        for encoding in ENCODINGS:
             try:
                 return data.decode(encoding)
             except UnicodeDecodeError:
                 pass
-        return data.decode("latin-1")
 
     return content.map(one)
 

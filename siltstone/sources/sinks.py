@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,23 +76,56 @@ class BatchWriter:
             raise
         return True
 
-    def batches(self) -> list[int]:
+    def commit_all(self, df: DataFrame, batch: Column, schema: T.StructType) -> list[str]:
+        """All batches of df in one write, each there whole or not at all; batch: the number of a row's batch, or null. Returns the batches that are new.
+
+        Those that are there already stay as they are. A stop between two
+        renames leaves the ones before it, and a rerun adds the others.
+        """
+        there = set(self._names())
+        aside = f"{self.root}/_staged-{uuid.uuid4().hex}"
+        fs, staged = _fs(self.spark, aside)
+        fields = [F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields]
+        made = []
+        try:
+            df.select(*fields, batch.cast("long").alias("batch_id")).write.partitionBy("batch_id").parquet(aside)
+            for name in sorted(s.getPath().getName() for s in fs.listStatus(staged) if s.isDirectory()):
+                if name not in there:
+                    if not fs.rename(_fs(self.spark, f"{aside}/{name}")[1], _fs(self.spark, f"{self.root}/{name}")[1]):
+                        raise OSError(f"{name} could not be committed")
+                    made.append(name)
+        finally:
+            fs.delete(staged, True)
+        return made
+
+    def _names(self) -> list[str]:
         fs, root = _fs(self.spark, self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+        return [n for s in (fs.listStatus(root) if fs.exists(root) else []) if (n := s.getPath().getName()).startswith("batch_id=")]
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that are there; rows without a number are a batch, too, but have none here."""
+        return sorted(int(n.split("=")[1]) for n in self._names() if n.split("=")[1].lstrip("-").isdigit())
 
     def read(self, schema: T.StructType) -> DataFrame:
         """All batches; a column that an older batch lacks is null."""
-        if not self.batches():
+        if not self._names():
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
         return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(self.root)
 
     def finalize(self, path: str, schema: T.StructType, order: list[str], keep: bool = False) -> None:
-        """All batches in order as one table; then the batches go."""
-        self.read(schema).orderBy("batch_id", *order).drop("batch_id").write.parquet(path)
+        """All batches in order as one table, there whole or not at all; then the batches go."""
+        if exists(self.spark, path):
+            raise FileExistsError(path)
+        aside = f"{path.rstrip('/')}._staged"
+        fs, staged = _fs(self.spark, aside)
+        try:
+            self.read(schema).orderBy("batch_id", *order).drop("batch_id").write.mode("overwrite").parquet(aside)
+            if not fs.rename(staged, _fs(self.spark, path)[1]):
+                raise OSError(f"{path} could not be finalized")
+        finally:
+            fs.delete(staged, True)
         if not keep:
-            fs, root = _fs(self.spark, self.root)
-            fs.delete(root, True)
+            fs.delete(_fs(self.spark, self.root)[1], True)
 
     def review(self, schema: T.StructType, order: list[str], n: int) -> DataFrame:
         if n < 0:
@@ -105,7 +139,20 @@ class EventLog:
     def __init__(self, spark: SparkSession, path: str, run: str) -> None:
         self.spark, self.at, self.run = spark, path, run
 
+    def _append(self, **fields: Any) -> None:
+        now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+        row = {"timestamp": now, "run_name": self.run} | fields
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in row])
+        self.spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode("append").json(self.at)
+
     def add(self, kind: str, **payload: Any) -> None:
+        self._append(event_type=kind, payload=json.dumps(payload, sort_keys=True, default=str))
+
+    def error(self, stage: str, error: BaseException, **payload: Any) -> None:
+        """An error of a stage as a line of its own kind."""
+        self._append(event_type="error", stage=stage, error_type=type(error).__name__, message=str(error), payload=json.dumps(payload, sort_keys=True, default=str))
+
+    def stats(self, path: str, **counts: Any) -> None:
+        """The run's figures as one document; a later snapshot takes its place."""
         now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
-        row = [(now, self.run, kind, json.dumps(payload, sort_keys=True, default=str))]
-        self.spark.createDataFrame(row, "timestamp string, run_name string, event_type string, payload string").coalesce(1).write.mode("append").json(self.at)
+        write_document(self.spark, {"timestamp": now, "run_name": self.run} | counts, path)

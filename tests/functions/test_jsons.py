@@ -91,14 +91,3 @@ def test_retry_policy():
     with pytest.raises(G.HttpFailure):
         policy.run(lambda: (_ for _ in ()).throw(G.HttpFailure(400, "bad")), lambda e: e.retryable)
     assert [G.RetryPolicy(jitter=0.0).delay(n) for n in (1, 2, 3, 9)] == [1.0, 2.0, 4.0, 30.0]
-
-
-def test_request_extras():
-    assert G.request_extras({"effort": "high"}) == {"reasoning_effort": "high", "include_reasoning": False}
-    assert G.request_extras({"enabled": False, "thinking_token_budget": 5})["reasoning_effort"] == "none"
-    controls = G.request_extras({"template_controls": True, "thinking_token_budget": 7}, {"include_reasoning": True})
-    assert controls["chat_template_kwargs"]["enable_thinking"] and controls["thinking_token_budget"] == 7 and controls["include_reasoning"]
-    with pytest.raises(ValueError):
-        G.request_extras({"effort": "most"})
-    generator = G.HttpGenerator("http://x", "m", extra={"max_tokens": 1})
-    assert generator.payload("p")["max_tokens"] == 1

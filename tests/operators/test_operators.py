@@ -14,8 +14,8 @@ from siltstone.operators import dedup as D
 from siltstone.operators import generate as G
 from siltstone.operators import select as U
 from siltstone.operators import validate as V
-from siltstone.plans.catalogue import checkpoint
 from siltstone.sources import files, sinks
+from siltstone.sources.scratch import put_aside
 from siltstone.streaming.resume import commit_stream
 
 
@@ -54,6 +54,34 @@ def test_ordinals_have_no_gaps(spark):
     assert [o for o, _ in got] == list(range(1000)) and [k for _, k in got] == sorted(k for _, k in got)
 
 
+@pytest.mark.parametrize(("adaptive", "coalesce"), [("true", "true"), ("true", "false"), ("false", "true")])
+def test_wide_rows_keep_their_ordinals(spark, adaptive, coalesce):
+    """Ordinals and all columns equal a sequential numbering, whichever columns are read and however Spark deals the rows."""
+    settings = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.shuffle.partitions": "37"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        wide = spark.range(4000).select((F.col("id") * 7919 % 8009).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("text"), F.array("id").alias("__at"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("row_number"))
+        out = A.with_ordinal(wide.repartition(16), F.col("k"))
+        want = [(i, *r) for i, r in enumerate(sorted((tuple(r) for r in wide.collect()), key=lambda r: r[0]))]
+        assert out.columns == [*wide.columns, "row_ordinal"]
+        assert sorted((r.row_ordinal, r.k, r.text, r["__at"], r.row_number) for r in out.collect()) == want
+        assert sorted(r.row_ordinal for r in out.select("row_ordinal").collect()) == list(range(4000))
+        assert U.row_slice(out, 100, 7).count() == 7 and out.groupBy("row_ordinal").count().where("count > 1").isEmpty()
+        spread = spark.createDataFrame([(None, "x")] * 5 + [(1, "y")] * 5, "k int, t string")
+        assert sorted((r.row_ordinal, r.k is None) for r in A.with_ordinal(spread, F.col("k")).collect()) == [(i, i < 5) for i in range(10)]
+        assert A.with_ordinal(spread.limit(0), F.col("k")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_whole_shuffle_keeps_all_columns(spark):
+    rows = spark.createDataFrame([(i, "t" * i) for i in range(50)], "id int, text string")
+    assert sorted((r.ord, r.id, r.text) for r in U.seeded_subset(rows, 0, 1, "id").collect()) == [(i, r.id, r.text) for i, r in enumerate(sorted(rows.collect(), key=lambda r: __import__("hashlib").sha1(f"1:{r.id}".encode()).hexdigest()))]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_similar_pairs_against_brute_force(spark, threshold):
     rng = np.random.default_rng(7)
@@ -62,6 +90,7 @@ def test_similar_pairs_against_brute_force(spark, threshold):
     rows = spark.createDataFrame([(i, [f"t{x}" for x in s]) for i, s in enumerate(base)], "id int, tokens array<string>")
     rep = [base.index(b) for b in base]
     assert {(r.id, r.rep) for r in U.token_classes(rows).collect()} == set(enumerate(rep))
+    assert {(r.id, r.rep) for r in U.token_classes(spark.createDataFrame([(1, None), (2, []), (3, ["a"]), (4, None)], "id int, tokens array<string>")).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
     want = {(a, b) for a, b in combinations(sorted(set(rep)), 2) if base[a] and base[b] and len(base[a] & base[b]) / len(base[a] | base[b]) >= threshold}
     got = [(r.a, r.b) for r in U.similar_pairs(rows, threshold).collect()]
     assert set(got) == want and len(got) == len(want)
@@ -81,7 +110,7 @@ def greedy(units, cap):
 def test_capped_units_equal_a_sequential_walk(spark, cap):
     rng = np.random.default_rng(cap)
     units = [(f"u{i}", i, [str(x) for x in rng.choice(14, 2, replace=False)]) for i in range(50)]
-    got = U.capped_units(spark.createDataFrame(units, "unit_id string, priority int, members array<string>"), cap, checkpoint)
+    got = U.capped_units(spark.createDataFrame(units, "unit_id string, priority int, members array<string>"), cap, put_aside)
     assert {r.unit_id for r in got.collect()} == greedy(units, cap)
 
 
@@ -90,6 +119,42 @@ def test_plan_choice():
     for bad in ((1000, 2, "similar", 100), (1, 2, "random", 100), (5, 0, "random", 100)):
         with pytest.raises(ValueError):
             U.choose_plan(*bad)
+    for wrong in ({"members": 0}, {"strategy": "best"}, {"similar_from": 0.9, "similar_to": 0.1}, {"reuse": 0}):
+        with pytest.raises(ValueError):
+            U.UnitPlan(**wrong)
+
+
+@pytest.mark.parametrize(("n", "k"), [(0, 2), (2, 3), (5, 1), (7, 3)])
+def test_combinations_are_all_choices(spark, n, k):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(n)], "ord int, id string")
+    got = [tuple(r[f"m{i}"].id for i in range(k)) for r in U.combinations(rows, n, k, ["id"]).collect()]
+    assert sorted(got) == [tuple(f"r{i}" for i in c) for c in combinations(range(n), k)]
+
+
+@pytest.mark.parametrize(("reuse", "most", "strategy"), [(None, 1000, "similar"), (1, 1000, "dissimilar"), (1, 1, "random"), (None, 1, "similar")])
+def test_units_hold_their_plan(spark, reuse, most, strategy):
+    rng = np.random.default_rng(3)
+    sets = {f"a{i}": set(rng.choice(9, rng.integers(1, 6), replace=False).tolist()) for i in range(12)}
+    rows = spark.createDataFrame([(k, [str(x) for x in v]) for k, v in sets.items()], "audio_id string, tokens array<string>")
+    plan = U.UnitPlan(count=500, strategy=strategy, reuse=reuse, most=most, beyond="sample", similar_from=0.3, dissimilar_to=0.2)
+    units, short, stats = U.create_units(rows, plan, tokens="tokens")
+    got = [tuple(r.members) for r in units.collect()]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    ok = {"random": lambda j: True, "similar": lambda j: j >= 0.3, "dissimilar": lambda j: j <= 0.2}[strategy]
+    allowed = {frozenset(p) for p in combinations(sets, 2) if ok(alike(*p))}
+    made = {frozenset(p) for p in got}
+    assert len(made) == len(got) and made <= allowed
+    used = [m for p in got for m in p]
+    if reuse is None:
+        assert made == allowed  # 10,000 draws find all 66 pairs, too
+    else:
+        assert max(used.count(m) for m in used) == 1 and not [p for p in allowed if not p & set(used)]
+    assert {r.error_type for r in short.collect()} == {"unit_count_exceeds_possible", "unit_count_not_satisfied"}
+    row = stats.first()
+    assert row.units_generated == len(got) and row.distinct_members_used == len(set(used)) and row.possible_unordered_units == 66
+    if strategy != "random" and most == 1:
+        with pytest.raises(ValueError):
+            U.create_units(rows, U.UnitPlan(strategy=strategy, most=1), tokens="tokens")
 
 
 def test_shortfall_and_slices(spark):
@@ -150,21 +215,57 @@ def test_near_dedup_keeps_the_first_and_contrasts(spark):
         D.keep_distinct(df, "unit", "n", "claim", "question", F.col("sig"), 0.0)
 
 
+def walked(rows, threshold):
+    """Which rows a walk in order keeps; rows: unit, ordinal, claim, question, signature."""
+    kept, out = {}, []
+    for unit, _, *x in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0)):
+        new = tuple(v or "" for v in x)
+        seen = kept.setdefault(unit, [])
+        out.append((unit, _, *x, not any(D.similar(new, k, threshold) for k in seen)))
+        if out[-1][-1]:
+            seen.append(new)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.9])
+def test_near_dedup_equals_a_walk(spark, threshold):
+    """Every row once, with a walk's verdict: short and empty texts, equal texts under other signatures, null units, rows twice."""
+    rng = np.random.default_rng(int(threshold * 100))
+    words = ["a", "bb", "dog", "dogs", "barks", "loudly", "rain", "x"]
+    rows = []
+    for n in range(90):
+        claim = " ".join(rng.choice(words, rng.integers(0, 5)))
+        rows.append((None if n % 11 == 0 else int(rng.integers(0, 3)), n, claim, str(rng.choice(["q", "q q", ""])), str(rng.choice(["S", "C"]))))
+    df = spark.createDataFrame([*rows, (9, None, None, None, None), (9, None, "", "", ""), (9, 5, "z", None, "S")], "unit int, n int, claim string, question string, sig string").repartition(5)
+    got = D.keep_distinct(df, "unit", "n", "claim", "question", F.col("sig"), threshold).collect()
+    assert len(got) == 93
+    assert sorted(map(str, ((r.unit, r.n, r.claim, r.question, r.sig, r.kept) for r in got if r.unit != 9))) == sorted(map(str, walked(rows, threshold)))
+    assert sorted(r.kept for r in got if r.unit == 9) == [False, True, True]
+
+
+def test_exact_dedup_of_candidates_takes_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 4, "a", "q"), (1, 4, "A!", "q"), (1, None, "a", "q"), (None, None, "a", "q"), (1, 5, "b", None), (None, 2, "a", "q")], "unit int, n int, claim string, question string")
+    got = D.keep_distinct_exact(df, "unit", "n", "claim", "question").collect()
+    assert sorted((str(r.unit), str(r.n), r.kept) for r in got if r.claim != "A!" and r.n != 4) == [("1", "5", True), ("1", "None", False), ("None", "2", True), ("None", "None", False)]
+    assert len(got) == 6 and sum(r.kept for r in got if r.n == 4) == 1
+
+
 def test_retries_reach_only_open_rows_of_their_stage(spark):
     seen = "Errors: {{e}}\nrow {{i}}"
-    rows = spark.createDataFrame([(1,), (2,), (3,)], "i int")
+    rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "i int")
 
     def script(prompt):
-        i = int(prompt.rsplit(" ", 1)[1])
+        i = int(prompt.rsplit(" ", 1)[1] or 1)
         if i == 3:
             raise RuntimeError("down")
         return json.dumps({"question": "q", "claim_evaluation_explanation": "None." if "None." in prompt else "told"}) if i == 1 or "QA attempt 1: invalid_json" in prompt else "no"
 
-    from siltstone.functions import jsons as J
     from siltstone.functions import text as X
 
-    ok, failed = G.with_retries(rows, "QA", lambda fb: X.render_template(seen, e=fb, i=F.col("i")), G.ScriptedGenerator(script), lambda raw: F.from_json(J.parse_object(raw)["json"], S.QA_GENERATED), lambda r: [], ["i"], checkpoint)
-    assert {(r.i, r.attempt, r.record.claim_evaluation_explanation) for r in ok.collect()} == {(1, 1, "None."), (2, 2, "told")}
+    stage = G.Stage("QA", lambda fb: X.render_template(seen, e=fb, i=F.col("i")), S.QA_GENERATED_JSON, S.QA_GENERATED)
+    ok, failed = G.with_retries(rows, stage, G.ScriptedGenerator(script))
+    good = sorted((str(r.i), r.attempt, r.record.claim_evaluation_explanation) for r in ok.collect())
+    assert good == [("1", 1, "None."), ("2", 2, "told"), ("2", 2, "told"), ("None", 1, "None.")]
     bad = failed.collect()
     assert [r.i for r in bad] == [3] and len(bad[0].errors) == 2 and "RuntimeError: down" in bad[0].errors[0]
 
@@ -234,6 +335,45 @@ def test_guard_batches_and_finalize(spark, tmp_path):
     assert json.loads((tmp_path / "doc.json").read_text()) == {"a": "é"}
 
 
+def test_commits_of_all_batches(spark, tmp_path):
+    schema = S.ddl("id long, tags array<string>")
+    writer = sinks.BatchWriter(spark, str(tmp_path / "batches"))
+    rows = spark.createDataFrame([(i, [str(i)]) for i in (-5, 0, 3, 7, 8, 8)] + [(None, [])], schema)
+    assert len(writer.commit_all(rows, F.floor(F.col("id") / 4), schema)) == 5
+    assert writer.commit_all(rows, F.floor(F.col("id") / 4), schema) == []
+    assert len(writer.commit_all(rows.unionByName(spark.createDataFrame([(99, [])], schema)), F.floor(F.col("id") / 4), schema)) == 1
+    assert writer.batches() == [-2, 0, 1, 2, 24] and writer.read(schema).count() == 8
+    target = str(tmp_path / "all")
+    writer.finalize(target, schema, ["id"], keep=True)
+    assert [r.id for r in spark.read.parquet(target).collect()] == [None, -5, 0, 3, 7, 8, 8, 99]
+    with pytest.raises(FileExistsError):
+        writer.finalize(target, schema, ["id"])
+    assert writer.read(schema).count() == 8 and not sinks.exists(spark, target + "._staged")
+
+
+def test_event_log_errors_and_stats(spark, tmp_path):
+    log = sinks.EventLog(spark, str(tmp_path / "log"), "run")
+    log.error("claim", ValueError("bad"), unit="u1")
+    row = spark.read.json(str(tmp_path / "log")).first()
+    assert (row.stage, row.error_type, row.message, json.loads(row.payload)) == ("claim", "ValueError", "bad", {"unit": "u1"})
+    log.stats(str(tmp_path / "stats.json"), examples=1), log.stats(str(tmp_path / "stats.json"), examples=2)
+    assert json.loads((tmp_path / "stats.json").read_text())["examples"] == 2
+
+
+def test_totals_and_splits(spark):
+    a, b = spark.createDataFrame([("x", 1)], "file_name string, n int"), spark.createDataFrame([("y",), (None,)], "file_name string")
+    whole = A.append_splits({"dev": a, "val": b})
+    assert sorted(map(str, ((r.split, r.file_name, r.n) for r in whole.collect()))) == sorted(map(str, [("dev", "x", 1), ("val", "y", None), ("val", None, None)]))
+    with pytest.raises(ValueError):
+        A.append_splits({})
+    row = A.run_totals(whole, whole, a, b.limit(0)).first()
+    assert (row.split_names, row.total_records_written, row.total_provenance_records_written, row.total_errors) == (["dev", "val"], 3, 1, 0)
+    assert A.audio_of_split(a.limit(0), b).count() == 2 and A.audio_of_split(a, b).count() == 1
+    paths = spark.createDataFrame([(["a", "", None],), (None,), ([],)], "local_audio_paths array<string>")
+    assert U.missing_paths(paths).first()[0] == 2
+    assert {(r.member, r.units) for r in U.member_reuse(spark.createDataFrame([(["a", "b"],), (["a"],)], "members array<string>")).collect()} == {("a", 2), ("b", 1)}
+
+
 def test_stream_resumes(spark, tmp_path):
     schema = S.ddl("id long")
     for part in (0, 1):

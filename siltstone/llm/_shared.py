@@ -1,102 +1,85 @@
-"""Where intermediate tables live, and small helpers that the operators share."""
+"""Small helpers that the operators share: tables put aside, membership filters, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..sources import scratch
+from ..sources.scratch import _hadoop as hadoop
+from ..sources.scratch import new_path
 
+__all__ = ["SparkSession", "hadoop", "new_path"]
+materialize, drop = scratch.put_aside, scratch.discard
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests in local mode) a temporary folder is made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-    return "file://" + _LOCAL["dir"]
 
+def text_of(column: str = "text") -> Column:
+    """The text, empty for null."""
+    return F.coalesce(F.col(column), F.lit(""))
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    if path.startswith(("file:/", "/")) and spark.sparkContext.master.startswith("local["):
-        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), True)  # one machine: nobody else reads it later
-    return path
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.siltstone_path = path
-    return out
 
+#: A membership filter has 16 bits a key, 2**30 bits (128 MB) at most; beyond some 10**8 keys it lets more rows through, and loses none.
+FEWEST_BITS, MOST_BITS = 16, 30
 
-def drop(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for df in tables:
-        path = df.siltstone_path
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+def filter_bits(keys: int) -> int:
+    """The size of a filter for so many keys, as a power of two."""
+    return min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(16 * keys + 1))))
 
-def text_of(column: str = "text") -> Column:
-    """The text, empty for null."""
-    return F.coalesce(F.col(column), F.lit(""))
 
+def _bit_of(key: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << size)) + 1
 
-#: A membership filter has 2**27 bits, so 16 MB, whatever it is built from.
-FILTER_BITS = 27
-_PER_ROW = 32768
 
+def membership_filter(keys: DataFrame, column: str, size: int) -> DataFrame:
+    """A one-hash Bloom filter of a key column with 2**size bits, as rows of 4 KB."""
+    bit = _bit_of(F.col(column), size)
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
 
-def _bit_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
 
-
-def membership_filter(keys: DataFrame, column: str) -> DataFrame:
-    """A one-hash Bloom filter of a key column as at most 4,096 rows of 4 KB."""
-    bit = _bit_of(F.col(column))
-    return keys.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
-
-
-def mark_maybe(df: DataFrame, column: str, bits: DataFrame, flag: str = "__maybe") -> DataFrame:
+def mark_maybe(df: DataFrame, column: str, bits: DataFrame, size: int, flag: str = "__maybe") -> DataFrame:
     """Adds whether a row's key may be in the filter: true for every key that is, and for a few others.
 
-    The broadcast side holds 2**27 bits at most, however many keys it stands for.
+    The broadcast side holds 2**MOST_BITS bits at most, however many keys it stands for.
     """
-    bit = _bit_of(F.col(column))
+    b, w = unused(df, "__bucket"), unused(df, "__bits")
+    bit = _bit_of(F.col(column), size)
     at = F.bitmap_bit_position(bit)
-    byte = F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))
+    byte = F.substring(F.col(w), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
     isset = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
-    joined = df.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "__bucket", "left")
-    return joined.withColumn(flag, F.coalesce(isset, F.lit(False))).drop("__bucket", "__bits")
+    sent = F.broadcast(bits.select(F.col("bucket").alias(b), F.col("bits").alias(w)))
+    return df.withColumn(b, F.bitmap_bucket_number(bit)).join(sent, b, "left").withColumn(flag, F.coalesce(isset, F.lit(False))).drop(b, w)
+
 
+def marked(df: DataFrame, column: str, keys: DataFrame, key: str, flag: str = "__maybe") -> DataFrame:
+    """mark_maybe against a table of keys that was put aside, with a filter of its size."""
+    size = filter_bits(keys.count())
+    return mark_maybe(df, column, membership_filter(keys, key, size), size, flag)
 
-def maybe_member(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the filter: none that is gets lost."""
-    return mark_maybe(df, column, bits).where("__maybe").drop("__maybe")
+
+def matching(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among the keys (in the column of the same name, put aside): none that is gets lost."""
+    flag = unused(df, "__maybe")
+    return marked(df, column, keys, column, flag).where(F.col(flag)).drop(flag)
 
 
 def without(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose key is not among ``keys``: an anti join that moves only rows that may be dropped."""
+    """Rows of df whose key is not among ``keys`` (put aside): an anti join that moves only rows that may be dropped."""
     names = df.columns
-    marked = mark_maybe(df.withColumn("__key", key), "__key", membership_filter(keys, column))
-    stay = marked.where(~F.col("__maybe")).select(names)
-    rest = marked.where("__maybe").join(keys.select(F.col(column).alias("__key")), "__key", "left_anti").select(names)
-    return stay.unionByName(rest)
+    k, flag = unused(df, "__key"), unused(df, "__maybe")
+    found = marked(df.withColumn(k, key), k, keys, column, flag)
+    stay = found.where(~F.col(flag)).select(*[found[f"`{c}`"] for c in names])
+    rest = found.where(F.col(flag)).join(keys.select(F.col(column).alias(k)), k, "left_anti")
+    return stay.unionByName(rest.select(*[rest[f"`{c}`"] for c in names]))
 
 
 def row_slices(batch, column: str, most: int = 6_000_000):
@@ -113,13 +96,19 @@ def row_slices(batch, column: str, most: int = 6_000_000):
         yield batch.slice(lo, hi - lo)
 
 
-def per_process(key: str, make):
-    """make(), once for each worker process. Tokenizers keep memory when they are freed, so a task must not make its own."""
+def per_process(key: str, make, family: str | None = None):
+    """make(), once for each worker process. Tokenizers keep memory when they are freed, so a task must not make its own.
+
+    Of a family a process holds one member; another takes its place.
+    """
     import sys
     import types
 
     held = sys.modules.setdefault("_siltstone_process", types.ModuleType("_siltstone_process")).__dict__
     if key not in held:
+        if family:
+            held.pop(held.get(f"family {family}"), None)
+            held[f"family {family}"] = key
         held[key] = make()
     return held[key]
 
@@ -133,7 +122,6 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28)).rstrip("b")) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    per_process("malloc", _tidy_malloc)
 
     def run(batches):
         per_process("malloc", _tidy_malloc)

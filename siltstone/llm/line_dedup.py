@@ -64,19 +64,21 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id",
     lines = _lines(docs, id_column, text_column, site_column)
     common = boilerplate(lines, min_sites)
     hit = lines.select("id", "text_key", "pos", "key").join(common.select("key", "first_id"), "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    hit = hit.withColumn("__doc", F.xxhash64("id", "text_key")).groupBy("__doc", "id", "text_key").agg(F.collect_set("pos").alias("__removed"))
+    hit = hit.withColumn("doc", F.xxhash64("id", "text_key")).groupBy("doc", "id", "text_key").agg(F.collect_set("pos").alias("removed"))
     hit = _shared.materialize(hit, "removed-lines")
 
-    text = _shared.text_of(text_column)
-    keyed = docs.withColumn("__text_key", F.xxhash64(text)).withColumn("__doc", F.xxhash64(F.col(id_column), F.col("__text_key")))
-    marked = _shared.mark_maybe(keyed, "__doc", _shared.membership_filter(hit, "__doc"))
-    n_lines = F.when(F.col(text_column).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias(counts[0])
-    plain = marked.where(~F.col("__maybe")).select(*names, n_lines, F.lit(0).cast("long").alias(counts[1]))
-    wanted = hit.select(F.col("__doc").alias("__hit"), F.col("id").alias("__id"), F.col("text_key").alias("__hit_key"), "__removed")
-    same = (F.col("__doc") == F.col("__hit")) & F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__hit_key"))
-    joined = marked.where("__maybe").join(wanted, same, "left")
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("__removed"), i)), "\n")
-    cleaned = F.when(F.col("__removed").isNull(), F.col(text_column)).otherwise(kept)
-    changed = joined.select(*[cleaned.alias(c) if c == text_column else F.col(c) for c in names], n_lines, F.size(removed).cast("long").alias(counts[1]))
+    # the row goes along as one column, so that its names may be any
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_column).alias("own_id"), F.col(text_column).alias("own_text"), F.xxhash64(_shared.text_of(text_column)).alias("own_key"))
+    marked = _shared.marked(packed.withColumn("own_doc", F.xxhash64("own_id", "own_key")), "own_doc", hit, "doc", "maybe")
+    text = _shared.text_of("own_text")
+    n_lines = F.when(F.col("own_text").isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias(counts[0])
+    plain = marked.where(~F.col("maybe")).select("row.*", n_lines, F.lit(0).cast("long").alias(counts[1]))
+    same = (F.col("own_doc") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key"))
+    joined = marked.where("maybe").join(hit, same, "left")
+    # a map finds a line's place at once, however many are removed
+    gone = F.array(F.map_from_arrays("removed", F.transform("removed", lambda x: F.lit(True))))
+    kept = F.array_join(F.get(F.transform(gone, lambda m: F.filter(F.split(text, "\n"), lambda line, i: F.try_element_at(m, i).isNull())), F.lit(0)), "\n")
+    cleaned = F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(kept)
+    n_removed = F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed"))
+    changed = joined.select(*[cleaned.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in names], n_lines, n_removed.cast("long").alias(counts[1]))
     return plain.unionByName(changed)

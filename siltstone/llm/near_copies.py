@@ -7,8 +7,10 @@ so that a large group costs no more than its members.
 A prefix-filter join finds the rest. With all shingles in one fixed order, two
 sets with a similarity of the threshold or more share one of the first
 n - ceil(threshold * n) + 1 of either; only those are joined, and only between
-groups. Of those pairs, the sizes of 128 classes of shingles rule most out before
-texts are read again and compared. The order is by hash, with shingles that occur often in a sample of the
+groups. First each text is compared with one that shares the shingle, so that a
+large group of close texts becomes one group without all its pairs. Of the pairs
+that are left, the sizes of 64 classes of shingles rule most out before texts
+are read again and compared. The order is by hash, with shingles that occur often in a sample of the
 texts last. The sample decides how much is compared, not what is found.
 """
 
@@ -28,8 +30,10 @@ from .simhash import keep_first, links
 SAMPLED = 8
 FREQUENT = 16
 MOST_FREQUENT = 1_000_000
-#: Classes of shingles whose sizes bound from above what two texts have in common.
-CLASSES = 128
+#: Classes of shingles whose sizes bound from above what two texts have in common; a size from FULL on bounds nothing.
+CLASSES, FULL = 64, 65_535
+#: How often the texts that share a shingle are compared with one of them, before all that are left are with each other.
+STAR_ROUNDS = 2
 
 
 def shingles_of(text: bytes, width: int = 5, seed: int = 42):
@@ -97,7 +101,7 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
             for text in batch.column("text").cast(pa.binary()):
                 w, fp, found = shingles_of(text.as_py(), width)
                 whole.append(w), fps.append(fp), sizes.append(len(found))
-                classes.append(np.minimum(np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 0xFFFFFFFF).astype("<u4").tobytes())
+                classes.append(np.minimum(np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), FULL).astype("<u2").tobytes())
                 most = len(found) - math.ceil(threshold * len(found) - 1e-9) + 1 if len(found) else 0
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -122,9 +126,9 @@ def _possible(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64) for c in ("cu", "cv"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("cu", "cv"))
             common = np.minimum(a, b).sum(axis=1)
-            keep = common >= (a.sum(axis=1) + b.sum(axis=1) - common) * threshold - 1e-9
+            keep = (common >= (a.sum(axis=1) + b.sum(axis=1) - common) * threshold - 1e-9) | (a == FULL).any(axis=1) | (b == FULL).any(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
 
     ends = (firsts.select(F.col("words").alias(k), F.col("classes").alias(f"c{k}")) for k in "uv")
@@ -147,17 +151,27 @@ def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold:
             found = [shingles_of(t.as_py(), width) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)), _lists([f[2] for f in found])], ["words", "shingles"])
 
-    near = _shared.maybe_member(rows.select("text_key", "text"), "text_key", _shared.membership_filter(keys, "text_key"))
+    near = _shared.matching(rows.select("text_key", "text"), "text_key", keys.select("text_key"))
     texts = near.join(keys.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
     sets = _shared.materialize(texts.transform(_shared.in_arrow, run, schema).dropDuplicates(["words"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("words").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("words").alias("v"), F.col("shingles").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
     whole = F.size("su") + F.size("sv") - common
     out = _shared.materialize(both.where((whole > 0) & (common >= whole * threshold - 1e-9)).select("u", "v"), "links")
-    _shared.drop(sets)
+    _shared.drop(sets, keys, pairs)
     return out
 
 
+def _between(firsts: DataFrame, group: DataFrame) -> DataFrame:
+    """The shingles in the prefixes that texts of several groups share: words, n, root, at, shingle."""
+    placed = firsts.where("n > 0").join(group.select(F.col("node").alias("words"), "root"), "words", "left")
+    every = _shared.materialize(placed.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("at", "shingle")), "heads")
+    shared = every.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    heads = _shared.materialize(every.join(shared, "shingle", "left_semi"), "shared-heads")
+    _shared.drop(every)
+    return heads
+
+
 def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
     """One row per input row: id, text_key, words, component_id (the smallest id reachable by links), row, keep_row.
 
@@ -179,18 +193,21 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     proposed = near.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = firsts.where("n > 0").join(with_fp, "fp").select(F.col("words").alias("u"), F.col("first").alias("v"))
     sure = _confirmed(proposed.unionByName(same), firsts, rows, threshold, width)
-    group = components(sure)
-    # the rest: between groups
-    placed = firsts.where("n > 0").join(group.select(F.col("node").alias("words"), "root"), "words", "left")
-    heads = _shared.materialize(placed.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("at", "shingle")), "heads")
-    shared = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    every, heads = heads, _shared.materialize(heads.join(shared, "shingle", "left_semi"), "shared-heads")
-    _shared.drop(every)
-    left, right = (heads.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]) for s in "uv")
     needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6  # in common; the first in common is followed by all the others
-    fits = (F.col("words_u") < F.col("words_v")) & (F.col("root_u") != F.col("root_v")) & (F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed)
-    found = left.join(right, "shingle").where(fits).select(F.col("words_u").alias("u"), F.col("words_v").alias("v"))
+    fits = (F.col("root_u") != F.col("root_v")) & (F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed)
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]
+    ends = [F.col("words_u").alias("u"), F.col("words_v").alias("v")]
+    for turn in range(STAR_ROUNDS):  # each text with one that has the shingle
+        heads = _between(firsts, components(sure))
+        one = heads.groupBy("shingle").agg(F.min_by(F.struct(*side("v")), F.xxhash64("words", F.lit(turn))).alias("one"))
+        found = heads.select("shingle", *side("u")).join(one.select("shingle", "one.*"), "shingle").where(fits).select(*ends)
+        sure = _shared.materialize(sure.unionByName(_confirmed(found, firsts, rows, threshold, width)), "sure")
+        _shared.drop(heads)
+    # the rest: all pairs between groups
+    heads = _between(firsts, components(sure))
+    found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where(fits & (F.col("words_u") < F.col("words_v"))).select(*ends)
     root = components(sure.unionByName(_confirmed(found, firsts, rows, threshold, width)))
+    _shared.drop(heads)
     labelled = _shared.materialize(nodes.join(root.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words")), "labelled")
     whole = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.coalesce(F.min_by("keep_row", "id"), F.min("keep_row")).alias("keep_row"))
     of = _shared.materialize(labelled.select("words", "root").join(whole, "root").select("words", "component_id", "keep_row"), "group-of")

@@ -301,10 +301,11 @@ def keep_first(docs: DataFrame, found: DataFrame, id_column: str, text_column: s
     both = _shared.materialize(gone.join(kept, "key", "left_semi").distinct(), "kept-and-dropped")  # the same id and text on both sides
     names = docs.columns
     mark = F.xxhash64(F.col(id_column), F.xxhash64(_shared.text_of(text_column)))
-    out = _shared.without(docs, mark, gone.join(both, "key", "left_anti").select("key").distinct(), "key")
+    out = _shared.without(docs, mark, _shared.materialize(gone.join(both, "key", "left_anti").select("key").distinct(), "dropped"), "key")
     if both.isEmpty():
         return out
-    marked = out.withColumn("__key", mark)
-    single = marked.join(both.select(F.col("key").alias("__key")), "__key", "left_anti")
-    repeated = marked.join(both.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    k = _shared.unused(out, "__key")
+    marked = out.withColumn(k, mark)
+    single = marked.join(both.select(F.col("key").alias(k)), k, "left_anti")
+    repeated = marked.join(both.select(F.col("key").alias(k)), k, "left_semi").dropDuplicates([k])
     return single.unionByName(repeated.select(single.columns)).select(names)

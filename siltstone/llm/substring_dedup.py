@@ -358,7 +358,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id",
 
     text = _shared.text_of(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key")).withColumn("__doc", F.xxhash64(F.col("id").cast("long"), F.col("text_key")))
-    marked = _shared.mark_maybe(keyed, "__doc", _shared.membership_filter(found, "__doc"))
+    marked = _shared.marked(keyed, "__doc", found, "__doc")
     wanted = found.select(F.col("__doc").alias("d"), F.col("id").alias("i"), F.col("text_key").alias("k"), "spans")
     joined = marked.where("__maybe").join(wanted, (F.col("__doc") == F.col("d")) & (F.col("id") == F.col("i")) & (F.col("text_key") == F.col("k")), "left")
     rows = marked.where(~F.col("__maybe")).select("id", "text", F.lit(None).cast("binary").alias("spans")).unionByName(joined.select("id", "text", "spans"))

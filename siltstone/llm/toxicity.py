@@ -163,9 +163,9 @@ def logistic_fit(x, y, ridge: float = 1e-3, rounds: int = 60):
 def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> DataFrame:
     """id, text, label of the labelled rows; only rows that may have a label move. Of several labels of an id the largest counts."""
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("int").alias("label"))
+    known = _shared.materialize(known.withColumnRenamed("__id", "id"), "known-labels")
     rows = docs.select(F.col(id_column).alias("id"), _shared.text_of(text_column).alias("text")).where("id is not null")
-    near = _shared.maybe_member(rows, "id", _shared.membership_filter(known.select("__id"), "__id"))
-    return near.join(known, near["id"] == known["__id"]).select("id", "text", "label")
+    return _shared.matching(rows, "id", known).join(known, "id").select("id", "text", "label")
 
 
 def fold(id_column: str):

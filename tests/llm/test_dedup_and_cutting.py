@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import _shared
 from siltstone.llm import line_dedup as L
-from siltstone.llm.decontam import BenchmarkTooLarge, build_patterns, contaminated, drop_contaminated, find_contamination
+from siltstone.llm.decontam import contaminated, drop_contaminated, find_contamination, windows_of
 from siltstone.llm.exact_dedup import LsmIndex, exact_dedup
 from siltstone.llm.sharding import assign_shards, jump_hash, write_shards
 from siltstone.llm.substring_dedup import _deltas, _undeltas, substring_dedup
@@ -61,15 +61,32 @@ def test_exact_dedup_of_nothing(spark, rows):
     assert exact_dedup(make(spark, rows).limit(0)).count() == 0
 
 
-def test_index_grows_by_batches(spark):
-    index = LsmIndex(spark, _shared.new_path(spark, "test"), spark.createDataFrame([], "i long").schema["i"].dataType)
-    batch = lambda *ids: spark.createDataFrame([(bytes([i % 4]), i) for i in ids], "digest binary, id long")
-    index.flush(batch(5, 9, 2))
-    assert sorted(r.id for r in index.hits(batch(6, 7)).collect()) == [6]
-    index.flush(batch(1, 3))
-    index.compact()
-    index.flush(batch(0, 13))
-    assert {(r.digest[0], r.id, r.n) for r in index.compact().collect()} == {(0, 0, 1), (1, 1, 4), (2, 2, 1), (3, 3, 1)}
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_index_of_many_batches(spark, keep):
+    """Levels, lookups by filters and reopening by the manifest, against a plain dictionary."""
+    rng = np.random.default_rng(4)
+    path = _shared.new_path(spark, "test")
+    long = spark.createDataFrame([], "i long").schema["i"].dataType
+    open_ = lambda: LsmIndex(spark, path, long, keep, fanout=2)
+    frame_of = lambda pairs: spark.createDataFrame([(bytes([d]), i) for d, i in pairs], "digest binary, id long").repartition(3)
+    index, known, best = open_(), {}, min if keep == "smallest" else max
+    for turn in range(5):
+        batch = [(int(d), None if rng.random() < 0.1 else int(i)) for d, i in zip(rng.integers(0, 60, 40), rng.integers(0, 10**6, 40))]
+        if turn == 2:
+            index = open_()  # another process goes on
+        found = {r.digest[0]: (r.id, r.n) for r in index.lookup(frame_of([*batch, (200, 1)])).collect()}
+        assert found == {d: known[d] for d, _ in batch if d in known}
+        assert index.hits(frame_of(batch)).count() == sum(d in known for d, _ in batch)
+        index.flush(frame_of(batch))
+        for d, i in batch:
+            old, n = known.get(d, (None, 0))
+            known[d] = (best((x for x in (old, i) if x is not None), default=None), n + 1)
+        assert all(len(level) < 2 for level in index.state["levels"])
+    assert len(index.state["levels"]) > 2
+    whole = index.compact().collect()
+    assert {r.digest[0]: (r.id, r.n) for r in whole} == known and len(whole) == len(known) and len(open_().runs()) == 1
+    with pytest.raises(ValueError):
+        LsmIndex(spark, path, long, "largest" if keep == "smallest" else "smallest")
 
 
 def jump(key, n):
@@ -120,11 +137,11 @@ def test_line_dedup(spark, rows, min_sites, near, monkeypatch):
         lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if not bare(x) or len(sites[bare(x)] - {None}) < min_sites or i == first.get(bare(x))]
         want.append((str(i), None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept), str(s)))
-    docs = make(spark, rows).drop("n_removed")
+    docs = make(spark, rows).drop("n_removed").withColumns({c: F.lit(7) for c in ("__doc", "__text_key", "__maybe", "__bucket", "__bits", "removed", "doc")})
     got = L.line_dedup(docs, min_sites)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed, str(r.source)) for r in got.collect() if r.text is not None) == sorted(w for w in want if w[1] is not None)
-    assert got.count() == len(rows)
+    assert got.count() == len(rows) and {r["__doc"] for r in got.collect()} == {7}
     assert L.line_dedup(docs.limit(0), min_sites).count() == 0
     with pytest.raises(ValueError):
         L.line_dedup(make(spark, rows), min_sites)
@@ -195,10 +212,12 @@ def test_decontamination(spark):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, t, _ in TEXTS if not brute(t)[3])
     assert find_contamination(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in find_contamination(docs, items.limit(0)).collect()} == {0}
-    with pytest.raises(BenchmarkTooLarge):
-        find_contamination(docs, items, max_benchmark_mb=0)
+    blocks = find_contamination(docs, items, block_bytes=300).withColumn("bad", contaminated()).collect()  # several automata
+    assert sorted(map(str, blocks)) == sorted(map(str, got))
+    assert sorted(str(r.doc_id) for r in drop_contaminated(docs, items, block_bytes=300).collect()) == sorted(str(r.doc_id) for r in clean.collect())
+    assert all(r.spans == [] for r in find_contamination(docs, items, with_spans=False).collect())
 
 
 def test_patterns_overlap_at_a_shared_space():
-    assert build_patterns([(1, "a b")]) == {" a b ": ["1"]}
+    assert windows_of("a b") == [" a b "] and windows_of("...") == windows_of(None) == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from siltstone.llm import _shared
-from siltstone.llm.simhash import fingerprint_of
 from siltstone.llm.toxicity import score_toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -38,21 +37,22 @@ def test_lines_change_texts_alone(steps):
 
 
 def test_one_of_each_group_stays(steps):
-    rows = {r.doc_id: fingerprint_of(r.text.encode()) for r in steps[2].collect()}
-    kept = {r.doc_id for r in steps[3].collect()}
-    label = {i: i for i in rows}
+    """Brute force by the rule of the stage: five words a shingle, a Jaccard similarity of 0.8 or more."""
+    texts = {r.doc_id: r.text.lower().split() for r in steps[2].collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in texts.items()}
+    label = {i: i for i in sets}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for a in rows:
-        for b in rows:
-            if a < b and (rows[a] ^ rows[b]).bit_count() <= 4:
+    for a in sets:
+        for b in sets:
+            if a < b and (texts[a] == texts[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
-    assert kept == {i for i in rows if find(i) == i}
+    assert {r.doc_id for r in steps[3].collect()} == {i for i in sets if find(i) == i}
 
 
 def test_packed_pieces_are_of_the_documents_left(spark, steps):

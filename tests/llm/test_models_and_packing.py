@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 from siltstone.llm import _shared
 from siltstone.llm._blobs import pack_cells, pack_sorted, unpack_cells, unpack_sorted
 from siltstone.llm.packing import class_counts, cuts, pack, size_class
-from siltstone.llm.quality import META_SIZE, TEXT_SIZE, co_train, meta_features, score_quality, text_features
+from siltstone.llm import quality as Q
+from siltstone.llm.quality import META_SIZE, TEXT_SIZE, co_train, meta_features, score_quality, taught, text_features
 from siltstone.llm.queries import tokenizer_path
 from siltstone.llm.tokens import read_tokens, token_index, write_tokens
 from siltstone.llm.toxicity import drop_toxic, score_toxicity
@@ -179,7 +180,7 @@ def quality_table(spark, n=500):
 def test_quality(spark):
     docs, labels, n = quality_table(spark)
     truth = {r.doc_id: r.text is not None and "!!" not in r.text for r in docs.collect()}
-    got = score_quality(docs, labels, max_labelled=300, max_pool=100).collect()
+    got = score_quality(docs, labels, max_labelled=300).collect()
     assert len(got) == docs.count()
     held = [r for r in got if r.held_out and r.id is not None and r.id < n]
     assert np.mean([r.predicted == truth[r.id] for r in held]) > 0.95
@@ -194,14 +195,37 @@ def test_features_have_fixed_sizes():
     assert meta_features(None, None, None).shape == (META_SIZE,) and meta_features("x", "y", 10**12).shape == (META_SIZE,)
 
 
+def test_views_share_no_input():
+    """A text of the same make has the same text view whatever its length; the metadata view sees no text."""
+    one, long = text_features(b"Some plain words, and 7 more."), text_features(b"Some plain words, and 7 more. " * 40)
+    at = [i for i in range(TEXT_SIZE) if i != Q.BUCKETS + 32]  # but for the blank between
+    assert np.abs(one[at] - long[at]).max() < 0.02
+    assert (text_features(b"alpha beta")[: Q.BUCKETS] != text_features(b"gamma delta")[: Q.BUCKETS]).any()
+
+
 def test_co_training_uses_the_other_view():
     """A view without signal of its own for most rows gets better by what the other view teaches it."""
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.5
     strong = np.stack([y + rng.normal(0, 0.2, 2000), rng.normal(size=2000)], axis=1).astype(np.float32)
     weak = np.concatenate([y[:, None] * 1.0 + rng.normal(0, 1.2, (2000, 1)), rng.normal(size=(2000, 30))], axis=1).astype(np.float32)
-    few = slice(0, 40)
-    alone = co_train([strong[few], weak[few]], y[few], [strong[:0], weak[:0]], rounds=0)
-    taught = co_train([strong[few], weak[few]], y[few], [strong[40:], weak[40:]], rounds=5, sure=0.7)
-    right = lambda m: ((weak @ m[1][0] + m[1][1] > 0) == y).mean()
-    assert right(taught) > right(alone)
+    few, rest = slice(0, 40), slice(40, None)
+    sums = lambda models: taught(models, [strong[rest], weak[rest]], 0.7)
+    alone = co_train([strong[few], weak[few]], y[few], sums, rounds=0)
+    after = co_train([strong[few], weak[few]], y[few], sums, rounds=5)
+    right = lambda m: ((m[1].odds(weak) > 0) == y).mean()
+    assert right(after) > right(alone)
+
+
+def test_sums_over_a_table_are_those_of_its_rows(spark):
+    """Brute force: what Spark gathers over all unlabelled rows equals one pass in memory, however the rows are dealt."""
+    docs, _, _ = quality_table(spark, 120)
+    rows = docs.select(F.col("doc_id").alias("id"), _shared.text_of("text").alias("text"), "lang", "source", "n_chars")
+    table = _shared.materialize(Q._featured(rows), "test-views")
+    views = Q._views(table.orderBy("id").toArrow())
+    y = np.arange(len(views[0])) % 3 == 0
+    models = [Q.fitted(v, y.astype(float), 1.0) for v in views]
+    want, got = taught(models, views, 0.6), Q._sums(table.repartition(7), 0.6)(models)
+    assert [n for _, n in got] == [n for _, n in want] and sum(n for _, n in got) > 0
+    assert all(np.allclose(a, b) for (a, _), (b, _) in zip(got, want))
+    assert [n for _, n in Q._sums(table.limit(0), 0.6)(models)] == [0, 0]

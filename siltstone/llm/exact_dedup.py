@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.sinks import write_document
 from . import _shared
 
 
@@ -53,19 +54,23 @@ class LsmIndex:
         self.schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("id", id_type), T.StructField("row", T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())])), T.StructField("n", T.LongType())])
         self.state: dict = {"version": 0, "made": 0, "batches": 0, "keep": keep, "levels": []}
         if numbers := self._manifests():
-            self.state = json.loads("".join(r["value"] for r in spark.read.text(f"{self.path}/manifest-{max(numbers)}").collect()))
+            self.state = json.loads("".join(r["value"] for r in spark.read.text(f"{self.path}/manifest-{max(numbers)}.json").collect()))
             if self.state["keep"] != keep:
                 raise ValueError(f"the index keeps the {self.state['keep']} identifier")
 
     def _manifests(self) -> list[int]:
         fs, root = _shared.hadoop(self.spark, self.path)
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        whole = [n for n in names if n.startswith("manifest-") and fs.exists(_shared.hadoop(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
-        return [int(n.split("-")[1]) for n in whole]
+        return [int(n[len("manifest-") : -len(".json")]) for n in names if n.startswith("manifest-")]
 
     def _publish(self, levels: list[list[dict]], **changed: int) -> None:
+        """Written aside, then renamed: a manifest is there whole or not at all."""
         self.state = self.state | changed | {"levels": levels, "version": self.state["version"] + 1}
-        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.state['version']}")
+        aside, name = f"{self.path}/_staged-{self.state['version']}", f"{self.path}/manifest-{self.state['version']}.json"
+        write_document(self.spark, self.state, aside)
+        fs, at = _shared.hadoop(self.spark, aside)
+        if not fs.rename(at, _shared.hadoop(self.spark, name)[1]):
+            raise OSError(f"{name} could not be written; does another process write to this index?")
 
     def _run(self, rows: DataFrame) -> dict:
         """A sorted run and its filter, not yet in the manifest."""

@@ -112,8 +112,11 @@ class LsmIndex:
     def runs(self) -> list[dict]:
         return [r for level in self.state["levels"] for r in level]
 
+    def _none(self) -> DataFrame:
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+
     def entries(self, runs: list[dict]) -> DataFrame:
-        out = self.spark.createDataFrame([], self.schema)
+        out = self._none()
         for r in runs:
             out = out.unionByName(self.read(r))
         return out
@@ -125,14 +128,15 @@ class LsmIndex:
 
     def compact(self) -> DataFrame:
         """Everything as one sorted run: a row per digest."""
-        if len(self.runs()) != 1 or len(self.state["levels"][0]):
-            self._merge(0, max(0, len(self.state["levels"]) - 1)) if self.runs() else None
+        runs = self.runs()
+        if len(runs) > 1 or (runs and self.state["levels"][0]):
+            self._merge(0, len(self.state["levels"]) - 1)
         return self.entries(self.runs())
 
     def lookup(self, batch: DataFrame) -> DataFrame:
         """digest, id, row, n of what the index holds of a batch's digests. A run is joined with what its filter lets through alone."""
         asked = batch.select("digest").distinct()
-        found = self.spark.createDataFrame([], self.schema)
+        found = self._none()
         for r in self.runs():
             bits = self.spark.read.parquet(f"{self.path}/{r['name']}-filter")
             maybe = _shared.mark_maybe(asked, "digest", bits, size=r["bits"]).where("__maybe").select("digest")

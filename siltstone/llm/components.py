@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import _shared
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a root at most, and no root has one: then the roots are those of the components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least")).where("n > 1 or n = 1 and least = 0").count() == 0
 
 
 def _star(pairs: DataFrame, name: str, large: bool) -> DataFrame:
@@ -33,11 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     a lost executor costs a reread. No edges give no rows.
     """
     now = _shared.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while state != (fresh := _state(now)):
-        state = fresh
-        if not fresh[0]:
-            break
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "large-star", True)
         small = _star(large, "small-star", False)

@@ -162,14 +162,20 @@ def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold:
     return out
 
 
-def _between(firsts: DataFrame, group: DataFrame) -> DataFrame:
-    """The shingles in the prefixes that texts of several groups share: words, n, root, at, shingle."""
-    placed = firsts.where("n > 0").join(group.select(F.col("node").alias("words"), "root"), "words", "left")
-    every = _shared.materialize(placed.select("words", "n", F.coalesce("root", "words").alias("root"), F.posexplode("prefix").alias("at", "shingle")), "heads")
-    shared = every.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    heads = _shared.materialize(every.join(shared, "shingle", "left_semi"), "shared-heads")
-    _shared.drop(every)
-    return heads
+def _shared_heads(firsts: DataFrame) -> DataFrame:
+    """The shingles in the prefixes that several texts share: words, n, at, shingle."""
+    every = firsts.where("n > 0").select("words", "n", F.posexplode("prefix").alias("at", "shingle"))
+    shared = every.groupBy("shingle").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high").select("shingle")
+    return _shared.materialize(every.join(shared, "shingle", "left_semi"), "shared-heads")
+
+
+def _between(heads: DataFrame, group: DataFrame) -> DataFrame:
+    """Those of the heads that texts of several groups share, with root. Groups only merge, so the next round needs no others; heads are deleted."""
+    placed = heads.select("words", "n", "at", "shingle").join(group.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words"))
+    shared = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    out = _shared.materialize(placed.join(shared, "shingle", "left_semi"), "heads-between")
+    _shared.drop(heads)
+    return out
 
 
 def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -197,16 +203,17 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     fits = (F.col("root_u") != F.col("root_v")) & (F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed)
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]
     ends = [F.col("words_u").alias("u"), F.col("words_v").alias("v")]
+    group, heads = components(sure), _shared_heads(firsts)
+    merged = lambda links: components(group.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     for turn in range(STAR_ROUNDS):  # each text with one that has the shingle
-        heads = _between(firsts, components(sure))
+        heads = _between(heads, group)
         one = heads.groupBy("shingle").agg(F.min_by(F.struct(*side("v")), F.xxhash64("words", F.lit(turn))).alias("one"))
         found = heads.select("shingle", *side("u")).join(one.select("shingle", "one.*"), "shingle").where(fits).select(*ends)
-        sure = _shared.materialize(sure.unionByName(_confirmed(found, firsts, rows, threshold, width)), "sure")
-        _shared.drop(heads)
+        group = merged(_confirmed(found, firsts, rows, threshold, width))
     # the rest: all pairs between groups
-    heads = _between(firsts, components(sure))
+    heads = _between(heads, group)
     found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where(fits & (F.col("words_u") < F.col("words_v"))).select(*ends)
-    root = components(sure.unionByName(_confirmed(found, firsts, rows, threshold, width)))
+    root = merged(_confirmed(found, firsts, rows, threshold, width))
     _shared.drop(heads)
     labelled = _shared.materialize(nodes.join(root.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words")), "labelled")
     whole = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.coalesce(F.min_by("keep_row", "id"), F.min("keep_row")).alias("keep_row"))

@@ -8,9 +8,10 @@ A prefix-filter join finds the rest. With all shingles in one fixed order, two
 sets with a similarity of the threshold or more share one of the first
 n - ceil(threshold * n) + 1 of either; only those are joined, and only between
 groups. First each text is compared with one that shares the shingle, so that a
-large group of close texts becomes one group without all its pairs. Of the pairs
-that are left, the sizes of 64 classes of shingles rule most out before texts
-are read again and compared. The order is by hash, with shingles that occur often in a sample of the
+large group of close texts becomes one group without all its pairs. Then all that
+share one are, between groups. A pair is read again and compared only if it shares
+enough of its prefixes: beyond what it shares there, it has no more in common than
+lies behind the longer prefix. The order is by hash, with shingles that occur often in a sample of the
 texts last. The sample decides how much is compared, not what is found.
 """
 
@@ -30,8 +31,6 @@ from .simhash import keep_first, links
 SAMPLED = 8
 FREQUENT = 16
 MOST_FREQUENT = 1_000_000
-#: Classes of shingles whose sizes bound from above what two texts have in common; a size from FULL on bounds nothing.
-CLASSES, FULL = 64, 65_535
 #: How often the texts that share a shingle are compared with one of them, before all that are left are with each other.
 STAR_ROUNDS = 2
 
@@ -84,7 +83,7 @@ def _frequent(texts: DataFrame, width: int) -> list:
 
 
 def _described(rows: DataFrame, last: list, threshold: float, width: int) -> DataFrame:
-    """id, text_key, words (a hash of all), fp, n (distinct shingles), classes (how many of each) and prefix of each row."""
+    """id, text_key, words (a hash of all), fp, n (distinct shingles) and prefix of each row."""
     import numpy as np
 
     frequent = np.array(last, np.int64).view(np.uint64)
@@ -97,11 +96,10 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
 
         known, place = sent.value
         for batch in batches:
-            whole, fps, sizes, heads, classes = [], [], [], [], []
+            whole, fps, sizes, heads = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 w, fp, found = shingles_of(text.as_py(), width)
                 whole.append(w), fps.append(fp), sizes.append(len(found))
-                classes.append(np.minimum(np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), FULL).astype("<u2").tobytes())
                 most = len(found) - math.ceil(threshold * len(found) - 1e-9) + 1 if len(found) else 0
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -110,35 +108,26 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
                     found = np.concatenate([rare, common[np.argsort(place[at[often]])]]) if len(rare) < most else rare
                 heads.append(found[:most])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *longs, pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(heads)], ["id", "text_key", "words", "fp", "n", "classes", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *longs, pa.array(sizes, pa.int32()), _lists(heads)], ["id", "text_key", "words", "fp", "n", "prefix"])
 
-    schema = T.StructType([rows.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("words", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("classes", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("words", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return rows.transform(_shared.in_arrow, run, schema)
 
 
-def _possible(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """pairs: u, v. Those that the sizes of their shingle classes allow to be similar: none that is gets lost."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for c in ("cu", "cv"))
-            common = np.minimum(a, b).sum(axis=1)
-            keep = (common >= (a.sum(axis=1) + b.sum(axis=1) - common) * threshold - 1e-9) | (a == FULL).any(axis=1) | (b == FULL).any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
-
-    ends = (firsts.select(F.col("words").alias(k), F.col("classes").alias(f"c{k}")) for k in "uv")
-    return pairs.join(next(ends), "u").join(next(ends), "v").transform(_shared.in_arrow, run, "u long, v long")
+def _sharing(rows: DataFrame, threshold: float, part: float = 1.0) -> DataFrame:
+    """rows: a shared shingle of a pair each. The pairs that share ``part`` of what similar pairs share in their prefixes: u, v."""
+    needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6  # in common
+    behind = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1  # noqa: E731  # a prefix of that text
+    pairs = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed)).groupBy(F.col("words_u").alias("u"), F.col("words_v").alias("v"), "n_u", "n_v")
+    counted = pairs.agg(F.count("*").alias("n"), F.min("at_u").alias("at_u"), F.min("at_v").alias("at_v"))
+    first = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed  # the first in common is followed by all the others
+    return counted.where(first & (F.col("n") >= (needed - F.greatest(behind("n_u"), behind("n_v"))) * part)).select("u", "v")
 
 
 def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float, width: int) -> DataFrame:
     """pairs: u, v (hashes of all words). Those whose shingle sets have the similarity; only texts in pairs are read again."""
     pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = _shared.materialize(_possible(pairs, firsts, threshold), "candidate-pairs")
+    pairs = _shared.materialize(pairs, "candidate-pairs")
     asked = pairs.select(F.col("u").alias("words")).union(pairs.select("v")).distinct()
     keys = _shared.materialize(firsts.select("words", "text_key").join(asked, "words"), "asked")
     schema = "words long, shingles array<long>"
@@ -191,7 +180,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = _shared.materialize(_described(rows, _frequent(rows, width), threshold, width).withColumn("row", F.monotonically_increasing_id()), "described")
     nodes = _shared.materialize(known.groupBy("words").agg(F.min("id").alias("id"), F.coalesce(F.min_by("row", "id"), F.min("row")).alias("keep_row")), "nodes")
-    firsts = _shared.materialize(known.join(nodes.select("words", F.col("keep_row").alias("row")), ["words", "row"]).select("words", "text_key", "fp", "n", "classes", "prefix"), "firsts")
+    firsts = _shared.materialize(known.join(nodes.select("words", F.col("keep_row").alias("row")), ["words", "row"]).select("words", "text_key", "fp", "n", "prefix"), "firsts")
     # groups of close texts, as far as the similarity confirms them
     with_fp = firsts.where("n > 0").groupBy("fp").agg(F.min("words").alias("first"))
     near = links(with_fp.select("fp"))
@@ -199,21 +188,18 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     proposed = near.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = firsts.where("n > 0").join(with_fp, "fp").select(F.col("words").alias("u"), F.col("first").alias("v"))
     sure = _confirmed(proposed.unionByName(same), firsts, rows, threshold, width)
-    needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6  # in common; the first in common is followed by all the others
-    fits = (F.col("root_u") != F.col("root_v")) & (F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed)
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]
-    ends = [F.col("words_u").alias("u"), F.col("words_v").alias("v")]
     group, heads = components(sure), _shared_heads(firsts)
     merged = lambda links: components(group.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     for turn in range(STAR_ROUNDS):  # each text with one that has the shingle
         heads = _between(heads, group)
         one = heads.groupBy("shingle").agg(F.min_by(F.struct(*side("v")), F.xxhash64("words", F.lit(turn))).alias("one"))
-        found = heads.select("shingle", *side("u")).join(one.select("shingle", "one.*"), "shingle").where(fits).select(*ends)
-        group = merged(_confirmed(found, firsts, rows, threshold, width))
+        found = heads.select("shingle", *side("u")).join(one.select("shingle", "one.*"), "shingle")
+        group = merged(_confirmed(_sharing(found, threshold, 0.5), firsts, rows, threshold, width))
     # the rest: all pairs between groups
     heads = _between(heads, group)
-    found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where(fits & (F.col("words_u") < F.col("words_v"))).select(*ends)
-    root = merged(_confirmed(found, firsts, rows, threshold, width))
+    found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where("words_u < words_v")
+    root = merged(_confirmed(_sharing(found, threshold), firsts, rows, threshold, width))
     _shared.drop(heads)
     labelled = _shared.materialize(nodes.join(root.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words")), "labelled")
     whole = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.coalesce(F.min_by("keep_row", "id"), F.min("keep_row")).alias("keep_row"))

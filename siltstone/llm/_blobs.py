@@ -1,14 +1,7 @@
-"""Sorted number lists as compact bytes, and sums of sparse arrays over many tasks."""
+"""Sorted number lists as compact bytes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-from . import _shared
-
-#: A summed array is cut into pieces of so many cells.
-PIECE = 1 << 16
-
 
 def pack_sorted(numbers) -> bytes:
     """Ascending whole numbers: a gap under 65,535 takes two bytes, any other ten."""
@@ -26,77 +19,3 @@ def unpack_sorted(data: bytes):
     gaps = np.frombuffer(data, "<u2", n, 4).astype(np.int64)
     gaps[gaps == 65_535] = np.frombuffer(data, "<u8", -1, 4 + 2 * n).astype(np.int64)
     return np.cumsum(gaps)
-
-
-def pack_cells(dense) -> bytes:
-    """The nonzero cells of a piece of whole numbers, compressed."""
-    import zlib
-
-    import numpy as np
-
-    at = np.flatnonzero(dense)
-    return zlib.compress(pack_sorted(at) + dense[at].astype("<u4").tobytes(), 1)
-
-
-def unpack_cells(packed: bytes, into) -> None:
-    """Fills the cells of a zero array."""
-    import zlib
-
-    import numpy as np
-
-    data = zlib.decompress(packed)
-    n = int.from_bytes(data[:4], "little")
-    into[unpack_sorted(data[: len(data) - 4 * n])] = np.frombuffer(data, "<u4", n, len(data) - 4 * n)
-
-
-def dense_arrays(packed: dict[str, list[tuple[int, bytes]]], size: int) -> dict:
-    """The arrays that packed pieces stand for, in float32."""
-    import numpy as np
-
-    out = {}
-    for name, pieces in packed.items():
-        out[name] = np.zeros(size, np.float32)
-        for piece, cells in pieces:
-            unpack_cells(cells, out[name][piece * PIECE : (piece + 1) * PIECE])
-    return out
-
-
-def sparse_rows(name: str, index, value):
-    """Rows (name, piece, index, value) of the nonzero cells of an array; index may repeat and come in any order."""
-    import numpy as np
-
-    if not len(index):
-        return
-    order = np.argsort(index, kind="stable")
-    index, value = index[order], value[order]
-    new = np.flatnonzero(np.diff(index, prepend=-1))
-    index, value = index[new], np.add.reduceat(value, new)
-    pieces = index // PIECE
-    cut = np.append(np.flatnonzero(np.diff(pieces, prepend=-1)), len(index))
-    for a, b in zip(cut, cut[1:]):
-        yield {"name": name, "piece": int(pieces[a]), "index": pack_sorted(index[a:b] - int(pieces[a]) * PIECE), "value": value[a:b].astype("<i8").tobytes()}
-
-
-SPARSE = "name string, piece int, index binary, value binary"
-
-
-def sum_arrays(rows: DataFrame, names: tuple[str, ...]) -> dict[str, list[tuple[int, bytes]]]:
-    """Sums sparse rows. The driver gets the nonzero cells of a fixed number of pieces, compressed, whatever the number of rows."""
-
-    def add(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        schema = pa.schema([("name", pa.string()), ("piece", pa.int32()), ("cells", pa.binary())])
-        sums: dict[tuple, object] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                dense = sums.setdefault((r["name"], r["piece"]), np.zeros(PIECE, np.int64))
-                dense[unpack_sorted(r["index"])] += np.frombuffer(r["value"], "<i8")
-        for (name, piece), dense in sums.items():
-            yield pa.RecordBatch.from_pylist([{"name": name, "piece": piece, "cells": pack_cells(np.minimum(dense, 0xFFFFFFFF))}], schema=schema)
-
-    out: dict[str, list[tuple[int, bytes]]] = {name: [] for name in names}
-    for r in rows.repartition("name", "piece").transform(_shared.in_arrow, add, "name string, piece int, cells binary").toLocalIterator():
-        out[r["name"]].append((r["piece"], bytes(r["cells"])))
-    return out

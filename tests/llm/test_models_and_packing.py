@@ -5,18 +5,19 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import _shared
-from siltstone.llm._blobs import pack_cells, pack_sorted, unpack_cells, unpack_sorted
+from siltstone.llm._blobs import pack_sorted, unpack_sorted
 from siltstone.llm.packing import class_counts, cuts, pack, size_class
 from siltstone.llm import quality as Q
 from siltstone.llm.quality import META_SIZE, TEXT_SIZE, co_train, meta_features, score_quality, taught, text_features
 from siltstone.llm.queries import tokenizer_path
 from siltstone.llm.tokens import read_tokens, token_index, write_tokens
-from siltstone.llm.toxicity import drop_toxic, score_toxicity
+from siltstone.llm.toxicity import DEPTH, DISCOUNT, END, SIGNS, drop_toxic, fold, score_toxicity, train, word_evidence
 
 
 @pytest.fixture(scope="module")
@@ -109,11 +110,6 @@ def test_cuts_cover_every_length(capacity):
 def test_number_lists():
     for values in ([], [0], [5, 65_539, 65_540, 10**12], list(range(0, 10**6, 50_000))):
         assert unpack_sorted(pack_sorted(np.array(values, np.int64))).tolist() == values
-    dense = np.zeros(100, np.float32)
-    dense[[3, 99]] = 7, 300_000
-    back = np.zeros(100, np.float32)
-    unpack_cells(pack_cells(dense), back)
-    assert (back == dense).all()
 
 
 def toxic_table(spark, n=700):
@@ -156,6 +152,46 @@ def test_held_out_labels_change_nothing(spark):
     assert scores(labels) == scores(flipped)
 
 
+def counted_by_hand(rows):
+    """The evidence of a word, from (text, label) rows, step by step."""
+    seen = defaultdict(lambda: [0, 0])
+    for text, label in rows:
+        for w in text.split():
+            if bare := w.strip(SIGNS).lower():
+                seen[bare][label] += 1
+    chain = lambda w: [w[:k] for k in range(min(len(w), DEPTH) + 1)] + [w + END]
+    n, distinct, held, parts = defaultdict(lambda: [0, 0]), defaultdict(int), defaultdict(lambda: [0, 0]), {}
+    for w, c in seen.items():
+        for up, unit in zip([None, *chain(w)], chain(w)):
+            parts[unit] = up
+            distinct[unit] += 1
+            n[unit] = [a + b for a, b in zip(n[unit], c)]
+    for unit, up in parts.items():
+        if up is not None:
+            held[up] = [h + min(c, DISCOUNT) for h, c in zip(held[up], n[unit])]
+    known = {u for u, c in n.items() if max(c) > DISCOUNT}
+
+    def likely(unit, up, k):
+        shared = ((distinct[unit] if unit in known else 0) + 0.5) / (distinct[up] + 32)
+        return (max(n[unit][k] - DISCOUNT, 0) + held[up][k] * shared) / n[up][k] if n[up][k] else shared
+
+    return lambda w: sum(np.log(likely(u, up, 1) / likely(u, up, 0)) for up, u in zip(chain(w), chain(w)[1:]) if up in known)
+
+
+def test_toxicity_counts_by_hand_and_both_ways(spark):
+    docs, labels, _ = toxic_table(spark)
+    docs = docs.unionByName(docs.limit(0).unionByName(spark.createDataFrame([(5000, None, "x", 5, 6.0), (5001, "", "x", 5, 6.0), (5002, "neverseen w\u00f6rter theab", "x", 5, 6.0), (None, "vilegit " * 3000, "x", 5, 6.0)], docs.schema)))
+    sent, joined = train(docs, labels), train(docs, labels, most_sent=0)
+    assert sent.sent is not None and joined.sent is None
+    rows = [(r.text, r.toxic) for r in docs.join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where(fold("doc_id").isin(1, 2, 3)).select(docs.text, "toxic").collect()]
+    by_hand = counted_by_hand(rows)
+    words = ["the", "thea", "vilegit", "vilegax", "slurp", "v", "zzz", "vilegitimately", "theosunknown", "w\u00f6rter"]
+    assert np.allclose(word_evidence(pa.array(words), sent.sent, sent.root), [by_hand(w) for w in words], atol=1e-9)
+    assert np.allclose(sent.weights, joined.weights, atol=1e-6)
+    scores = [sorted((str(r.id), round(r.score, 6)) for r in score_toxicity(docs, labels, most_sent=m).collect()) for m in (2_000_000, 0)]
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count()
+
+
 @pytest.mark.parametrize("some", [None, 0, 1])
 def test_toxicity_without_both_labels(spark, some):
     docs, labels, _ = toxic_table(spark, 60)

@@ -10,8 +10,7 @@ n - ceil(threshold * n) + 1 of either; only those are joined, and only between
 groups. First each text is compared with one that shares the shingle, so that a
 large group of close texts becomes one group without all its pairs. Then all that
 share one are, between groups. A pair is read again and compared only if it shares
-enough of its prefixes: beyond what it shares there, it has no more in common than
-lies behind the longer prefix. The order is by hash, with shingles that occur often in a sample of the
+enough of its prefixes, in places that leave room for the rest (see _sharing). The order is by hash, with shingles that occur often in a sample of the
 texts last. The sample decides how much is compared, not what is found.
 """
 
@@ -114,14 +113,24 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
     return rows.transform(_shared.in_arrow, run, schema)
 
 
-def _sharing(rows: DataFrame, threshold: float, part: float = 1.0) -> DataFrame:
-    """rows: a shared shingle of a pair each. The pairs that share ``part`` of what similar pairs share in their prefixes: u, v."""
-    needed = (F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6  # in common
-    behind = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1  # noqa: E731  # a prefix of that text
-    pairs = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed)).groupBy(F.col("words_u").alias("u"), F.col("words_v").alias("v"), "n_u", "n_v")
-    counted = pairs.agg(F.count("*").alias("n"), F.min("at_u").alias("at_u"), F.min("at_v").alias("at_v"))
-    first = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= needed  # the first in common is followed by all the others
-    return counted.where(first & (F.col("n") >= (needed - F.greatest(behind("n_u"), behind("n_v"))) * part)).select("u", "v")
+def _sharing(rows: DataFrame, threshold: float, starred: bool = False) -> DataFrame:
+    """rows: a shared shingle of a pair each. The pairs that may be similar: u, v.
+
+    Similar texts have ``needed`` shingles in common, of which at least ``needed``
+    less what lies behind the longer prefix are in both prefixes. The first half of
+    these is asked for: the k-th in common is followed by all later ones, so rows
+    that leave too little room behind them are none of these. With one text a
+    shingle (``starred``) a pair's rows are seen in part only, and no place is asked for.
+    """
+    needed = F.ceil((F.col("n_u") + F.col("n_v")) * (threshold / (1 + threshold)) - 1e-6)
+    behind = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
+    half = F.ceil((needed - F.greatest(behind("n_u"), behind("n_v"))) / 2)
+    room = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
+    rows = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed))
+    if not starred:
+        rows = rows.where(room > needed - half)
+    counted = rows.groupBy(F.col("words_u").alias("u"), F.col("words_v").alias("v"), "n_u", "n_v").agg(F.count("*").alias("n"), F.min("at_u").alias("at_u"), F.min("at_v").alias("at_v"))
+    return counted.where((room >= needed) & (F.col("n") >= half)).select("u", "v")
 
 
 def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -195,7 +204,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         heads = _between(heads, group)
         one = heads.groupBy("shingle").agg(F.min_by(F.struct(*side("v")), F.xxhash64("words", F.lit(turn))).alias("one"))
         found = heads.select("shingle", *side("u")).join(one.select("shingle", "one.*"), "shingle")
-        group = merged(_confirmed(_sharing(found, threshold, 0.5), firsts, rows, threshold, width))
+        group = merged(_confirmed(_sharing(found, threshold, starred=True), firsts, rows, threshold, width))
     # the rest: all pairs between groups
     heads = _between(heads, group)
     found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where("words_u < words_v")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import _shared
 from .decontam import contaminated, find_contamination
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .line_dedup import line_dedup
 from .packing import pack
+from .periodic_runs import collapse_runs
 from .quality import score_quality
 from .sharding import assign_shards
 from .simhash import near_groups
@@ -79,9 +81,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("words", F.when(F.col("planted"), words)).withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
+    # every tenth text repeats from word a on, with period p
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.slice(planted, F.lit(1), F.col("n")), " ")).otherwise(F.col("text")).alias("text"))
+    found = collapse_runs(docs, exponent=4, least=6)
+
+    def order(x, y):
+        left, right = x.length.cast("long") * y.period, y.length.cast("long") * x.period
+        return F.when(left != right, F.sign(right - left)).when(x.start != y.start, F.sign(x.start - y.start)).otherwise(F.sign(x.period - y.period)).cast("int")
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    line = lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))
+    runs, kept = F.array_join(F.transform("runs", line), ""), F.col("kept_text")
+    found = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), *[F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((runs, "runs_sha256"), (kept, "collapsed_sha256"))])
+    figures = [F.col(f"best.{c}").cast("long").alias(c) for c in ("start", "length", "period")]
+    return found.select("doc_id", "n_runs", *figures, F.floor(F.col("best.length") * F.lit(1000) / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    odd = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda v: F.floor(v.cast("double") * 256))
+    rows = rows.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op8_quality, op9_toxicity, op10_decontamination)
+    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op8_quality, op9_toxicity, op10_decontamination, op12_periodic_runs, op13_hard_negatives)
 }
 
 ORACLE_SQL = {
@@ -118,4 +156,12 @@ ORACLE_SQL = {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
         from d left join pos using (doc_id) left join items using (doc_id)""",
+    "op13_hard_negatives": """
+        with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+                   from embeddings where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+             s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+             p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, row_number() over w as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify row_number() over w <= 3""",
 }

@@ -18,6 +18,8 @@ COLUMNS = {
     "op8_quality": "doc_id held_out text_score meta_score score predicted",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
@@ -26,11 +28,12 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     assert set(COLUMNS[name].split()) == set(df.columns)
     rows = df.collect()
-    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert {r.doc_id for r in rows} == ids and (len(rows) == len(ids) or name == "op6_packing")
+    if name != "op13_hard_negatives":
+        ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+        assert {r.doc_id for r in rows} == ids and (len(rows) == len(ids) or name == "op6_packing")
     if name in ORACLE_SQL:
         c = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings"):
             c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = c.execute(ORACLE_SQL[name])
         at = [d[0] for d in want.description]

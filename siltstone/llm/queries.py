@@ -16,6 +16,7 @@ from .quality import score_quality
 from .sharding import assign_shards
 from .simhash import near_groups
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity
 from .tokens import token_index, write_tokens
 
@@ -81,6 +82,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(table(spark, sf_dir, "documents"), threshold=200)
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -119,7 +126,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op8_quality, op9_toxicity, op10_decontamination, op12_periodic_runs, op13_hard_negatives)
+    for f in (op1_exact_dedup, op2_sharding, op3_line_dedup, op4_token_files, op5_simhash, op6_packing, op7_substring_dedup, op8_quality, op9_toxicity, op10_decontamination, op11_suffix_dedup, op12_periodic_runs, op13_hard_negatives)
 }
 
 ORACLE_SQL = {

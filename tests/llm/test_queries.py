@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_quality": "doc_id held_out text_score meta_score score predicted",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }

@@ -9,9 +9,14 @@ sets with a similarity of the threshold or more share one of the first
 n - ceil(threshold * n) + 1 of either; only those are joined, and only between
 groups. First each text is compared with one that shares the shingle, so that a
 large group of close texts becomes one group without all its pairs. Then all that
-share one are, between groups. A pair is read again and compared only if it shares
-enough of its prefixes, in places that leave room for the rest (see _sharing). The order is by hash, with shingles that occur often in a sample of the
-texts last. The sample decides how much is compared, not what is found.
+share one are, between groups. A pair leaves the join only if both texts' parity
+sketches allow it: of so many cells, those in which a text has an odd number of
+shingles. Each cell that differs stands for a shingle that only one of the two has,
+at least, so texts that differ in more cells than similar ones can differ in
+shingles are none, whatever passage they share. A pair is read again and compared
+only if it also shares enough of its prefixes, in places that leave room for the
+rest (see _sharing). The order is by hash, with shingles that occur often in a
+sample of the texts last. The sample decides how much is compared, not what is found.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ FREQUENT = 16
 MOST_FREQUENT = 1_000_000
 #: How often the texts that share a shingle are compared with one of them, before all that are left are with each other.
 STAR_ROUNDS = 2
+#: Words of 64 cells in a parity sketch.
+SKETCH = 4
+_CELLS = [f"odd{i}" for i in range(SKETCH)]
 
 
 def shingles_of(text: bytes, width: int = 5, seed: int = 42):
@@ -57,6 +65,13 @@ def shingles_of(text: bytes, width: int = 5, seed: int = 42):
     return whole, int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"), np.unique(np.concatenate(found))
 
 
+def parity_of(shingles):
+    """Whether an odd number of the shingles falls in each cell, as SKETCH longs."""
+    import numpy as np
+
+    return np.packbits(np.bincount(shingles.astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).view(np.int64)
+
+
 def _lists(arrays):
     """An Arrow list array of unsigned arrays, as longs."""
     import numpy as np
@@ -82,7 +97,7 @@ def _frequent(texts: DataFrame, width: int) -> list:
 
 
 def _described(rows: DataFrame, last: list, threshold: float, width: int) -> DataFrame:
-    """id, text_key, words (a hash of all), fp, n (distinct shingles) and prefix of each row."""
+    """id, text_key, words (a hash of all), fp, n (distinct shingles), prefix and parity sketch of each row."""
     import numpy as np
 
     frequent = np.array(last, np.int64).view(np.uint64)
@@ -95,10 +110,10 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
 
         known, place = sent.value
         for batch in batches:
-            whole, fps, sizes, heads = [], [], [], []
+            whole, fps, sizes, heads, odd = [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 w, fp, found = shingles_of(text.as_py(), width)
-                whole.append(w), fps.append(fp), sizes.append(len(found))
+                whole.append(w), fps.append(fp), sizes.append(len(found)), odd.append(parity_of(found))
                 most = len(found) - math.ceil(threshold * len(found) - 1e-9) + 1 if len(found) else 0
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -107,9 +122,9 @@ def _described(rows: DataFrame, last: list, threshold: float, width: int) -> Dat
                     found = np.concatenate([rare, common[np.argsort(place[at[often]])]]) if len(rare) < most else rare
                 heads.append(found[:most])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *longs, pa.array(sizes, pa.int32()), _lists(heads)], ["id", "text_key", "words", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *longs, pa.array(sizes, pa.int32()), _lists(heads), *map(pa.array, np.stack(odd).T if odd else np.empty((SKETCH, 0), np.int64))], ["id", "text_key", "words", "fp", "n", "prefix", *_CELLS])
 
-    schema = T.StructType([rows.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("words", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("words", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(c, T.LongType()) for c in _CELLS]])
     return rows.transform(_shared.in_arrow, run, schema)
 
 
@@ -126,7 +141,8 @@ def _sharing(rows: DataFrame, threshold: float, starred: bool = False) -> DataFr
     behind = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
     half = F.ceil((needed - F.greatest(behind("n_u"), behind("n_v"))) / 2)
     room = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
-    rows = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed))
+    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _CELLS[1:]), F.bit_count(F.col(f"{_CELLS[0]}_u").bitwiseXOR(F.col(f"{_CELLS[0]}_v"))))
+    rows = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed) & (apart <= F.col("n_u") + F.col("n_v") - 2 * needed))
     if not starred:
         rows = rows.where(room > needed - half)
     counted = rows.groupBy(F.col("words_u").alias("u"), F.col("words_v").alias("v"), "n_u", "n_v").agg(F.count("*").alias("n"), F.min("at_u").alias("at_u"), F.min("at_v").alias("at_v"))
@@ -161,15 +177,15 @@ def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold:
 
 
 def _shared_heads(firsts: DataFrame) -> DataFrame:
-    """The shingles in the prefixes that several texts share: words, n, at, shingle."""
-    every = firsts.where("n > 0").select("words", "n", F.posexplode("prefix").alias("at", "shingle"))
+    """The shingles in the prefixes that several texts share: words, n, at, shingle, sketch."""
+    every = firsts.where("n > 0").select("words", "n", *_CELLS, F.posexplode("prefix").alias("at", "shingle"))
     shared = every.groupBy("shingle").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high").select("shingle")
     return _shared.materialize(every.join(shared, "shingle", "left_semi"), "shared-heads")
 
 
 def _between(heads: DataFrame, group: DataFrame) -> DataFrame:
     """Those of the heads that texts of several groups share, with root. Groups only merge, so the next round needs no others; heads are deleted."""
-    placed = heads.select("words", "n", "at", "shingle").join(group.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words"))
+    placed = heads.select("words", "n", "at", "shingle", *_CELLS).join(group.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words"))
     shared = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     out = _shared.materialize(placed.join(shared, "shingle", "left_semi"), "heads-between")
     _shared.drop(heads)
@@ -189,7 +205,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = _shared.materialize(_described(rows, _frequent(rows, width), threshold, width).withColumn("row", F.monotonically_increasing_id()), "described")
     nodes = _shared.materialize(known.groupBy("words").agg(F.min("id").alias("id"), F.coalesce(F.min_by("row", "id"), F.min("row")).alias("keep_row")), "nodes")
-    firsts = _shared.materialize(known.join(nodes.select("words", F.col("keep_row").alias("row")), ["words", "row"]).select("words", "text_key", "fp", "n", "prefix"), "firsts")
+    firsts = _shared.materialize(known.join(nodes.select("words", F.col("keep_row").alias("row")), ["words", "row"]).select("words", "text_key", "fp", "n", "prefix", *_CELLS), "firsts")
     # groups of close texts, as far as the similarity confirms them
     with_fp = firsts.where("n > 0").groupBy("fp").agg(F.min("words").alias("first"))
     near = links(with_fp.select("fp"))
@@ -197,7 +213,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     proposed = near.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = firsts.where("n > 0").join(with_fp, "fp").select(F.col("words").alias("u"), F.col("first").alias("v"))
     sure = _confirmed(proposed.unionByName(same), firsts, rows, threshold, width)
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at", *_CELLS)]
     group, heads = components(sure), _shared_heads(firsts)
     merged = lambda links: components(group.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     for turn in range(STAR_ROUNDS):  # each text with one that has the shingle

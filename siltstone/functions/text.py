@@ -19,9 +19,13 @@ RELEVANCE_IGNORED = (
 ABSENCE_PHRASES = ("not mentioned", "does not mention", "no caption", "absent from the caption", "absence from the caption", "not in the captions")
 
 
+#: Unicode white space and the four separators that count as such.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends (Spark's trim takes spaces alone)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -39,6 +43,21 @@ def _expansions() -> list[tuple[str, str]]:
     return [(c, f) for c in map(chr, range(0x80, 0x1FFFF)) if (f := c.casefold()) != (low := c.lower()) and c.isalnum() for c in {c, low} if len(c) == 1 and c.casefold() == f]
 
 
+def _ranges(chars: list[str]) -> str:
+    """A character class of these characters, neighbours as ranges."""
+    codes, parts = sorted(map(ord, chars)), []
+    for code in codes:
+        if parts and code == parts[-1][1] + 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in parts) + "]"
+
+
+#: A range that holds every letter with a folding of its own but the sharp s: a text without any of it is looked through once, and quickly.
+_BEYOND_LATIN = "[\u00b5\u0100-\U0001ffff]"
+
+
 def casefold(text: Column) -> Column:
     """Unicode case folding: lower case, then what folds further.
 
@@ -48,16 +67,21 @@ def casefold(text: Column) -> Column:
     one, many = [("\u03a3", "\u03c3")], []
     for char, folded in sorted(set(_expansions()) - {("\u00df", "ss")}):
         (one if len(folded) == 1 else many).append((char, folded))
-    rare = "[" + "".join(c for c, _ in [*one, *many]) + "]"
-    out = F.translate(text, "".join(c for c, _ in one), "".join(f for _, f in one))
-    for char, folded in many:
-        out = F.replace(out, F.lit(char), F.lit(folded))
-    return F.lower(F.replace(F.when(text.rlike(rare), out).otherwise(text), F.lit("\u00df"), F.lit("ss")))
+    letters = _ranges([c for c, _ in [*one, *many]])
+
+    def folded(t: Column) -> Column:
+        out = F.translate(t, "".join(c for c, _ in one), "".join(f for _, f in one))
+        for char, plain in many:
+            out = F.replace(out, F.lit(char), F.lit(plain))
+        rare = t.rlike(_BEYOND_LATIN) & t.rlike(letters)
+        return F.lower(F.replace(F.when(rare, out).otherwise(t), F.lit("\u00df"), F.lit("ss")))
+
+    return F.get(F.transform(F.array(text), folded), F.lit(0))  # so that the text itself is made once
 
 
 def lexical_tokens(text: Column) -> Column:
-    """Distinct runs of a-z and 0-9 of the lower-case text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Distinct runs of a-z and 0-9 of the lower-case text; none for null."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -66,9 +90,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(0.0)).otherwise(both / (all_ - both))
 
 
-def folded_words(text: Column) -> Column:
-    """Case-folded runs of letters and digits."""
-    return F.filter(F.split(casefold(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+def folded_words(text: Column, besides: str = "") -> Column:
+    """Case-folded runs of letters and digits, and of the characters ``besides``."""
+    return F.filter(F.split(casefold(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{besides}]+", " ")), " "), lambda w: w != "")
 
 
 def grounding_tokens(text: Column) -> Column:
@@ -88,16 +112,26 @@ def _padded(tokens: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
+#: A character that is no letter and no digit; captions lose theirs.
+_MARK = "\x01"
+
+
 def holds_phrase(caption: Column, phrase: Column) -> Column:
     """Whether the phrase's grounding tokens stand next to each other in the caption; tokens hold no spaces, so padding marks their ends."""
     return is_grounded(F.array(caption), phrase)
 
 
 def is_grounded(captions: Column, phrase: Column) -> Column:
-    """Whether some caption holds the phrase. Each text is folded once: an array of one hands the phrase to the inner walk."""
-    asked = F.filter(F.transform(F.array(grounding_tokens(phrase)), lambda p: _padded(p)), lambda p: F.trim(p) != "")
-    said = F.transform(captions, lambda c: _padded(grounding_tokens(c)))
-    return F.coalesce(F.exists(asked, lambda p: F.exists(said, lambda c: F.contains(c, p))), F.lit(False))
+    """Whether some caption holds the phrase.
+
+    The captions are joined, with a mark that no word has between them, and
+    folded in one go; a phrase has no mark, so it can't reach from one into the
+    next. An array of one hands the phrase to the walk.
+    """
+    bare = F.transform(captions, lambda c: F.translate(c, _MARK, " "))
+    said = _padded(F.filter(folded_words(F.array_join(bare, f" {_MARK} "), _MARK), lambda w: ~w.isin(*GROUNDING_IGNORED)))
+    asked = F.filter(F.array(_padded(grounding_tokens(phrase))), lambda p: F.trim(p) != "")
+    return F.coalesce(F.exists(asked, lambda p: F.contains(said, p)), F.lit(False))
 
 
 def is_relevant(question: Column, claim: Column) -> Column:

@@ -37,6 +37,8 @@ def similar(new: tuple[str, str, str], kept: tuple[str, str, str], threshold: fl
 
 def _numbered(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str, signature: Column) -> DataFrame:
     """row (all columns), n (a number of its own), at (order in the unit), and what candidates are compared by. Written, so that n is fixed."""
+    if "kept" in rows.columns:
+        raise ValueError("the verdict is a column named kept, so rows can't have one")
     text = lambda c: normalized(F.coalesce(F.col(c), F.lit("")))
     made = rows.select(
         F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("n"), F.struct(F.col(ordinal).isNull().alias("last"), F.col(ordinal).alias("ordinal")).alias("at"),
@@ -95,7 +97,7 @@ def _close_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def keep_distinct(rows: DataFrame, unit: str, ordinal: str, claim: str, question: str, signature: Column, threshold: float = 0.9) -> DataFrame:
-    """rows with ``kept``: false for one similar to an earlier kept one of its unit.
+    """rows with ``kept``: false for one similar to an earlier kept one of its unit. Rows that have a column ``kept`` are an error.
 
     Every row comes back once. Rows of a null unit are a unit; null texts count
     as empty; a null ordinal comes last, and ties are settled by a number that

@@ -94,7 +94,8 @@ def split_stats(spark, d):
            (select count(*) from documents join labels using (doc_id)) as total_provenance_records_written, (select count(*) from documents where doc_id not in (select doc_id from labels)) as total_errors""")
 def run_totals(spark, d):
     clips = _clips(spark, d)
-    parts = {lang: clips.where(F.col("split") == lang).drop("split") for lang in ("de", "en", "es", "fr")}
+    names = sorted(r["split"] for r in clips.select("split").distinct().where("split is not null").collect())  # a run's splits are few
+    parts = {lang: clips.where(F.col("split") == lang).drop("split") for lang in names}
     ok, bad = A.split_outcome(A.classify(A.append_splits(parts), "file_name", _metadata(spark, d)))
     totals = A.run_totals(clips, ok, ok, bad)
     return totals.withColumn("split_names", F.concat(F.lit("["), F.array_join("split_names", ", "), F.lit("]")))
@@ -175,7 +176,7 @@ def release_path(spark, d):
     return pages.select("page_id", A.release_path("audio", F.lit("web"), F.concat(F.lit("page_"), H.stable_hash(F.col("url"))), hint).alias("audio_file_name"), A.display_path(base, "/data.d/clips").alias("shown"))
 
 
-_TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
 
 
 @query(f"""select doc_id, array_to_string(list_sort({_TOKENS}), ' ') as tokens from documents""")

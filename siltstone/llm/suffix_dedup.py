@@ -77,7 +77,7 @@ class Hashes:
     def __init__(self, data, which: int) -> None:
         import numpy as np
 
-        size = max(PIECE, 1 << len(data).bit_length())
+        size = max(2 * PIECE, 1 << len(data).bit_length())  # one size, so that a worker keeps one table for each base
         power, self.back = _powers(BASES[which], size)
         letters = _mixed((np.arange(1, 257, dtype=np.uint64) + np.uint64(which * 1000)) * np.uint64(0x9E3779B97F4A7C15))
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -244,12 +244,10 @@ def _repeated_windows(rows: DataFrame, threshold: int) -> DataFrame:
             own, base = row[first], (at - before)[row[first]]
             yield pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), pa.array(base + place[first], pa.int32()), pa.array(base + place[last] + threshold, pa.int32())], ["k1", "k2", "begin", "end"])
 
-        for batch in batches:
+        for batch in (b.slice(lo, FEW) for b in batches for lo in range(0, b.num_rows, FEW)):
             columns = [batch.column(c).to_numpy() for c in ("rank", "k1", "k2", "at", "before", "after")]
             context = batch.column("context").to_pylist()
-            if not context:
-                continue
-            if count > 4 * FEW:  # up to the first row of another rank
+            if count > FEW:  # up to the first row of another rank
                 ends = np.flatnonzero(columns[0] != held[-1][0][-1])
                 cut = int(ends[0]) if len(ends) else len(context)
                 if cut:
@@ -275,7 +273,7 @@ def _halved(rows: DataFrame, threshold: int, size: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(lo, FEW) for b in batches for lo in range(0, b.num_rows, FEW)):
             k1, k2, at, before, after = (batch.column(c).to_numpy() for c in _PLACE)
             first, last = after // size, before // size
             n = last - first + 1

@@ -30,19 +30,34 @@ def seeded_subset(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     return drawn.withColumn("ord", F.row_number().over(Window.orderBy(*order)) - 1)  # of a sample that the caller bounds
 
 
-def combinations(subset: DataFrame, n: int, k: int, columns: list[str]) -> DataFrame:
-    """priority and m0..m(k-1): structs of the columns of every unordered choice of k of the n rows with ``ord`` 0 to n - 1. The caller bounds C(n, k).
+def in_span(n: int, k: int, span: int) -> int:
+    """How many choices of k of n places have their ends ``span`` places apart."""
+    if k == 1:
+        return n if span == 0 else 0
+    return max(0, n - span) * math.comb(span - 1, k - 2) if span >= 1 else 0
 
-    The choices are numbers that are counted up, and rows are joined to them by ``ord``.
+
+def combinations(subset: DataFrame, n: int, k: int, columns: list[str], spans: tuple[int, int] | None = None) -> DataFrame:
+    """span and m0..m(k-1): structs of the columns of every unordered choice of k of the n rows with ``ord`` 0 to n - 1, or of those whose ends lie ``spans`` (from, to) places apart.
+
+    Each row is the first member of the choices that it begins; the places of
+    the others are counted up from its own, and rows are joined to them by
+    ``ord``. So a walk through all choices can go from near to far, and stop.
     """
-    out = subset.sparkSession.range(n).select(F.array("id").alias("ords"))
-    for i in range(1, k):
-        last = F.element_at("ords", -1)
-        more = F.when(last + 1 < n, F.sequence(last + 1, F.lit(n - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
-        out = out.select("ords", F.explode(more).alias("next")).select(F.concat("ords", F.array("next")).alias("ords"))
-        if i == 1:
-            out = out.repartition(subset.sparkSession.sparkContext.defaultParallelism, "ords")
-    return _members(out.withColumn("priority", F.array_join("ords", ":")), subset, k, columns)
+    first, last = spans or (k - 1, max(n - 1, k - 1))
+    here = F.col("ord").cast("long")
+    if k == 1:
+        out = subset.select(F.array(here).alias("ords"), F.lit(0).cast("long").alias("span")).where(F.lit(first <= 0 <= last))
+    else:
+        most = F.least(F.lit(last).cast("long"), n - 1 - here)
+        out = subset.where(here + max(first, 1) <= n - 1).select(F.array(here).alias("ords"), F.explode(F.sequence(F.lit(max(first, 1)).cast("long"), most)).alias("span"))
+    for i in range(1, k - 1):  # between the ends, each after the one before and with room for those to come
+        low, high = F.element_at("ords", -1) + 1, F.get("ords", F.lit(0)) + F.col("span") - (k - 1 - i)
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+        out = out.select("span", F.col("ords"), F.explode(places).alias("next")).select(F.concat("ords", F.array("next")).alias("ords"), "span")
+    if k > 1:
+        out = out.select(F.concat("ords", F.array(F.get("ords", F.lit(0)) + F.col("span"))).alias("ords"), "span")
+    return _members(out, subset, k, columns)
 
 
 def _members(drawn: DataFrame, subset: DataFrame, k: int, columns: list[str]) -> DataFrame:
@@ -53,8 +68,9 @@ def _members(drawn: DataFrame, subset: DataFrame, k: int, columns: list[str]) ->
 
 
 def group_similarity(k: int, column: str = "tokens") -> Column:
-    """Mean Jaccard of the pairs among m0..m(k-1); 0 for fewer than two."""
-    pairs = [jaccard(F.col(f"m{i}.{column}"), F.col(f"m{j}.{column}")) for i in range(k) for j in range(i + 1, k)]
+    """Mean Jaccard of the pairs among m0..m(k-1); 0 for fewer than two. A null set counts as empty."""
+    own = lambda i: F.coalesce(F.col(f"m{i}.{column}"), F.array())
+    pairs = [jaccard(own(i), own(j)) for i in range(k) for j in range(i + 1, k)]
     return sum(pairs[1:], pairs[0]) / len(pairs) if pairs else F.lit(0.0)
 
 
@@ -105,13 +121,13 @@ def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", tokens: st
 
 
 def choose_plan(n: int, k: int, strategy: str, most: int) -> str:
-    """'enumerate' where C(n, k) is in bounds, else 'sample' for the random strategy; an error for the others."""
+    """'walk' where C(n, k) is in bounds, else 'sample' for the random strategy; an error for the others."""
     if k < 1:
         raise ValueError("a unit needs one member or more")
     if n < k:
         raise ValueError(f"{n} records are fewer than the {k} members of a unit")
     if math.comb(n, k) <= most:
-        return "enumerate"
+        return "walk"
     if strategy != "random":
         raise ValueError(f"{strategy} needs all {math.comb(n, k)} units, more than {most}; take a smaller subset or raise the limit")
     return "sample"
@@ -131,21 +147,33 @@ def distinct_units(candidates: DataFrame, k: int, id_column: str = "id") -> Data
     return out.groupBy("unit_id").agg(F.min_by(F.struct(*[c for c in out.columns if c != "unit_id"]), "priority").alias("x")).select("unit_id", "x.*")
 
 
+#: Ranks of a member's units are taken in so many parts first, so that no task has all units of a member that is in very many.
+_PARTS = 64
+
+
+def _heads(open_: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` open units of each member with their rank: first those of each part, then of these."""
+    part, order = F.pmod(F.xxhash64("unit_id"), F.lit(_PARTS)), ("priority", "unit_id")
+    some = open_.withColumn("rank", F.row_number().over(Window.partitionBy("member", part).orderBy(*order))).where(F.col("rank") <= cap)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("member").orderBy(*order))).where(F.col("rank") <= cap)
+
+
 def capped_units(units: DataFrame, cap: int, checkpoint) -> DataFrame:
-    """The units that a greedy walk by priority accepts when no member may be in more than ``cap``.
+    """The units that a greedy walk by priority (ties: unit_id) accepts when no member may be in more than ``cap``.
 
     Rounds: a unit is taken once it ranks, for all its members, within what
     they have left among the units still open; a unit with a used-up member
-    goes. Each round settles the first open unit at least. ``checkpoint`` cuts
-    the lineage of a round (a reliable one, so that lost executors cost a reread).
+    goes. Each round settles the first open unit at least. Only a member's first
+    ``cap`` units are ranked, part by part, so a member may be in any share of
+    the units. ``checkpoint`` cuts the lineage of a round (a reliable one, so
+    that lost executors cost a reread).
     """
-    exploded = units.select("unit_id", "priority", F.explode("members").alias("member"))
+    exploded = units.select("unit_id", "priority", F.size("members").alias("k"), F.explode("members").alias("member"))
     left = exploded.select("member").distinct().withColumn("room", F.lit(cap).cast("long"))
     open_, taken = checkpoint(exploded), []
     while not open_.isEmpty():
-        ranked = open_.join(left, "member").withColumn("rank", F.row_number().over(Window.partitionBy("member").orderBy("priority")))
-        settled = checkpoint(ranked.groupBy("unit_id").agg(F.max(F.col("rank") - F.col("room")).alias("over"), F.min("room").alias("room")))
-        accepted = settled.where("over <= 0").select("unit_id")
+        good = _heads(open_, cap).join(left, "member").where(F.col("rank") <= F.col("room"))
+        accepted = checkpoint(good.groupBy("unit_id", "k").agg(F.count("*").alias("n")).where("n = k").select("unit_id"))
         taken.append(accepted)
         used = open_.join(accepted, "unit_id", "left_semi").groupBy("member").agg(F.count("*").alias("used"))
         left = checkpoint(left.join(used, "member", "left").select("member", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
@@ -162,7 +190,12 @@ def capped_units(units: DataFrame, cap: int, checkpoint) -> DataFrame:
 
 @dataclass(frozen=True)
 class UnitPlan:
-    """How units are made. ``most`` bounds the units that are counted up; beyond it the random strategy draws, and others draw or end in an error, as ``beyond`` says."""
+    """How units are made.
+
+    Beyond ``most`` possible units the random strategy draws instead of walking,
+    unless it would draw more often than there are units. The others end in an
+    error there ("error"), or walk as far as they must ("walk"), as ``beyond`` says.
+    """
 
     members: int = 2
     count: int = 100_000
@@ -179,8 +212,8 @@ class UnitPlan:
     def __post_init__(self) -> None:
         if self.members < 1 or self.most < 1 or (self.reuse is not None and self.reuse < 1):
             raise ValueError("members, most and reuse must be 1 or more")
-        if self.strategy not in STRATEGIES or self.beyond not in ("error", "sample"):
-            raise ValueError(f"strategy is one of {STRATEGIES}, beyond is error or sample")
+        if self.strategy not in STRATEGIES or self.beyond not in ("error", "walk"):
+            raise ValueError(f"strategy is one of {STRATEGIES}, beyond is error or walk")
         if not (0 <= self.similar_from <= self.similar_to <= 1 and 0 <= self.dissimilar_to <= 1):
             raise ValueError("bounds of the similarity lie from 0 to 1, in order")
 
@@ -194,39 +227,100 @@ class UnitPlan:
         return similarity <= self.dissimilar_to if self.strategy == "dissimilar" else F.lit(True)
 
 
+#: A walk begins with so many candidates, and each round looks at this many times the last one's.
+FIRST_ROUND, WIDER = 10_000, 4
+#: From so many pairs a record that are yet to be walked, a join that finds all similar ones at once is the shorter way.
+JOIN_FROM = 64
+
+
+def _by_join(subset: DataFrame, plan: UnitPlan, tokens: str, kept: list[str], beyond: int) -> DataFrame:
+    """The pairs of records with the least similarity or more whose places are more than ``beyond`` apart, as candidates."""
+    sets = subset.select(F.col("ord").cast("long").alias("id"), F.col(tokens).alias("tokens"))
+    classes = put_aside(token_classes(sets.where(F.size(F.coalesce("tokens", F.array())) > 0)), "token-classes")
+    one, two = (classes.select(F.col("id").alias(f"id_{s}"), F.col("rep").alias(s)) for s in "ab")
+    between = similar_pairs(sets, plan.similar_from).select("a", "b").join(one, "a").join(two, "b")
+    within = one.join(two, F.col("a") == F.col("b")).where("id_a < id_b")
+    pairs = between.select("id_a", "id_b").unionByName(within.select("id_a", "id_b"))
+    low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    pairs = pairs.select(F.array(low, high).alias("ords"), (high - low).alias("span")).where(F.col("span") > beyond)
+    return _members(pairs, subset, 2, kept)
+
+
+def _walked(subset: DataFrame, n: int, plan: UnitPlan, asked: int, key: str, tokens: str | None, kept: list[str]) -> tuple[DataFrame, int]:
+    """(the units that the plan allows, as many as it takes for the first ``asked``; how many candidates were looked at).
+
+    The order is by span, which is how far apart a unit's ends are in the seeded
+    shuffle, then by a seeded order of the units: near places are as random as
+    far ones. Rounds of widening spans are looked at until enough units are
+    found or there are no more. Where few pairs are similar, those left are
+    found by a join over rare tokens instead; the units are the same.
+    """
+    k, seen, rounds, looked, size = plan.members, plan.members - 2, [], 0, max(FIRST_ROUND, 4 * asked)
+
+    def allowed(drawn: DataFrame) -> DataFrame:
+        if plan.strategy != "random":
+            drawn = drawn.withColumn("similarity", group_similarity(k, tokens)).where(plan.allows(F.col("similarity")))
+        drawn = drawn.withColumn("priority", F.lpad(F.col("span").cast("string"), 18, "0")).drop("span")
+        out = distinct_units(drawn, k, key)
+        return put_aside(out.withColumn("priority", F.concat_ws(":", "priority", seeded_order(plan.seed, F.col("unit_id")))), "allowed-units")
+
+    def result() -> DataFrame:
+        out = rounds[0]
+        for r in rounds[1:]:
+            out = out.unionByName(r)
+        if len(rounds) > 1:  # records that share a key make a unit more than once
+            out = out.groupBy("unit_id").agg(F.min_by(F.struct(*[c for c in out.columns if c != "unit_id"]), "priority").alias("x")).select("unit_id", "x.*")
+        return out if plan.reuse is None else put_aside(capped_units(out, plan.reuse, put_aside), "capped-units")
+
+    while True:
+        first, now = seen + 1, 0
+        while seen < n - 1 and now < size:
+            seen += 1
+            now += in_span(n, k, seen)
+        looked += now
+        rounds.append(allowed(combinations(subset, n, k, kept, (first, seen))))
+        units = result()
+        made = units.count()
+        if made >= asked or seen >= n - 1:
+            return units, looked
+        size *= WIDER
+        if plan.strategy == "similar" and k == 2 and plan.similar_from > 0 and (asked - made) * looked > JOIN_FROM * n * max(made, 1):
+            rounds.append(allowed(_by_join(subset, plan, tokens, kept, seen)))
+            return result(), math.comb(n, k)
+
+
 def create_units(records: DataFrame, plan: UnitPlan, key: str = "audio_id", tokens: str | None = None, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, shortfalls, stats) under a plan. Units: unit_id, priority, members (keys as strings), similarity, m0..m(k-1) with the columns.
 
     A seeded subset is drawn (all rows for a size of 0), the number asked for is
-    clipped to the units that there can be, and candidates are counted up or
-    drawn, as choose_plan says. Those that the strategy allows come first by a
-    seeded order (counted up) or by their draw; a member set counts once, and
-    the reuse cap is held as by a walk in that order. ``tokens`` names the
-    column that similarities are taken of. Fewer records than members give an
-    error, as does a plan that needs more units counted up than it allows.
+    clipped to the units that there can be, and candidates are walked through or
+    drawn, as choose_plan says. The first that the strategy allows are taken, in
+    the walk's order or by their draw; a member set counts once, and the reuse
+    cap is held as by a walk in that order. ``tokens`` names the column that
+    similarities are taken of; a null set is empty. Fewer records than members
+    give an error, as does a plan beyond its bounds.
     """
     spark, k = records.sparkSession, plan.members
-    kept = list(dict.fromkeys([key, *columns, *([tokens] if tokens else [])]))
+    if plan.strategy != "random" and tokens is None:
+        raise ValueError(f"{plan.strategy} units need a column of tokens")
+    kept = list(dict.fromkeys([key, *columns, *([tokens] if plan.strategy != "random" else [])]))
     subset = put_aside(seeded_subset(records.select(*kept), plan.subset, plan.seed, key), "subset")
     n = subset.count()
-    how = choose_plan(n, k, "random" if plan.beyond == "sample" else plan.strategy, plan.most)
     possible = math.comb(n, k)
     asked = max(0, min(plan.count, possible))
-    drawn = combinations(subset, n, k, kept) if how == "enumerate" else random_candidates(subset, n, k, plan.attempts(asked), plan.seed, kept)
-    if plan.strategy != "random":
-        if tokens is None:
-            raise ValueError(f"{plan.strategy} units need a column of tokens")
-        drawn = drawn.withColumn("similarity", group_similarity(k, tokens)).where(plan.allows(F.col("similarity")))
-    units = distinct_units(drawn, k, key)
-    if how == "enumerate":
-        units = units.withColumn("priority", seeded_order(plan.seed, F.col("unit_id")))
-    units = put_aside(units, "units")
-    if plan.reuse is not None:
-        units = put_aside(capped_units(units, plan.reuse, put_aside), "capped-units")
+    attempts = plan.attempts(asked)
+    how = choose_plan(n, k, "random" if plan.beyond == "walk" else plan.strategy, plan.most)
+    if how == "sample" and plan.strategy == "random" and attempts < possible:
+        units = put_aside(distinct_units(random_candidates(subset, n, k, attempts, plan.seed, kept), k, key), "units")
+        looked = attempts
+        if plan.reuse is not None:
+            units = put_aside(capped_units(units, plan.reuse, put_aside), "capped-units")
+    else:
+        units, looked = _walked(subset, n, plan, asked, key, tokens, kept)
     chosen = put_aside(units.orderBy("priority", "unit_id").limit(asked), "chosen-units")
     made = chosen.count()
     used = chosen.select(F.explode("members").alias("m")).agg(F.count_distinct("m").alias("distinct_members_used"))
-    stats = used.withColumns({"possible_unordered_units": F.lit(possible).cast("double"), "candidate_units_considered": F.lit(possible if how == "enumerate" else plan.attempts(asked)).cast("long"), "units_requested": F.lit(plan.count).cast("long"), "units_generated": F.lit(made).cast("long"), "subset_records_selected": F.lit(n).cast("long")})
+    stats = used.withColumns({"possible_unordered_units": F.lit(possible).cast("double"), "candidate_units_considered": F.lit(float(looked)).cast("long"), "units_requested": F.lit(plan.count).cast("long"), "units_generated": F.lit(made).cast("long"), "subset_records_selected": F.lit(n).cast("long")})
     return chosen, shortfall(spark, plan.count, possible, made), stats
 
 

@@ -217,7 +217,7 @@ def _jaccard(a: str, b: str) -> str:
 
 
 def _unit_sql(where: str) -> str:
-    """Units of two documents: 10,000 draws, equal units once, the first 100 that are allowed."""
+    """Random units of two documents: 10,000 draws, equal units once."""
     return f"""
     with {_shuffled("documents", "doc_id")}, r as (select a as priority, {_draw(0)} as i, {_draw(1)} as j from range(10000) t(a)),
          m as (select priority, x.id as x, y.id as y, {_jaccard("x", "y")} as similarity from r join s x on x.o = i join s y on y.o = j where i <> j),
@@ -230,49 +230,61 @@ def _documents(spark, d):
 
 
 def _units_of(spark, d, **plan):
-    """A hundred units of two documents, drawn over all of them whatever their number."""
-    made = U.UnitPlan(**({"members": 2, "count": 100, "most": 1, "beyond": "sample"} | plan))
+    """A hundred units of two documents: random ones drawn over all of them, others from a walk through all pairs, whatever their number."""
+    made = U.UnitPlan(**({"members": 2, "count": 100, "most": 1, "beyond": "walk"} | plan))
     return U.create_units(_documents(spark, d), made, "doc_id", "tokens")
 
 
-@query(f"{_unit_sql('similarity >= 0.1 and similarity <= 1.0')} select unit_id, x, y, similarity from u order by priority limit 100")
+def _walked_sql(name: str, key: str, where: str, count: int) -> str:
+    """The first units of two rows that are allowed, of all there are: by how far apart they are in the seeded shuffle, then by a seeded order."""
+    return f"""
+    with {_shuffled(name, key)}, t as (select o, unnest(tokens) as token from s), c as (select x.o as i, y.o as j, count(*) as c from t x join t y on x.token = y.token and x.o < y.o group by 1, 2),
+         p as (select x.id as x, y.id as y, y.o - x.o as span, coalesce(c, 0) / greatest(len(x.tokens) + len(y.tokens) - coalesce(c, 0), 1)::double as similarity from s x join s y on x.o < y.o left join c on i = x.o and j = y.o),
+         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar]), '::')), 1, 16) as unit_id, x, y, span, similarity from p where {where})
+    select unit_id, x, y, round(similarity, 6) as similarity from u order by span, sha1('42:' || unit_id), unit_id limit {count}"""
+
+
+def _pairs_of(units: DataFrame, key: str) -> DataFrame:
+    return units.select("unit_id", F.col(f"m0.{key}").alias("x"), F.col(f"m1.{key}").alias("y"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(_walked_sql("documents", "doc_id", "similarity >= 0.1 and similarity <= 1.0", 100))
 def similar_units(spark, d):
     units, _, _ = _units_of(spark, d, strategy="similar")
-    return units.select("unit_id", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"), F.round("similarity", 6).alias("similarity"))
+    return _pairs_of(units, "doc_id")
+
+
+@query(_walked_sql("documents", "doc_id", "similarity >= 0.9 and similarity <= 1.0", 100))
+def rare_similar_units(spark, d):
+    """Units so much alike that there are few: the walk hands over to the join."""
+    units, _, _ = _units_of(spark, d, strategy="similar", similar_from=0.9)
+    return _pairs_of(units, "doc_id")
 
 
-@query(f"{_unit_sql('similarity <= 0.05')} select unit_id, x, y, similarity from u order by priority limit 100")
+@query(_walked_sql("documents", "doc_id", "similarity <= 0.05", 100))
 def dissimilar_units(spark, d):
     units, _, _ = _units_of(spark, d, strategy="dissimilar")
-    return units.select("unit_id", F.col("m0.doc_id").alias("x"), F.col("m1.doc_id").alias("y"), F.round("similarity", 6).alias("similarity"))
+    return _pairs_of(units, "doc_id")
 
 
 @query(f"""
-    with {_shuffled("benchmark", "item_id")}, r as (select a as priority, {_draw(0)} as i, {_draw(1)} as j, {_draw(2)} as k from range(10000) t(a)),
-         m as (select priority, x.id as x, y.id as y, z.id as z, ({_jaccard("x", "y")} + {_jaccard("x", "z")} + {_jaccard("y", "z")}) / 3 as similarity
-               from r join s x on x.o = i join s y on y.o = j join s z on z.o = k where i <> j and i <> k and j <> k),
-         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar, z::varchar]), '::')), 1, 16) as unit_id, priority, x, y, z, round(similarity, 6) as similarity
-               from m where similarity >= 0.1 qualify row_number() over (partition by unit_id order by priority) = 1)
-    select unit_id, x, y, z, similarity from u order by priority limit 100""")
+    with {_shuffled("benchmark", "item_id")}, m as (select x.id as x, y.id as y, z.id as z, z.o - x.o as span, ({_jaccard("x", "y")} + {_jaccard("x", "z")} + {_jaccard("y", "z")}) / 3 as similarity from s x join s y on x.o < y.o join s z on y.o < z.o),
+         u as (select 'unit_' || substr(sha1(array_to_string(list_sort([x::varchar, y::varchar, z::varchar]), '::')), 1, 16) as unit_id, x, y, z, span, round(similarity, 6) as similarity from m where similarity >= 0.1)
+    select unit_id, x, y, z, similarity from u order by span, sha1('42:' || unit_id), unit_id limit 100""")
 def triple_units_mean_similarity(spark, d):
     items = table(spark, d, "benchmark").select("item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    n = items.count()
-    made = U.UnitPlan(members=3, count=100, strategy="similar", most=1, beyond="sample")
-    if n < made.members:
-        none = items.limit(0).select(F.lit("").alias("unit_id"), *[F.col("item_id").alias(c) for c in "xyz"], F.lit(0.0).alias("similarity"))
-        return none
+    made = U.UnitPlan(members=3, count=100, strategy="similar", beyond="walk")
+    if items.limit(made.members).count() < made.members:
+        return items.limit(0).select(F.lit("").alias("unit_id"), *[F.col("item_id").alias(c) for c in "xyz"], F.lit(0.0).alias("similarity"))
     units, _, _ = U.create_units(items, made, "item_id", "tokens")
     return units.select("unit_id", *[F.col(f"m{i}.item_id").alias(c) for i, c in enumerate("xyz")], F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""
-    with {_shuffled("benchmark", "item_id")}, u as (select x.id as x, y.id as y, 'unit_' || substr(sha1(array_to_string(list_sort([x.id::varchar, y.id::varchar]), '::')), 1, 16) as unit_id, {_jaccard("x", "y")} as similarity from s x join s y on x.o < y.o)
-    select unit_id, least(x, y) as x, greatest(x, y) as y, round(similarity, 6) as similarity from u where similarity >= 0.1 order by sha1('42:' || unit_id), unit_id limit 50""")
+@query(_walked_sql("benchmark", "item_id", "similarity >= 0.1 and similarity <= 1.0", 50))
 def enumerated_units(spark, d):
-    """Every pair of items is counted up, as there are few; beyond two million the plan is an error."""
     items = table(spark, d, "benchmark").select("item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    units, _, _ = U.create_units(items, U.UnitPlan(members=2, count=50, strategy="similar"), "item_id", "tokens")
-    return units.select("unit_id", F.least("m0.item_id", "m1.item_id").alias("x"), F.greatest("m0.item_id", "m1.item_id").alias("y"), F.round("similarity", 6).alias("similarity"))
+    units, _, _ = U.create_units(items, U.UnitPlan(members=2, count=50, strategy="similar", beyond="walk"), "item_id", "tokens")
+    return _pairs_of(units, "item_id")
 
 
 @query("""select *, row_number() over (order by sha1('42:' || doc_id), doc_id) - 1 as ord from documents qualify ord < 40""")
@@ -632,8 +644,24 @@ def commit_finalize(spark, d):
     schema = S.ddl("event_id long, event_type string, value double")
     events, writer = table(spark, d, "events"), BatchWriter(spark, at)
     batch = U.batch_of(F.col("event_id"), 4000)
-    writer.commit_all(events, batch, schema)
+    writer.commit_all(events, batch, schema, ["event_id"])
     if writer.commit_all(events, batch, schema):
         raise AssertionError("a batch is written once")
-    writer.finalize(f"{at}-whole", schema, ["event_id"])
+    writer.finalize(f"{at}-whole", schema)
     return spark.read.schema(schema).parquet(f"{at}-whole").withColumn("batch_id", batch)
+
+
+@query("""
+    select event_id, event_type, case when event_id % 3 = 0 then round(value) when event_id % 3 = 1 then value end as value, case when event_id % 3 = 2 then props end as props, case when event_id % 3 > 0 then user_id end as user_id,
+           row_number() over (order by event_id % 3, event_id) - 1 as place from events""")
+def promoted_batches(spark, d):
+    """Batches whose columns come and widen over time: whole numbers, then fractions and a user, then props in place of the value; the table keeps the order of the commits."""
+    at = new_path(spark, "growing")
+    events, writer = table(spark, d, "events"), BatchWriter(spark, at)
+    own = {0: ["event_id", "event_type", F.round("value").cast("int").alias("value")], 1: ["event_id", "event_type", "value", "user_id"], 2: ["event_id", "event_type", F.lit(None).alias("value"), "user_id", "props"]}
+    for batch, columns in own.items():
+        writer.commit(batch, events.where(F.col("event_id") % 3 == batch).select(*columns), order=["event_id"])
+    writer.finalize(f"{at}-whole")
+    whole = spark.read.parquet(f"{at}-whole")
+    placed = A.with_ordinal(whole.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")), F.col("file"), F.col("row"), name="place")
+    return placed.drop("file", "row")

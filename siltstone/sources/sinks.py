@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import promote
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,13 +63,13 @@ class BatchWriter:
     def path(self, batch: int) -> str:
         return f"{self.root}/batch_id={batch}"
 
-    def commit(self, batch: int, df: DataFrame, schema: T.StructType) -> bool:
-        """Written aside, then renamed. False if the batch is there already."""
+    def commit(self, batch: int, df: DataFrame, schema: T.StructType | None = None, order: list[str] | None = None) -> bool:
+        """Written aside, then renamed. False if the batch is there already. Without a schema, df's own: see finalize for batches that differ."""
         if exists(self.spark, self.path(batch)):
             return False
         aside = f"{self.root}/_staged-{batch}"
         try:
-            write_parquet(df, aside, schema, "overwrite")
+            self._ordered(self._typed(df, schema), None, order).write.mode("overwrite").parquet(aside)
             fs, source = _fs(self.spark, aside)
             if not fs.rename(source, _fs(self.spark, self.path(batch))[1]):
                 raise OSError(f"batch {batch} could not be committed")
@@ -76,19 +79,22 @@ class BatchWriter:
             raise
         return True
 
-    def commit_all(self, df: DataFrame, batch: Column, schema: T.StructType) -> list[str]:
+    def commit_all(self, df: DataFrame, batch: Column, schema: T.StructType | None = None, order: list[str] | None = None) -> list[str]:
         """All batches of df in one write, each there whole or not at all; batch: the number of a row's batch, or null. Returns the batches that are new.
 
         Those that are there already stay as they are. A stop between two
-        renames leaves the ones before it, and a rerun adds the others.
+        renames leaves the ones before it, and a rerun adds the others. Rows are
+        put in order inside their batches here, by range, so that finalize
+        needn't sort; without an order they stay as the tasks have them.
         """
         there = set(self._names())
         aside = f"{self.root}/_staged-{uuid.uuid4().hex}"
         fs, staged = _fs(self.spark, aside)
-        fields = [F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields]
         made = []
         try:
-            df.select(*fields, batch.cast("long").alias("batch_id")).write.partitionBy("batch_id").parquet(aside)
+            numbered = df.withColumn("batch_id", batch.cast("long"))
+            typed = self._typed(numbered, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]) if schema else None)
+            self._ordered(typed, "batch_id", order).write.partitionBy("batch_id").parquet(aside)
             for name in sorted(s.getPath().getName() for s in fs.listStatus(staged) if s.isDirectory()):
                 if name not in there:
                     if not fs.rename(_fs(self.spark, f"{aside}/{name}")[1], _fs(self.spark, f"{self.root}/{name}")[1]):
@@ -98,6 +104,17 @@ class BatchWriter:
             fs.delete(staged, True)
         return made
 
+    @staticmethod
+    def _typed(df: DataFrame, schema: T.StructType | None) -> DataFrame:
+        return promote.storable(df) if schema is None else df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
+
+    @staticmethod
+    def _ordered(df: DataFrame, batch: str | None, order: list[str] | None) -> DataFrame:
+        if not order:
+            return df
+        by = [*([batch] if batch else []), *order]
+        return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
     def _names(self) -> list[str]:
         fs, root = _fs(self.spark, self.root)
         return [n for s in (fs.listStatus(root) if fs.exists(root) else []) if (n := s.getPath().getName()).startswith("batch_id=")]
@@ -112,20 +129,82 @@ class BatchWriter:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
         return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(self.root)
 
-    def finalize(self, path: str, schema: T.StructType, order: list[str], keep: bool = False) -> None:
-        """All batches in order as one table, there whole or not at all; then the batches go."""
+    def schema(self, least: T.StructType | None = None) -> T.StructType:
+        """The columns of ``least`` and of all batches, as their files say, each under the type that all of them widen to."""
+        names = [n for n in self._names() if self._files(f"{self.root}/{n}")]
+        with ThreadPoolExecutor(8) as threads:  # a footer a batch
+            found = list(threads.map(lambda n: promote.as_written(self.spark.read.parquet(f"{self.root}/{n}").schema), sorted(names, key=_batch_key)))
+        return promote.unified([*([least] if least else []), *found])
+
+    def finalize(self, path: str, schema: T.StructType | None = None, keep: bool = False) -> T.StructType:
+        """All batches as one table, there whole or not at all; then the batches go, unless they are to be kept. Returns its schema.
+
+        The table has all columns of ``schema`` and of every batch, whole
+        numbers widened where a batch has wider ones or fractions; a column that
+        a batch lacks is null, and types that don't go together are an error.
+        Files come in the order of their batches (one without a number first)
+        and, inside these, of the tasks that wrote them, and are named so. A
+        file that has the table's schema is renamed as it is; others are read
+        and written once. Nothing is sorted: rows are in the order in which
+        their batch was committed. A run that was stopped goes on where it was.
+        """
         if exists(self.spark, path):
             raise FileExistsError(path)
         aside = f"{path.rstrip('/')}._staged"
         fs, staged = _fs(self.spark, aside)
+        names = sorted((n for n in self._names() if self._files(f"{self.root}/{n}")), key=_batch_key)
+        # what a stopped run had put there is under its schema already
+        moved = sorted(self._files(aside)) if fs.exists(staged) else []
+        known = [promote.as_written(self.spark.read.parquet(aside).schema)] if moved else []
+        wanted = promote.unified([*known, self.schema(schema)])
+        if known and wanted != promote.unified([known[0]]):
+            raise promote.SchemaConflict(f"batches have changed since {aside} was begun")
+        fs.mkdirs(staged)
+        for s in fs.listStatus(staged):
+            if s.isDirectory():
+                fs.delete(s.getPath(), True)
+
+        def take(name: str) -> None:
+            at = f"{self.root}/{name}"
+            own = self.spark.read.parquet(at).schema
+            typed = promote.as_written(own)
+            as_is = not keep and typed == wanted and all(f.dataType == g.dataType for f, g in zip(own.fields, wanted.fields))
+            for file in sorted(self._files(at)):
+                target = f"{aside}/part-{_batch_key(name):020d}-{file}"
+                for half in moved:  # by a run that was stopped, as the file is still here
+                    if half.startswith(target.rpartition("/")[2].removesuffix(".parquet")):
+                        fs.delete(_fs(self.spark, f"{aside}/{half}")[1], False)
+                if as_is:
+                    if not fs.rename(_fs(self.spark, f"{at}/{file}")[1], _fs(self.spark, target)[1]):
+                        raise OSError(f"{at}/{file} could not be moved")
+                    continue
+                written = f"{aside}/_{uuid.uuid4().hex}"
+                promote.promoted(self.spark.read.parquet(f"{at}/{file}"), typed, wanted).write.parquet(written)
+                for part in sorted(self._files(written)):  # pieces of one file, in its order
+                    if not fs.rename(_fs(self.spark, f"{written}/{part}")[1], _fs(self.spark, f"{target.removesuffix('.parquet')}-{part[:10]}.parquet")[1]):
+                        raise OSError(f"{at}/{file} could not be moved")
+                fs.delete(_fs(self.spark, written)[1], True)
+                if not keep:
+                    fs.delete(_fs(self.spark, f"{at}/{file}")[1], False)
+
         try:
-            self.read(schema).orderBy("batch_id", *order).drop("batch_id").write.mode("overwrite").parquet(aside)
+            with ThreadPoolExecutor(8) as threads:
+                list(threads.map(take, names))
+            if not self._files(aside):
+                self.spark.createDataFrame([], wanted).write.mode("append").parquet(aside)
             if not fs.rename(staged, _fs(self.spark, path)[1]):
                 raise OSError(f"{path} could not be finalized")
-        finally:
-            fs.delete(staged, True)
+        except Exception:
+            if keep:  # nothing was moved out of the batches
+                fs.delete(staged, True)
+            raise
         if not keep:
             fs.delete(_fs(self.spark, self.root)[1], True)
+        return wanted
+
+    def _files(self, at: str) -> list[str]:
+        fs, p = _fs(self.spark, at)
+        return [n for s in fs.listStatus(p) if s.isFile() and (n := s.getPath().getName())[0] not in "_."]
 
     def review(self, schema: T.StructType, order: list[str], n: int) -> DataFrame:
         if n < 0:
@@ -133,6 +212,12 @@ class BatchWriter:
         return self.read(schema).orderBy("batch_id", *order).limit(n)
 
 
+def _batch_key(name: str) -> int:
+    """Folders of batches in order: one without a number first, then by number."""
+    number = name.split("=")[1]
+    return int(number) + (1 << 63) + 1 if number.lstrip("-").isdigit() else 0
+
+
 class EventLog:
     """Append-only JSON lines of timestamp, run, type and payload."""
 

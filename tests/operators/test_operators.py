@@ -14,7 +14,7 @@ from siltstone.operators import dedup as D
 from siltstone.operators import generate as G
 from siltstone.operators import select as U
 from siltstone.operators import validate as V
-from siltstone.sources import files, sinks
+from siltstone.sources import files, promote, sinks
 from siltstone.sources.scratch import put_aside
 from siltstone.streaming.resume import commit_stream
 
@@ -114,8 +114,58 @@ def test_capped_units_equal_a_sequential_walk(spark, cap):
     assert {r.unit_id for r in got.collect()} == greedy(units, cap)
 
 
+def test_capped_units_with_a_member_in_a_third_of_all(spark):
+    rng = np.random.default_rng(9)
+    units = [(f"u{i:04}", int(rng.integers(50)), ["hot", f"m{rng.integers(400)}"] if i % 3 == 0 else [f"m{x}" for x in rng.choice(400, 2, replace=False)]) for i in range(900)]
+    got = U.capped_units(spark.createDataFrame(units, "unit_id string, priority int, members array<string>"), 3, put_aside)
+    assert {r.unit_id for r in got.collect()} == greedy([(u, (p, u), m) for u, p, m in units], 3)
+
+
+def plain_walk(sets, k, seed, ok, count, cap=None):
+    """Units in the order of the walk, as a plain loop over all choices makes them."""
+    sha = lambda t: __import__("hashlib").sha1(t.encode()).hexdigest()
+    place = {x: i for i, x in enumerate(sorted(sets, key=lambda x: (sha(f"{seed}:{x}"), x)))}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 0.0
+    found = []
+    for c in combinations(sorted(sets, key=place.get), k):
+        pairs = list(combinations(c, 2))
+        if ok(sum(jaccard(*p) for p in pairs) / len(pairs)):
+            uid = "unit_" + sha("::".join(sorted(c)))[:16]
+            found.append((place[c[-1]] - place[c[0]], sha(f"{seed}:{uid}"), uid, c))
+    found.sort()
+    if cap:
+        good = greedy([(f[2], f[:3], f[3]) for f in found], cap)
+        found = [f for f in found if f[2] in good]
+    return [(f[2], f[3]) for f in found[:count]]
+
+
+@pytest.mark.parametrize(("k", "strategy", "join_from", "count", "cap"), [
+    (2, "similar", 64, 15, None), (2, "similar", 0, 10_000, None), (2, "similar", 0, 10_000, 2), (2, "dissimilar", 64, 12, None), (2, "dissimilar", 64, 10_000, 3),
+    (3, "similar", 64, 40, None), (3, "dissimilar", 64, 10_000, 1), (2, "random", 64, 30, None), (2, "random", 64, 10_000, None),
+])
+def test_units_come_in_the_order_of_the_walk(spark, monkeypatch, k, strategy, join_from, count, cap):
+    """Rounds of a few candidates, also with the join for what is left; sets that are null, empty or copies of each other."""
+    monkeypatch.setattr(U, "FIRST_ROUND", 20)
+    monkeypatch.setattr(U, "JOIN_FROM", join_from)
+    monkeypatch.setattr(U.UnitPlan, "attempts", lambda self, asked: 10**9)
+    rng = np.random.default_rng(k)
+    sets = {f"a{i}": set(map(str, rng.choice(25, rng.integers(1, 9), replace=False).tolist())) for i in range(22)}
+    sets |= {f"c{i}": set(sets["a1"]) for i in range(6)} | {"e1": set(), "e2": set()}
+    rows = spark.createDataFrame([(i, None if i == "e1" else sorted(v), i.upper()) for i, v in sets.items()], "audio_id string, tokens array<string>, name string")
+    low = 0.5 if k == 2 else 0.3
+    plan = U.UnitPlan(members=k, count=count, strategy=strategy, reuse=cap, most=1, beyond="walk", similar_from=low, dissimilar_to=0.1)
+    units, _, stats = U.create_units(rows, plan, tokens="tokens", columns=("name",))
+    ok = {"random": lambda j: True, "similar": lambda j: j >= low, "dissimilar": lambda j: j <= 0.1}[strategy]
+    want = plain_walk(sets, k, 42, ok, count, cap)
+    got = [(r.unit_id, tuple(r[f"m{i}"].audio_id for i in range(k))) for r in sorted(units.collect(), key=lambda r: (r.priority, r.unit_id))]
+    assert got == want and want
+    assert all(r.m0.name == r.m0.audio_id.upper() for r in units.collect())
+    if count < 100 and strategy == "random":
+        assert stats.first().candidate_units_considered < 200 < stats.first().possible_unordered_units
+
+
 def test_plan_choice():
-    assert U.choose_plan(10, 2, "similar", 100) == "enumerate" and U.choose_plan(1000, 2, "random", 100) == "sample"
+    assert U.choose_plan(10, 2, "similar", 100) == "walk" and U.choose_plan(1000, 2, "random", 100) == "sample"
     for bad in ((1000, 2, "similar", 100), (1, 2, "random", 100), (5, 0, "random", 100)):
         with pytest.raises(ValueError):
             U.choose_plan(*bad)
@@ -136,7 +186,7 @@ def test_units_hold_their_plan(spark, reuse, most, strategy):
     rng = np.random.default_rng(3)
     sets = {f"a{i}": set(rng.choice(9, rng.integers(1, 6), replace=False).tolist()) for i in range(12)}
     rows = spark.createDataFrame([(k, [str(x) for x in v]) for k, v in sets.items()], "audio_id string, tokens array<string>")
-    plan = U.UnitPlan(count=500, strategy=strategy, reuse=reuse, most=most, beyond="sample", similar_from=0.3, dissimilar_to=0.2)
+    plan = U.UnitPlan(count=500, strategy=strategy, reuse=reuse, most=most, beyond="walk", similar_from=0.3, dissimilar_to=0.2)
     units, short, stats = U.create_units(rows, plan, tokens="tokens")
     got = [tuple(r.members) for r in units.collect()]
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
@@ -146,7 +196,7 @@ def test_units_hold_their_plan(spark, reuse, most, strategy):
     assert len(made) == len(got) and made <= allowed
     used = [m for p in got for m in p]
     if reuse is None:
-        assert made == allowed  # 10,000 draws find all 66 pairs, too
+        assert made == allowed
     else:
         assert max(used.count(m) for m in used) == 1 and not [p for p in allowed if not p & set(used)]
     assert {r.error_type for r in short.collect()} == {"unit_count_exceeds_possible", "unit_count_not_satisfied"}
@@ -157,6 +207,19 @@ def test_units_hold_their_plan(spark, reuse, most, strategy):
             U.create_units(rows, U.UnitPlan(strategy=strategy, most=1), tokens="tokens")
 
 
+@pytest.mark.parametrize("name", ["raw", "request", "text", "problem"])
+def test_names_that_are_added_are_taken(spark, name):
+    from siltstone import schemas as S
+    from siltstone.operators import dedup as D
+    from siltstone.operators import generate as G
+
+    stage = G.Stage("QA", lambda said: said, S.QA_GENERATED_JSON, S.QA_GENERATED)
+    with pytest.raises(ValueError, match=name):
+        G.with_retries(spark.createDataFrame([(1, "x")], f"id int, {name} string"), stage, G.ScriptedGenerator(str))
+    with pytest.raises(ValueError, match="kept"):
+        D.keep_distinct_exact(spark.createDataFrame([(1, 1, "c", "q", True)], "u int, o int, c string, q string, kept boolean"), "u", "o", "c", "q")
+
+
 def test_shortfall_and_slices(spark):
     assert [r.error_type for r in U.shortfall(spark, 10, 5, 4).collect()] == ["unit_count_exceeds_possible", "unit_count_not_satisfied"]
     assert U.shortfall(spark, 2, 5, 2).count() == 0
@@ -311,6 +374,12 @@ def test_jsonl(spark, tmp_path):
         files.read_table(spark, "x.txt", S.MANIFEST)
 
 
+def in_order(spark, path):
+    """Rows in the order of the files' names and of the rows in them."""
+    rows = spark.read.parquet(path)
+    return [tuple(r)[:-2] for r in rows.select("*", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+
+
 def test_guard_batches_and_finalize(spark, tmp_path):
     old, new = S.ddl("id long, tags array<string>"), S.ddl("id long, tags array<string>, note string")
     writer = sinks.BatchWriter(spark, str(tmp_path / "batches"))
@@ -321,8 +390,8 @@ def test_guard_batches_and_finalize(spark, tmp_path):
     assert [r.id for r in writer.review(new, ["id"], 2).collect()] == [1, 2]
     with pytest.raises(ValueError):
         writer.review(new, ["id"], -1)
-    writer.finalize(str(tmp_path / "all"), new, ["id"])
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "all")).collect()] == [(1, [], None), (2, [], None), (3, ["x"], "n")]
+    writer.finalize(str(tmp_path / "all"), new)
+    assert in_order(spark, str(tmp_path / "all")) == [(1, [], None), (2, [], None), (3, ["x"], "n")]
     assert writer.batches() == []
     with pytest.raises(FileExistsError):
         sinks.guard(spark, [str(tmp_path / "all")])
@@ -344,13 +413,66 @@ def test_commits_of_all_batches(spark, tmp_path):
     assert len(writer.commit_all(rows.unionByName(spark.createDataFrame([(99, [])], schema)), F.floor(F.col("id") / 4), schema)) == 1
     assert writer.batches() == [-2, 0, 1, 2, 24] and writer.read(schema).count() == 8
     target = str(tmp_path / "all")
-    writer.finalize(target, schema, ["id"], keep=True)
-    assert [r.id for r in spark.read.parquet(target).collect()] == [None, -5, 0, 3, 7, 8, 8, 99]
+    writer.finalize(target, schema, keep=True)
+    assert [r[0] for r in in_order(spark, target)] == [None, -5, 0, 3, 7, 8, 8, 99]
     with pytest.raises(FileExistsError):
-        writer.finalize(target, schema, ["id"])
+        writer.finalize(target, schema)
     assert writer.read(schema).count() == 8 and not sinks.exists(spark, target + "._staged")
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_batches_whose_schema_grows(spark, tmp_path, keep):
+    """Columns that come later, wider numbers, lists without a type, structs with more fields; files keep the order of the commits."""
+    writer = sinks.BatchWriter(spark, str(tmp_path / "batches"))
+    empty = spark.sql("select * from values (1, array(), null, named_struct('x', 1)), (2, null, null, null) t(id, tags, late, s)")
+    assert writer.commit(10, empty)
+    assert writer.commit(2, spark.createDataFrame([(9, ["a"], (1, "y"), 5)], "id long, tags array<string>, s struct<x:int,y:string>, more int"))
+    assert writer.commit(11, spark.createDataFrame([(0.5, None, "z", None, 7)], "id double, tags array<string>, late string, s struct<x:int>, more long"))
+    assert writer.commit_all(spark.createDataFrame([(i, 40 - i % 3) for i in range(30)], "id int, b long"), F.col("b"), order=["id"])
+    target = str(tmp_path / "all")
+    schema = writer.finalize(target, keep=keep)
+    assert schema.simpleString() == "struct<id:double,tags:array<string>,s:struct<x:int,y:string>,more:bigint,late:string,b:bigint>"
+    rows = [(*r[:2], r[2] and tuple(r[2]), *r[3:]) for r in in_order(spark, target)]
+    assert rows[:4] == [(9.0, ["a"], (1, "y"), 5, None, None), (1.0, [], (1, None), None, None, None), (2.0, None, None, None, None, None), (0.5, None, None, 7, "z", None)]
+    assert [(r[0], r[5]) for r in rows[4:]] == [(float(i), b) for b in (38, 39, 40) for i in range(30) if 40 - i % 3 == b]
+    assert writer.batches() == ([2, 10, 11, 38, 39, 40] if keep else [])
+    other = sinks.BatchWriter(spark, str(tmp_path / "others"))
+    other.commit(0, spark.createDataFrame([(1,)], "id long")), other.commit(1, spark.createDataFrame([("x",)], "id string"))
+    with pytest.raises(promote.SchemaConflict, match="id"):
+        other.finalize(str(tmp_path / "whole"))
+    assert other.batches() == [0, 1]
+
+
+def test_finalize_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    writer, target = sinks.BatchWriter(spark, str(tmp_path / "batches")), str(tmp_path / "all")
+    for b in range(4):
+        writer.commit(b, spark.createDataFrame([(b, i) for i in range(3)], "b long, i int" if b < 3 else "b long, i long"))
+    times, plain = [], promote.promoted
+
+    def stops(*args):
+        times.append(1)
+        if len(times) == 2:
+            raise OSError("stopped")
+        return plain(*args)
+
+    monkeypatch.setattr(promote, "promoted", stops)
+    with pytest.raises(OSError):
+        writer.finalize(target)
+    assert not sinks.exists(spark, target)
+    writer.finalize(target)
+    assert in_order(spark, target) == [(b, i) for b in range(4) for i in range(3)]
+
+
+def test_finalize_sorts_nothing(spark, tmp_path):
+    """No job reads files that have the table's schema."""
+    writer, target = sinks.BatchWriter(spark, str(tmp_path / "batches")), str(tmp_path / "all")
+    writer.commit_all(spark.range(1_000).select(F.col("id"), (F.col("id") % 7).alias("x")), F.col("x"), order=["id"])
+    before = {n for b in writer.batches() for n in writer._files(writer.path(b))}
+    writer.finalize(target)
+    assert all(any(n.endswith(b) for b in before) for n in writer._files(target))
+    assert in_order(spark, target) == [(i, x) for x in range(7) for i in range(1_000) if i % 7 == x]
+
+
 def test_event_log_errors_and_stats(spark, tmp_path):
     log = sinks.EventLog(spark, str(tmp_path / "log"), "run")
     log.error("claim", ValueError("bad"), unit="u1")

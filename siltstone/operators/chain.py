@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions.jsons import canonical_json
 from ..sources.scratch import put_aside
 from . import dedup, generate, select, validate
+from .answers import AnswerLog
 from .generate import Generator, Reasoning, Stage
 
 #: Stages by the names that their feedback begins with, and how many captions of a source a prompt shows.
@@ -47,8 +48,10 @@ class Chain:
     """How units become examples. ``templates`` has a text for each stage, with places as in PLACES.
 
     ``on_error`` "continue" keeps a candidate's error to itself; "abort" ends
-    the run after the first stage in which one fails. ``concurrency`` bounds
-    the calls at a time over all tasks, ``pool`` those of one.
+    the run after the first wave of ``wave`` candidates in which one fails, and
+    asks nothing for later ones. ``concurrency`` bounds the calls at a time over
+    all tasks, ``pool`` those of one. ``log`` is a folder for answers: a run that
+    was stopped and is started again with it asks only for what is missing.
     """
 
     templates: dict[str, str]
@@ -62,9 +65,11 @@ class Chain:
     pool: int = 8
     concurrency: int | None = None
     on_error: str = "continue"
+    wave: int = 1024
+    log: AnswerLog | None = None
 
     def __post_init__(self) -> None:
-        if min(self.each, self.attempts, self.pool, 1 if self.concurrency is None else self.concurrency) < 1:
+        if min(self.each, self.attempts, self.pool, self.wave, 1 if self.concurrency is None else self.concurrency) < 1:
             raise ValueError("candidates, attempts and concurrency must be 1 or more")
         if not 0 < self.threshold <= 1:
             raise ValueError("the similarity threshold must be over 0 and at most 1")
@@ -136,9 +141,10 @@ def run(units: DataFrame, chain: Chain) -> Outcome:
     _stop_at(chain, errors)
     for stage, name in zip(chain.stages(), ("claim", "qa", "verifier")):
         asked = chain.generator.for_schema(f"{name}_output", stage.schema)
-        ok, failed = generate.with_retries(rows, stage, asked, chain.reasoning, chain.pool, chain.concurrency)
+        number = F.floor(F.col("condition_index") / chain.wave)  # units in order
+        stop = {"wave": number, "after_wave": lambda bad, at=stage.name: _stop_at(chain, [generate.error_rows(bad, at)])} if chain.on_error == "abort" else {}
+        ok, failed = generate.with_retries(rows, stage, asked, chain.reasoning, chain.pool, chain.concurrency, chain.log, ("unit_id", "unit_index", "candidate_index"), **stop)
         errors.append(generate.error_rows(failed, stage.name))
-        _stop_at(chain, errors)
         seen = F.concat("visible_reasoning_stripped", F.when(F.col("stripped"), F.array(F.lit(stage.name))).otherwise(none))
         rows = ok.withColumns({"visible_reasoning_stripped": seen, name: F.col("record"), f"raw_{name}_text": F.col("text")}).drop("record", "text", "stripped", "attempt")
     told = dedup.keep_distinct(

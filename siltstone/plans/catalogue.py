@@ -21,6 +21,8 @@ from ..operators import dedup as D
 from ..operators import generate as G
 from ..operators import select as U
 from ..operators import validate as V
+from ..operators.answers import AnswerLog
+from ..sources import files
 from ..sources.scratch import new_path
 from ..sources.sinks import BatchWriter
 
@@ -533,6 +535,36 @@ def scripted_generation(spark, d):
     return ok.select("doc_id", "record.question", H.example_id(F.concat(F.lit("u"), "doc_id"), F.col("doc_id").cast("string"), F.col("record.question")).alias("example_id"))
 
 
+@query("""
+    select doc_id, 'Is it said that ' || doc_id || ' in there?' as question from documents""")
+def resumed_generation(spark, d):
+    """A run with a log of answers, started a second time: nothing is asked again."""
+    log = AnswerLog(new_path(spark, "log"))
+    rows = table(spark, d, "documents").select("doc_id")
+    prompt = lambda feedback: X.render_template("Errors: {{said}}\n{{claim}}", said=feedback, claim=F.col("doc_id"))
+    stage = G.Stage("QA", prompt, S.QA_GENERATED_JSON, S.QA_GENERATED, lambda qa: [("question_form", F.size(X.words(qa["question"])) < 6)])
+    written = []
+    for _ in range(2):
+        ok, _ = G.with_retries(rows, stage, G.ScriptedGenerator(_script), log=log, identity=("doc_id",))
+        written.append(spark.read.parquet(log.path).count())
+    if written[0] != written[1]:
+        raise AssertionError("an answer in the log is asked for once")
+    return ok.select("doc_id", "record.question")
+
+
+@query("""
+    with p as (select event_id, event_id // 4000 as file, '{"event":' || event_id || case when event_id % 11 = 5 then '' else '}' end as text from events)
+    select file, row_number() over (partition by file order by event_id) as line, text from p qualify text not like '%}'""")
+def bad_json_lines(spark, d):
+    """The events as lines of JSON, 4,000 a file, some without their end: those lines with their numbers."""
+    at = new_path(spark, "lines")
+    line = F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 11 == 5, "").otherwise("}"))
+    rows = table(spark, d, "events").select("event_id", line.alias("value"), U.batch_of(F.col("event_id"), 4000).alias("file"))
+    rows.repartition("file").sortWithinPartitions("file", "event_id").select("value", "file").write.partitionBy("file").text(at)
+    found = files.bad_json_lines(spark, at)
+    return found.select(F.regexp_extract("path", "file=(-?[0-9]+)", 1).cast("long").alias("file"), "line", "text")
+
+
 def _candidates(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Claim "), F.col("turn") % 3).alias("claim"), F.concat(F.lit("is it "), F.col("turn") % 2, F.lit("?")).alias("question"), "role", "text")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from .scratch import put_aside
 
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -66,13 +68,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """path, line (from 1), text of the lines of text files, or of those that ``keep`` (on ``text``) lets through; no file goes through one task.
+
+    Spark reads files in splits, and each split's lines one after the other. A
+    line's number is its place in its split and the lines of the splits before
+    it, which are counted in the same reading.
+    """
+    kept = F.lit(True) if keep is None else keep
+    read = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    lines = put_aside(read.select(F.col("file_path").alias("path"), F.col("file_block_start").alias("split"), "at", F.when(F.coalesce(kept, F.lit(False)), F.col("text")).alias("text")), "lines")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    placed = lines.where("text is not null").join(splits.withColumn("before", F.coalesce(before, F.lit(0))), ["path", "split"])
+    return placed.select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+
+
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line (from 1) and text of lines that are neither blank nor a JSON object."""
     from ..functions.jsons import parse_object
 
-    whole = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
-    return lines.where((strip(F.col("text")) != "") & parse_object(F.col("text"))["problem"].isNotNull()).select("path", (F.col("at") + 1).alias("line"), "text")
+    return numbered_lines(spark, path, (strip(F.col("text")) != "") & parse_object(F.col("text"))["problem"].isNotNull())
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

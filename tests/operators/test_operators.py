@@ -374,6 +374,23 @@ def test_jsonl(spark, tmp_path):
         files.read_table(spark, "x.txt", S.MANIFEST)
 
 
+def test_line_numbers_over_several_splits(spark, tmp_path):
+    """Files of many splits of 2,000 bytes and one packed with others; every seventh line is bad, some are blank."""
+    lines = {f"f{k}.jsonl": ["" if i % 5 == 4 else f'{{"a": {i}}}' + (" x" if i % 7 == 3 else " " * (i % 90)) for i in range(n)] for k, n in enumerate((400, 3, 90))}
+    for name, own in lines.items():
+        (tmp_path / name).write_bytes(("\r\n" if name == "f2.jsonl" else "\n").join(own).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {(r.path.rpartition("/")[2], r.line, r.text) for r in files.bad_json_lines(spark, str(tmp_path)).collect()}
+        every = files.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert every.count() == sum(len(own) - (not own[-1]) for own in lines.values())  # an empty line at the end of a file is none
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, i + 1, t) for name, own in lines.items() for i, t in enumerate(own) if t.endswith("x")}
+
+
 def in_order(spark, path):
     """Rows in the order of the files' names and of the rows in them."""
     rows = spark.read.parquet(path)

@@ -6,8 +6,10 @@ counted by Spark. As long as they fit into one block (``block_bytes`` of pattern
 and item ids) one automaton holds them all, a worker process builds it once,
 and each text is normalised and scanned once; nothing is shuffled. A larger
 benchmark is cut into blocks of that size, so that neither the driver nor a
-task ever holds more than one; all documents are scanned with each block, and
-the words that were hit are put together by document.
+task ever holds more than one. Documents are then numbered and written once, and
+scanned with each block; only the numbers and hits of those that were hit are
+written for a block, and put together by number, so what is written does not grow
+with the number of blocks.
 
 Hits are mapped back to word numbers and, for spans, to character offsets of
 the original text.
@@ -141,15 +143,40 @@ def _n_hit():
     return F.aggregate("hit", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
 
 
-def _together(parts: DataFrame, keep: list[str]) -> DataFrame:
-    """The scans of several blocks by row number (``__row``): words hit in any of them count once."""
+#: A word in a text as it is, for counting: A-Z are lowered before words are compared, and count as letters here.
+_WORD_HERE = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+
+
+def _together(parts: DataFrame) -> DataFrame:
+    """The hits of several blocks by row number (``__row``): words hit in any of them count once."""
     merged = parts.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in keep], F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.array_sort(F.flatten(F.collect_list("hit"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach"))
     added = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["begin"], s["reach"]), F.lit(0))).alias("n"), F.greatest(s["reach"], x["end"]).alias("reach"))
-    return merged.select(*keep, "n_words", F.aggregate("all", start, added)["n"].alias("n_hit"), "item_ids", "spans")
+    return merged.select("__row", F.aggregate("all", start, added)["n"].alias("n_hit"), "item_ids", "spans")
+
+
+def _in_blocks(taken: DataFrame, patterns: DataFrame, n: int, own: list[str], with_spans: bool) -> DataFrame:
+    """As _scan with all blocks one after the other. Only rows that some block may have hit are joined with their hits."""
+    taken = _shared.materialize(taken.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for block in range(n):
+        hits = _scan(taken.select("__row", "__text"), _of_block(patterns, block), ["__row"], with_spans).where(F.size("hit") > 0)
+        parts.append(_shared.materialize(hits.drop("n_words"), "block"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    hits = _shared.materialize(_together(every), "hits")
+    _shared.drop(*parts)
+    counted = taken.select(*own, "__row", F.coalesce(F.regexp_count("__text", F.lit(_WORD_HERE)), F.lit(0)).cast("long").alias("n_words"))
+    marked = _shared.marked(counted, "__row", hits, "__row")
+    nothing = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.array().cast(hits.schema["spans"].dataType).alias("spans")]
+    names = [*own, "n_words"]
+    clean = marked.where(~F.col("__maybe")).select(*names, *nothing)
+    joined = marked.where("__maybe").join(hits, "__row", "left")
+    return clean.unionByName(joined.select(*names, *[F.coalesce(c, e).alias(c) for c, e in zip(("n_hit", "item_ids", "spans"), nothing)]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, keep: tuple[str, ...] = (), with_spans: bool = True) -> DataFrame:
@@ -157,24 +184,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, i
 
     A word inside any occurrence of a pattern is hit. Null and wordless texts
     have no words and no hits; items without words have no pattern; an item id
-    of null hits words but names no item. ``keep`` names columns of docs that
-    are handed on. A benchmark of any size is scanned for, in blocks of
-    ``block_bytes`` of patterns. Empty tables give empty results, or documents
-    without hits.
+    of null hits words but names no item. Each row is judged by itself, repeated
+    rows and ids too. ``keep`` names columns of docs that are handed on, whatever
+    their names but those of the result. Texts of any length are scanned whole,
+    and a benchmark of any size, in blocks of ``block_bytes`` of patterns. Empty
+    tables give empty results, or documents without hits.
     """
+    if taken := sorted(set(keep) & {id_column, "n_words", "n_hit", "item_ids", "spans"}):
+        raise ValueError(f"these columns are part of the result, so they can't be kept: {taken}")
     patterns, n = _blocks(_shared.materialize(build_patterns(benchmark, width, item_column, item_text), "patterns"), block_bytes)
-    taken = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"), *[F.col(c) for c in keep])
-    own = ["__id", *keep]
+    at = {c: f"__{i}" for i, c in enumerate((id_column, *keep))}
+    rows = docs.select(F.col(text_column).alias("__text"), *[F.col(f"`{c}`").alias(a) for c, a in at.items()])
+    own = list(at.values())
     if n == 1:
-        found = _scan(taken, _of_block(patterns, 0), own, with_spans).select(*own, "n_words", _n_hit().alias("n_hit"), "item_ids", "spans")
+        found = _scan(rows, _of_block(patterns, 0), own, with_spans).select(*own, "n_words", _n_hit().alias("n_hit"), "item_ids", "spans")
     else:
-        taken = _shared.materialize(taken.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        parts = None
-        for block in range(n):
-            part = _shared.materialize(_scan(taken, _of_block(patterns, block), ["__row", *own], with_spans), "block")
-            parts = part if parts is None else parts.unionByName(part)
-        found = _together(parts, own)
-    return found.withColumnRenamed("__id", id_column)
+        found = _in_blocks(rows, patterns, n, own, with_spans)
+    return found.select(*[F.col(a).alias(c) for c, a in at.items()], "n_words", "n_hit", "item_ids", "spans")
 
 
 def contaminated(per_cent: int = 5):
@@ -183,9 +209,9 @@ def contaminated(per_cent: int = 5):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_cent: int = 5, text_column: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """docs without the contaminated rows, all columns as they were."""
+    """docs without the contaminated rows, all columns as they were. Null and wordless texts stay; repeated rows share their fate; an empty table stays empty."""
     names = docs.columns
-    numbered = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(names)])
-    at = {c: f"__{i}" for i, c in enumerate(names)}
-    found = find_contamination(numbered.withColumn("__no", F.lit(0)), benchmark, id_column="__no", text_column=at[text_column], keep=tuple(at.values()), block_bytes=block_bytes, with_spans=False)
+    at = {c: f"column {i}" for i, c in enumerate(names)}
+    numbered = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()]).withColumn("__no", F.lit(0))
+    found = find_contamination(numbered, benchmark, id_column="__no", text_column=at[text_column], keep=tuple(at.values()), block_bytes=block_bytes, with_spans=False)
     return found.where(~contaminated(per_cent)).select(*[F.col(at[c]).alias(c) for c in names])

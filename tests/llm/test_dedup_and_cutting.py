@@ -216,6 +216,14 @@ def test_decontamination(spark):
     assert sorted(map(str, blocks)) == sorted(map(str, got))
     assert sorted(str(r.doc_id) for r in drop_contaminated(docs, items, block_bytes=300).collect()) == sorted(str(r.doc_id) for r in clean.collect())
     assert all(r.spans == [] for r in find_contamination(docs, items, with_spans=False).collect())
+    odd = docs.withColumns({"__row": F.lit(7), "__id": F.col("doc_id"), "__text": F.lit("x"), "__0": F.lit(1)})
+    for block_bytes in (300, 1 << 20):  # kept columns of any name, with one automaton and with several
+        kept = find_contamination(odd, items, keep=("source", "__row", "__id", "__text", "__0"), block_bytes=block_bytes)
+        rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids, str(r.source)) for r in kept.collect())
+        assert rows == sorted((str(i), *brute(t)[:3], str(s)) for i, t, s in TEXTS)
+        assert {(r["__row"], r["__text"], r["__0"], r["__id"] == r.doc_id) for r in kept.where("doc_id is not null").collect()} == {(7, "x", 1, True)}
+    with pytest.raises(ValueError, match="n_hit"):
+        find_contamination(docs.withColumn("n_hit", F.lit(1)), items, keep=("n_hit",))
 
 
 def test_patterns_overlap_at_a_shared_space():

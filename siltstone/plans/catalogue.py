@@ -565,6 +565,15 @@ def bad_json_lines(spark, d):
     return found.select(F.regexp_extract("path", "file=(-?[0-9]+)", 1).cast("long").alias("file"), "line", "text")
 
 
+@query("""select doc_id::varchar as doc_id, lang, sha1(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g')) as text_sha1 from documents""")
+def csv_scan(spark, d):
+    """The documents as CSV, their texts with lines, quotes and commas in quoted fields, read again in splits."""
+    at = new_path(spark, "csv")
+    table(spark, d, "documents").select("doc_id", "lang", "text").write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(at)
+    rows = files.read_csv(spark, at, ("doc_id", "lang", "text"))
+    return rows.select("doc_id", "lang", F.sha1(F.regexp_replace("text", "[ \\t\\r\\n]+", "").cast("binary")).alias("text_sha1"))
+
+
 def _candidates(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Claim "), F.col("turn") % 3).alias("claim"), F.concat(F.lit("is it "), F.col("turn") % 2, F.lit("?")).alias("question"), "role", "text")
 

@@ -12,55 +12,160 @@ from ..functions.text import strip
 from .scratch import put_aside
 
 #: Encodings in the order in which they are tried.
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-
-
-@F.pandas_udf(T.StringType())
-def decode_text(content: pd.Series) -> pd.Series:
-    """Whole files in the first encoding that takes all their bytes."""
+ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")  # the first two differ in a mark at the begin, which goes
+
+
+#: What cp1252 has in place of the control characters 0x80 to 0x9f; it lacks five of them.
+_CP1252 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+_LACKING = "".join(chr(b) for b, c in zip(range(0x80, 0xA0), _CP1252) if c == "\ufffd")
+_HELD = "".join(chr(b) for b, c in zip(range(0x80, 0xA0), _CP1252) if c != "\ufffd")
+
+
+def _verdicts(lines: DataFrame) -> DataFrame:
+    """path, encoding: the first encoding that takes all bytes of a file. No character of any goes beyond a line."""
+    latin = F.decode("raw", "ISO-8859-1")
+    fits = lines.groupBy("path").agg(F.bool_and("is_utf8").alias("utf8"), F.bool_and(F.col("is_utf8") | ~latin.rlike(f"[{_LACKING}]")).alias("cp1252"))
+    return fits.select("path", F.when(F.col("utf8"), ENCODINGS[1]).when(F.col("cp1252"), ENCODINGS[2]).otherwise(ENCODINGS[3]).alias("encoding"))
+
+
+def _decoded(raw: Column, encoding: Column) -> Column:
+    latin = F.decode(raw, "ISO-8859-1")
+    plain = F.decode(raw, "UTF-8")
+    return F.when(encoding == ENCODINGS[1], plain).when(encoding == ENCODINGS[2], F.translate(latin, _HELD, _CP1252.replace("\ufffd", ""))).otherwise(latin)
+
+
+def in_quotes(line: bytes, quoted: bool) -> bool:
+    """Whether a quoted field is open at the end of a line of CSV, if it is or isn't at its begin. A quote inside a plain field is a character like any other."""
+    if b'"' not in line:
+        return quoted
+    at, n = 0, len(line)
+    while True:
+        if quoted:
+            while True:  # to the field's last quote; two stand for one
+                at = line.find(b'"', at)
+                if at < 0:
+                    return True
+                if line[at + 1 : at + 2] != b'"':
+                    break
+                at += 2
+            quoted, at = False, at + 1
+        else:
+            if line[at : at + 1] == b'"':
+                quoted, at = True, at + 1
+                continue
+        ends = [x for x in (line.find(b",", at), line.find(b"\r", at)) if x >= 0]  # the next field, or record
+        if not ends:
+            return False
+        at = min(ends) + 1
+        if at > n:
+            return False
+
+
+def _csv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(path, line, raw, opened, closed: whether the line begins and ends outside quotes, split; verdicts on encodings). A file is read in splits.
+
+    Each split is walked through for both states in which it may begin; what it
+    makes of them is then handed from split to split.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.is_valid_utf8("value").alias("is_utf8"), F.col("value").cast("binary").alias("raw"))
 
-    def one(data: bytes) -> str:
-        for encoding in ENCODINGS:
-            try:
-                return data.decode(encoding)
-            except UnicodeDecodeError:
-                pass
+    def walk(batches):
+        import pyarrow as pa
 
-    return content.map(one)
+        here, states = None, [False, True]
+        for batch in batches:
+            begin, end = ([], []), ([], [])
+            for path, split, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "split", "raw"))):
+                if (path, split) != here:
+                    here, states = (path, split), [False, True]
+                for k in (0, 1):
+                    begin[k].append(states[k])
+                    states[k] = in_quotes(raw, states[k])
+                    end[k].append(states[k])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.bool_()) for x in (*begin, *end))], [*batch.schema.names, "begin0", "begin1", "end0", "end1"])
+
+    kinds = "path string, split long, at long, is_utf8 boolean, raw binary, begin0 boolean, begin1 boolean, end0 boolean, end1 boolean"
+    lines = put_aside(read.mapInArrow(walk, kinds), "csv-lines")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max_by(F.struct("end0", "end1"), "at").alias("end"))
+    # a file's splits are few: their states one after the other, each as (split, lines before, state at its begin)
+    start = F.struct(F.array().cast("array<struct<split:bigint,before:bigint,quoted:boolean>>").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("quoted"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(x["split"].alias("split"), s["n"].alias("before"), s["quoted"].alias("quoted")))).alias("out"), (s["n"] + x["n"]).alias("n"), F.when(s["quoted"], x["end"]["end1"]).otherwise(x["end"]["end0"]).alias("quoted"))
+    told = splits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("split", "n", "first", "end"))).alias("x")).select("path", F.explode(F.aggregate("x", start, step)["out"]).alias("s")).select("path", "s.*")
+    placed = lines.join(splits.select("path", "split", "first").join(told, ["path", "split"]), ["path", "split"])
+    state = lambda c: F.when(F.col("quoted"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    out = placed.select("path", "split", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "raw", (~state("begin")).alias("opened"), (~state("end")).alias("closed"))
+    return out, _verdicts(lines)
+
+
+def _csv_records(lines: DataFrame) -> DataFrame:
+    """path, line (where it begins), raw: lines that a quoted field goes on over are put together."""
+    whole = lines.where("opened and closed").select("path", "line", "raw")
+    parts = put_aside(lines.where("not (opened and closed)"), "csv-parts")
+    own = F.max(F.when(F.col("opened"), F.col("line")))
+    last = parts.groupBy("path", "split").agg(own.alias("last"))
+    carried = last.select("path", "split", F.max("last").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # a row a split
+    begins = parts.withColumn("begin", own.over(Window.partitionBy("path", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["path", "split"])
+    joined = begins.groupBy("path", F.coalesce("begin", "carried").alias("first")).agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("x"))
+    lists = F.transform("x", lambda x: F.decode(x["raw"], "ISO-8859-1"))  # bytes as characters, there and back
+    return whole.unionByName(joined.select("path", F.col("first").alias("line"), F.encode(F.array_join(lists, "\n"), "ISO-8859-1").alias("raw")))
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of one or more CSV files with a header, as cleaned strings, with path and ordinal. Missing required columns and empty files are errors."""
-    import csv
-    import io
+    """Rows of one or more CSV files with a header, as cleaned strings, with path and ordinal. Missing required columns and empty files are errors.
 
-    files = spark.read.format("binaryFile").load(path).select("path", decode_text("content").alias("text"))
+    Files of any size are read in splits: each file's encoding is the first that
+    takes all its lines, and a quoted field may go on over lines and splits. The
+    ordinal is the number of the line that a row begins on (where carriage
+    returns alone end rows, they count on from there).
+    """
+    lines, verdicts = _csv_lines(spark, path)
+    records = _csv_records(lines).join(verdicts, "path")
+    text = _decoded(F.col("raw"), F.col("encoding"))
+    records = records.select("path", "line", F.when(F.col("line") == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text).alias("text"))
+    heads = records.where("line = 1").select("path", F.col("text").alias("head"))
+    files = spark.read.format("binaryFile").load(path).select("path")  # names alone, those of files without a line, too
     fields = [T.StructField("path", T.StringType()), T.StructField("ordinal", T.LongType()), *(T.StructField(c, T.StringType()) for c in columns)]
 
-    def parse(batches):
+    def checked(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for name, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                reader = csv.DictReader(io.StringIO(text, newline=""))
-                missing = [c for c in columns if c not in (reader.fieldnames or [])]
+            for name, head, rows in zip(*(batch.column(c).to_pylist() for c in ("path", "head", "rows"))):
+                own = _csv_rows(head or "")
+                missing = [c for c in columns if c not in (own[0] if own else [])]
                 if missing:
                     raise ValueError(f"{name} is missing required columns: {missing}")
-                rows, n = [], 0
-                for i, row in enumerate(reader):
-                    n = i + 1
-                    rows.append({"path": name, "ordinal": i} | {c: (row.get(c) or "").strip() for c in columns})
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows = []
-                if not n:
+                if not rows and len(own) < 2:
                     raise ValueError(f"{name} is empty.")
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield batch.select(["path", "head"])
+
+    def parse(batches):
+        import pyarrow as pa
 
-    import pyarrow as pa
+        schema = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), *((c, pa.string()) for c in columns)])
+        names: dict[str, list[str]] = {}
+        for batch in batches:
+            out = []
+            for name, line, text, head in zip(*(batch.column(c).to_pylist() for c in ("path", "line", "text", "head"))):
+                if head not in names:
+                    names[head] = _csv_rows(head)[0]
+                for i, row in enumerate(_csv_rows(text)[line == 1 :]):
+                    values = dict(zip(names[head], row))
+                    out.append({"path": name, "ordinal": line + i + (line == 1)} | {c: values.get(c, "").strip() for c in columns})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    counted = records.where((F.col("line") > 1) & (F.trim(F.btrim("text", F.lit("\r"))) != "")).groupBy("path").agg(F.count("*").alias("rows"))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = files.select(bare(F.col("path")).alias("at"))
+    told = listed.join(heads.withColumn("at", bare(F.col("path"))), "at", "left").select(F.coalesce("path", "at").alias("path"), "head").join(counted, "path", "left").mapInArrow(checked, "path string, head string")
+    return records.join(told, "path").mapInArrow(parse, T.StructType(fields))
+
+
+def _csv_rows(text: str) -> list[list[str]]:
+    import csv
+    import io
 
-    schema = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), *((c, pa.string()) for c in columns)])
-    return files.mapInArrow(parse, T.StructType(fields))
+    return [row for row in csv.reader(io.StringIO(text, newline="")) if row]
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -347,6 +347,34 @@ def test_csv_encodings_and_checks(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "e.csv"), ("file_name",)).collect()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_csv_in_splits_equals_a_reader_of_whole_files(spark, tmp_path, seed):
+    """Quoted fields over lines and splits, quotes inside plain fields, all encodings with one late odd byte, blank lines, both kinds of line ends."""
+    import csv
+    import random
+
+    rng, want = random.Random(seed), set()
+    for name, encoding in (("a", "utf-8-sig"), ("b", "utf-8"), ("c", "cp1252"), ("d", "latin-1")):
+        end = rng.choice(["\n", "\r\n"])
+        field = lambda: rng.choice(["x", "", " pad ", "a,b", 'say ""hi""', f"two{end}lines", f"{end}{end}three, ", "plain" * rng.randrange(8), "é" if name != "a" else "漢é"])
+        rows = [",".join([f"{name}{i}", f'5" {i}' if rng.random() < 0.1 else f'"{field()}"' if rng.random() < 0.6 else rng.choice(["p", "q r", ""])]) for i in range(150)]
+        rows = [r for x in rows for r in ([x, ""] if rng.random() < 0.05 else [x])]
+        data = (end.join(["file_name,x", *rows, f"{name}-last,é"]) + end).encode(encoding)
+        (tmp_path / f"{name}.csv").write_bytes(data + {"c": b"z,\x80\n", "d": b"z,\x81\n"}.get(name, b""))
+        data = (tmp_path / f"{name}.csv").read_bytes()
+        want |= {(r["file_name"].strip(), (r["x"] or "").strip()) for r in csv.DictReader(io.StringIO(data.decode(encoding if name != "c" else "cp1252"), newline=""))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = files.read_csv(spark, str(tmp_path), ("file_name", "x")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file_name, r.x) for r in rows} == want and len(rows) == len(want)
+    for name in "abcd":
+        own = [r.file_name for r in sorted((r for r in rows if r.path.endswith(f"{name}.csv")), key=lambda r: r.ordinal)]
+        assert own == sorted((x for x in own if x[1:].isdigit()), key=lambda x: int(x[1:])) + [f"{name}-last"] + (["z"] if name in "cd" else [])
+
+
 def test_audio_and_discovery(spark, tmp_path):
     for at, seconds in (("x/a.wav", 0.5), ("y/a.wav", 1.0), ("y/b.wav", None)):
         (tmp_path / at).parent.mkdir(exist_ok=True)

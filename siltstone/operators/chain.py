@@ -123,15 +123,14 @@ def plan(units: DataFrame, chain: Chain) -> DataFrame:
 
 def dry_run(units: DataFrame, chain: Chain) -> DataFrame:
     """Everything is looked at as for a run, and no model is called: the counts of a run that is yet to come, with the units that break a rule as errors."""
-    planned = plan(units, chain)
-    broken = planned.where("problem is not null")
-    none = planned.limit(0)
-    return generate.generation_stats(planned.count(), chain.each, none, broken, none, dry_run=True)
+    n = plan(units, chain).agg(F.count("*").alias("planned"), F.count_if(F.col("problem").isNotNull()).alias("broken")).first()
+    return generate.generation_stats(units.sparkSession, n["planned"], chain.each, 0, n["broken"], 0, dry_run=True)
 
 
 def run(units: DataFrame, chain: Chain) -> Outcome:
-    """All units through the chain. Units: UNIT_COLUMNS, with unit_index numbering them."""
-    planned = put_aside(plan(units, chain), "planned")
+    """All units through the chain. Units: UNIT_COLUMNS, with unit_index numbering them. What is counted is counted as it is written."""
+    planned = put_aside(plan(units, chain), "planned", {"n": F.count(F.lit(1)), "broken": F.count_if(F.col("problem").isNotNull())})
+    n_errors = planned.siltstone_counts["broken"]
     none = F.array().cast("array<string>")
     start = planned.withColumn("errors", F.when(F.col("problem").isNotNull(), F.array(F.concat(F.lit("unit: "), "problem"))).otherwise(none)).drop("problem")
     start = start.withColumn("visible_reasoning_stripped", none)
@@ -145,18 +144,20 @@ def run(units: DataFrame, chain: Chain) -> Outcome:
         stop = {"wave": number, "after_wave": lambda bad, at=stage.name: _stop_at(chain, [generate.error_rows(bad, at)])} if chain.on_error == "abort" else {}
         ok, failed = generate.with_retries(rows, stage, asked, chain.reasoning, chain.pool, chain.concurrency, chain.log, ("unit_id", "unit_index", "candidate_index"), **stop)
         errors.append(generate.error_rows(failed, stage.name))
+        n_errors += failed.siltstone_counts["open"]
         seen = F.concat("visible_reasoning_stripped", F.when(F.col("stripped"), F.array(F.lit(stage.name))).otherwise(none))
         rows = ok.withColumns({"visible_reasoning_stripped": seen, name: F.col("record"), f"raw_{name}_text": F.col("text")}).drop("record", "text", "stripped", "attempt")
     told = dedup.keep_distinct(
         rows.withColumns({"__claim": F.col("claim.claim_text"), "__question": F.col("qa.question")}), "unit_id", "condition_index", "__claim", "__question",
         F.concat_ws("|", "claim.claim_status", F.array_join("claim.evidence_sources", ",")), chain.threshold,
     ).drop("__claim", "__question")
-    told = put_aside(told, "distinct")
+    told = put_aside(told, "distinct", {"kept": F.count_if("kept"), "gone": F.count_if(~F.col("kept"))})
     kept, duplicates = told.where("kept").drop("kept"), told.where("not kept").drop("kept")
     failed = errors[0]
     for e in errors[1:]:
         failed = failed.unionByName(e)
-    stats = generate.generation_stats(planned.count(), chain.each, kept, failed, duplicates)
+    counts = told.siltstone_counts
+    stats = generate.generation_stats(units.sparkSession, planned.siltstone_counts["n"], chain.each, counts["kept"], n_errors, counts["gone"])
     return Outcome(generate.final_examples(kept), generate.audit_rows(kept), failed, duplicates, stats)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -37,12 +37,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def put_aside(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends here, and a lost executor costs a reread."""
+def put_aside(df: DataFrame, name: str = "table", counts: dict[str, Column] | None = None, **options: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends here, and a lost executor costs a reread.
+
+    ``counts`` are aggregates that are observed as the rows are written, with no
+    job of their own; the result has them as ``siltstone_counts``.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    seen = Observation() if counts else None
+    watched = df.observe(seen, *[c.alias(n) for n, c in counts.items()]) if counts else df
+    watched.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.siltstone_path = path
+    out.siltstone_path, out.siltstone_counts = path, seen.get if seen else {}
     return out
 
 

@@ -141,10 +141,10 @@ def _sharing(rows: DataFrame, threshold: float, starred: bool = False) -> DataFr
     behind = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
     half = F.ceil((needed - F.greatest(behind("n_u"), behind("n_v"))) / 2)
     room = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
-    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _CELLS[1:]), F.bit_count(F.col(f"{_CELLS[0]}_u").bitwiseXOR(F.col(f"{_CELLS[0]}_v"))))
-    rows = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed) & (apart <= F.col("n_u") + F.col("n_v") - 2 * needed))
+    rows = rows.where((F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= needed))
     if not starred:
-        rows = rows.where(room > needed - half)
+        differ = [F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _CELLS]
+        rows = rows.where((room > needed - half) & (sum(differ[1:], differ[0]) <= F.col("n_u") + F.col("n_v") - 2 * needed))
     counted = rows.groupBy(F.col("words_u").alias("u"), F.col("words_v").alias("v"), "n_u", "n_v").agg(F.count("*").alias("n"), F.min("at_u").alias("at_u"), F.min("at_v").alias("at_v"))
     return counted.where((room >= needed) & (F.col("n") >= half)).select("u", "v")
 
@@ -177,15 +177,15 @@ def _confirmed(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, threshold:
 
 
 def _shared_heads(firsts: DataFrame) -> DataFrame:
-    """The shingles in the prefixes that several texts share: words, n, at, shingle, sketch."""
-    every = firsts.where("n > 0").select("words", "n", *_CELLS, F.posexplode("prefix").alias("at", "shingle"))
+    """The shingles in the prefixes that several texts share: words, n, at, shingle."""
+    every = firsts.where("n > 0").select("words", "n", F.posexplode("prefix").alias("at", "shingle"))
     shared = every.groupBy("shingle").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high").select("shingle")
     return _shared.materialize(every.join(shared, "shingle", "left_semi"), "shared-heads")
 
 
 def _between(heads: DataFrame, group: DataFrame) -> DataFrame:
     """Those of the heads that texts of several groups share, with root. Groups only merge, so the next round needs no others; heads are deleted."""
-    placed = heads.select("words", "n", "at", "shingle", *_CELLS).join(group.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words"))
+    placed = heads.select("words", "n", "at", "shingle").join(group.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words"))
     shared = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     out = _shared.materialize(placed.join(shared, "shingle", "left_semi"), "heads-between")
     _shared.drop(heads)
@@ -213,7 +213,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     proposed = near.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = firsts.where("n > 0").join(with_fp, "fp").select(F.col("words").alias("u"), F.col("first").alias("v"))
     sure = _confirmed(proposed.unionByName(same), firsts, rows, threshold, width)
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at", *_CELLS)]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("words", "n", "root", "at")]
     group, heads = components(sure), _shared_heads(firsts)
     merged = lambda links: components(group.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
     for turn in range(STAR_ROUNDS):  # each text with one that has the shingle
@@ -223,9 +223,11 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         group = merged(_confirmed(_sharing(found, threshold, starred=True), firsts, rows, threshold, width))
     # the rest: all pairs between groups
     heads = _between(heads, group)
-    found = heads.select("shingle", *side("u")).join(heads.select("shingle", *side("v")), "shingle").where("words_u < words_v")
+    sketched = _shared.materialize(heads.join(firsts.select("words", *_CELLS), "words"), "sketched-heads")
+    both = lambda s: [*side(s), *[F.col(c).alias(f"{c}_{s}") for c in _CELLS]]
+    found = sketched.select("shingle", *both("u")).join(sketched.select("shingle", *both("v")), "shingle").where("words_u < words_v")
     root = merged(_confirmed(_sharing(found, threshold), firsts, rows, threshold, width))
-    _shared.drop(heads)
+    _shared.drop(heads, sketched)
     labelled = _shared.materialize(nodes.join(root.select(F.col("node").alias("words"), "root"), "words", "left").withColumn("root", F.coalesce("root", "words")), "labelled")
     whole = labelled.groupBy("root").agg(F.min("id").alias("component_id"), F.coalesce(F.min_by("keep_row", "id"), F.min("keep_row")).alias("keep_row"))
     of = _shared.materialize(labelled.select("words", "root").join(whole, "root").select("words", "component_id", "keep_row"), "group-of")

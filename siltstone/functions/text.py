@@ -155,6 +155,13 @@ def nonblank(items: Column) -> Column:
     return F.coalesce(F.filter(F.transform(items, lambda x: strip(F.coalesce(x.cast("string"), F.lit("")))), lambda x: x != ""), F.array().cast("array<string>"))
 
 
+def caption_groups(text: Column) -> Column:
+    """Lists of captions out of a JSON text: an item that is no list is a list of one, a null item an empty list; captions are stripped, blank ones left out. What is no list gives none."""
+    lists = F.from_json(text, "array<string>")  # items that are lists or objects as their JSON text
+    inner = lambda x: F.coalesce(F.when(F.startswith(x, F.lit("[")), F.from_json(x, "array<string>")), F.array(x))
+    return F.coalesce(F.when(F.startswith(F.ltrim(text), F.lit("[")), F.transform(lists, lambda x: F.when(x.isNull(), F.array().cast("array<string>")).otherwise(nonblank(inner(x))))), F.array().cast("array<array<string>>"))
+
+
 def split_keywords(text: Column) -> Column:
     return nonblank(F.when(F.contains(text, F.lit(";")), F.split(text, ";")).otherwise(F.split(text, ",")))
 

@@ -327,6 +327,22 @@ def unit_stats(spark, d):
     return stats.select("distinct_members_used", "units_generated", "subset_records_selected")
 
 
+@query("""
+    with o as (select doc_id, 'doc' || doc_id as id, '/data/' || lang || '/doc' || doc_id || '.WAV' as path, lang, row_number() over (order by doc_id) as n from documents)
+    select 'unit_' || substr(sha1(array_to_string(list_sort([x.id, y.id]), '::')), 1, 16) as unit_id, 'audio_unit_manifest_v1' as schema_version, 'caption_grounded' as grounding_standard, 2 as audio_count,
+           x.id || '|' || y.id as audio_ids, x.path || '|' || y.path as local_audio_paths, x.lang || '|' || y.lang as captions from o x join o y on y.n = x.n + 1""")
+def unit_records(spark, d):
+    """Each document with the next one as a unit, its members in order."""
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("doc"), "doc_id")
+    member = F.struct(name.alias("audio_id"), F.concat(F.lit("/data/"), "lang", F.lit("/"), name, F.lit(".WAV")).alias("local_audio_path"), name.alias("audio_file_name"), F.array("lang").alias("captions"))
+    placed = A.with_ordinal(docs.select("doc_id", member.alias("m")), F.col("doc_id"))
+    units = placed.select("row_ordinal", F.col("m").alias("m0")).join(placed.select((F.col("row_ordinal") - 1).alias("row_ordinal"), F.col("m").alias("m1")), "row_ordinal")
+    out = U.unit_records(units, 2)
+    joined = [F.array_join(c, "|").alias(n) for c, n in (("audio_ids", "audio_ids"), ("local_audio_paths", "local_audio_paths"), (F.flatten("audio_captions"), "captions"))]
+    return out.select("unit_id", "schema_version", "grounding_standard", "audio_count", *joined)
+
+
 @query("""
     select doc_id, k, i, case when i % 2 = 0 then 'supported' else 'contradicted' end || '_by_AUDIO_' || (i // 2 + 1) as condition_name,
            case when i % 2 = 0 then 'SUPPORTED' else 'CONTRADICTED' end as claim_status, 'AUDIO_' || (i // 2 + 1) as source
@@ -344,6 +360,25 @@ def candidate_fanout(spark, d):
     return out.withColumn("condition_name", U.choose_condition(F.lit(2), F.col("condition_index"))["condition_name"])
 
 
+@query(f"""
+    select doc_id, array_to_string({_LINES}, '|') || '##' || lang as groups, 3::bigint as n from documents""")
+def caption_groups(spark, d):
+    """A list of lines, a null and a plain text as JSON, made lists of captions."""
+    docs = table(spark, d, "documents")
+    said = F.concat(F.lit("["), F.to_json(F.split("text", "\n")), F.lit(",null,"), F.to_json(F.array("lang")).substr(F.lit(2), F.length(F.to_json(F.array("lang"))) - 2), F.lit("]"))
+    groups = X.caption_groups(said)
+    return docs.select("doc_id", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), "#").alias("groups"), F.size(groups).cast("long").alias("n"))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then 'no_path_hint' else 'none' end as problem from documents""")
+def manifest_rules(spark, d):
+    """Rows with a hint of a path in one of three columns, or in none."""
+    docs = table(spark, d, "documents")
+    hint = lambda k: F.when(F.col("doc_id") % 4 == k, F.concat(F.lit("a/"), "doc_id")).when(F.col("doc_id") % 2 == 0, "")
+    rows = docs.select("doc_id", hint(1).alias("audio_file_name"), hint(2).alias("local_audio_path"), hint(3).alias("original_file_name"))
+    return V.require(rows, ["doc_id", "audio_file_name"]).select("doc_id", F.coalesce(V.first_problem(V.manifest_rules()), F.lit("none")).alias("problem"))
+
+
 @query(f"""
     with c as (select doc_id, {_LINES} as c from documents)
     select doc_id, array_to_string(case when len(c) <= 3 then c else list_transform(range(3), lambda i: c[(doc_id + i) % len(c) + 1]) end, '|') as captions from c""")
@@ -627,7 +662,7 @@ _OUTCOME = f"""
     with c as (select doc_id, {_LINES} as c from documents), k as (select doc_id, unnest([0, 1]) as k, c from c),
          t as (select doc_id, k, len(c) > 0 as spoken, case when len(c) <= 3 then c[1] else c[(doc_id + k) % len(c) + 1] end as line from k),
          p as (select doc_id, k, spoken, array_to_string(list_filter(string_split(regexp_replace(line, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:6], ' ') as said from t),
-         q as (select doc_id, k, said, spoken and len({_ground('said')}) > 0 as grounded, 'they ' || case when k = 1 and length(said) % 5 > 0 then 'never ' else '' end || 'said ' || said as claim from p),
+         q as (select doc_id, k, spoken, said, spoken and len({_ground('said')}) > 0 as grounded, 'they ' || case when k = 1 and length(said) % 5 > 0 then 'never ' else '' end || 'said ' || said as claim from p),
          v as (select *, 'Is it right that ' || claim || '?' as question, grounded and length('Is it right that ' || claim || '?') % 7 > 0 as verified from q),
          o as (select *, case when not verified or grounded is null then 'error' when k = 1 and exists (select 1 from v b where b.doc_id = v.doc_id and b.k = 0 and b.verified and {_folded('b.claim')} = {_folded('v.claim')}) then 'duplicate' else 'example' end as outcome from v)"""
 
@@ -640,6 +675,14 @@ def unit_run(spark, d):
     return kept.unionByName(text(out.duplicates, "duplicate")).unionByName(out.errors.select("unit_id", "candidate_index", F.lit("error").alias("outcome"), F.lit("").alias("question")))
 
 
+@query(f"""{_OUTCOME} select 'doc' || doc_id as unit_id, k as candidate_index, case when not spoken then 'unit' when grounded then 'VerifierAgent' else 'ClaimAgent' end as stage, 'InvalidAnswer' as error_type,
+    doc_id as unit_index, null::int as http_status, null::boolean as retryable, case when spoken then 1 end as message_count from o where outcome = 'error'""")
+def error_fields(spark, d):
+    """Errors of a run, with where they came from and what had been asked."""
+    errors = _run_chain(spark, d).errors
+    return errors.select("unit_id", "candidate_index", "stage", "error_type", "unit_index", "http_status", "retryable", F.col("request_summary.message_count").alias("message_count"))
+
+
 @query(f"""{_OUTCOME} select count(*) as candidate_generations_planned, count(*) filter (outcome = 'example') as examples_written, count(*) filter (outcome = 'error') as errors_written,
     count(*) filter (outcome = 'duplicate') as near_duplicates_removed, count(*) as candidate_generations_completed from o""")
 def example_stats(spark, d):

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -95,3 +96,15 @@ def test_ids(spark):
     assert got == "synthetic_" + hashlib.sha1(b"u\n\nq").hexdigest()[:16]
     draws = [r[0] for r in spark.range(3000).select(H.seeded_index(1, 10, F.col("id"))).collect()]
     assert set(draws) == set(range(10)) and max(draws.count(i) for i in range(10)) < 300 + 6 * math.sqrt(300)
+
+
+def test_caption_groups(spark):
+    def plain(value):
+        if not isinstance(value, list):
+            return []
+        return [[] if g is None else [t for x in (g if isinstance(g, list) else [g]) if (t := str(x).strip())] for g in value]
+
+    cases = [[[" a ", "", "b"], None, " c ", "", ["\u00a0"], []], "text", None, {"a": 1}, [], [["x"]], [None], ["plain [not a list]", 5, [7, "y"]]]
+    rows = spark.createDataFrame([(i, json.dumps(c, ensure_ascii=False)) for i, c in enumerate(cases)] + [(99, None), (98, "no json")], "i int, t string")
+    got = {r.i: r.g for r in rows.select("i", X.caption_groups(F.col("t")).alias("g")).collect()}
+    assert got == {i: plain(c) for i, c in enumerate(cases)} | {99: [], 98: []}

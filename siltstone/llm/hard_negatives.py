@@ -247,7 +247,9 @@ def _joined(anchors: DataFrame, blocks: DataFrame, space: Space, parts: int, bes
                 own = np.flatnonzero(grp == g)
                 r = _pack(ids[own], labels[own], x[own], space.wire)
                 del r["n"]
-                yield pa.RecordBatch.from_pylist([{"grp": g, "part": p, "kind": 0, "bands": bands[own].astype("<i8").tobytes()} | r for p in range(parts)], schema=schema)
+                r |= {"grp": g, "kind": 0, "bands": bands[own].astype("<i8").tobytes()}
+                for lo in range(0, parts, 16):
+                    yield pa.RecordBatch.from_pylist([r | {"part": p} for p in range(lo, min(lo + 16, parts))], schema=schema)
 
     dealt = anchors.drop("cells").transform(_shared.in_arrow, pack, "grp int, part int, kind int, ids binary, labels binary, x binary, bands binary").unionByName(sent)
 

@@ -91,3 +91,9 @@ def test_retry_policy():
     with pytest.raises(G.HttpFailure):
         policy.run(lambda: (_ for _ in ()).throw(G.HttpFailure(400, "bad")), lambda e: e.retryable)
     assert [G.RetryPolicy(jitter=0.0).delay(n) for n in (1, 2, 3, 9)] == [1.0, 2.0, 4.0, 30.0]
+
+
+def test_an_answer_is_taken_apart_once(spark):
+    """Each field of a response is read in one place, whatever is asked of it."""
+    df = spark.range(1).select(J.message_text(F.lit("{}"), structured=True).alias("m"))
+    assert df._jdf.queryExecution().analyzed().toString().count("get_json_object(") == 5

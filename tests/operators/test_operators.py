@@ -518,6 +518,19 @@ def test_finalize_sorts_nothing(spark, tmp_path):
     assert in_order(spark, target) == [(i, x) for x in range(7) for i in range(1_000) if i % 7 == x]
 
 
+def test_finalize_reads_a_footer_a_write(spark, tmp_path, monkeypatch):
+    writer, target = sinks.BatchWriter(spark, str(tmp_path / "batches")), str(tmp_path / "all")
+    writer.commit_all(spark.range(400).select(F.col("id"), (F.col("id") % 40).alias("x")), F.col("x"), order=["id"])
+    writer.commit(40, spark.createDataFrame([(1, 40, "n")], "id long, x long, note string"))
+    read, plain = [], promote.as_written
+    monkeypatch.setattr(promote, "as_written", lambda s: read.append(s) or plain(s))
+    assert [f.name for f in writer.schema().fields] == ["id", "x", "note"]
+    assert len({id(s) for s in read}) == 2
+    monkeypatch.undo()
+    writer.finalize(target)
+    assert in_order(spark, target) == [(i, x, None) for x in range(40) for i in range(400) if i % 40 == x] + [(1, 40, "n")]
+
+
 def test_event_log_errors_and_stats(spark, tmp_path):
     log = sinks.EventLog(spark, str(tmp_path / "log"), "run")
     log.error("claim", ValueError("bad"), unit="u1")

@@ -1,4 +1,5 @@
 import io
+import hashlib
 import json
 import wave
 from difflib import SequenceMatcher
@@ -164,6 +165,17 @@ def test_units_come_in_the_order_of_the_walk(spark, monkeypatch, k, strategy, jo
         assert stats.first().candidate_units_considered < 200 < stats.first().possible_unordered_units
 
 
+def test_a_seeded_order_is_one_over_all_choices(spark):
+    """No pair is left out because its records lie far apart in the shuffle."""
+    rows = spark.createDataFrame([(i, ["x", f"t{i % 3}"]) for i in range(60)], "id int, tokens array<string>")
+    chosen, _, stats = U.create_units(rows, U.UnitPlan(members=2, count=20, strategy="similar", similar_from=0.9, order="seeded"), "id", "tokens")
+    name = lambda a, b: "unit_" + hashlib.sha1("::".join(sorted([str(a), str(b)])).encode()).hexdigest()[:16]
+    every = [name(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3]
+    want = sorted(every, key=lambda u: (hashlib.sha1(f"42:{u}".encode()).hexdigest(), u))[:20]
+    assert [r.unit_id for r in chosen.orderBy("priority", "unit_id").collect()] == want
+    assert stats.first().candidate_units_considered == 60 * 59 // 2
+
+
 def test_plan_choice():
     assert U.choose_plan(10, 2, "similar", 100) == "walk" and U.choose_plan(1000, 2, "random", 100) == "sample"
     for bad in ((1000, 2, "similar", 100), (1, 2, "random", 100), (5, 0, "random", 100)):

@@ -176,6 +176,26 @@ def test_a_seeded_order_is_one_over_all_choices(spark):
     assert stats.first().candidate_units_considered == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("strategy", ["similar", "dissimilar"])
+def test_a_walk_keeps_keys_and_as_many_units_as_asked(spark, monkeypatch, strategy):
+    """Token sets are not carried from a walk's comparison into what it puts aside."""
+    seen, plain = [], U.put_aside
+    monkeypatch.setattr(U, "put_aside", lambda df, name="table", *args, **options: seen.append((name, plain(df, name, *args, **options))) or seen[-1][1])
+    rows = spark.createDataFrame([(i, [f"t{i % 2}", f"u{i % 2}"]) for i in range(40)], "id int, tokens array<string>")
+    chosen, _, _ = U.create_units(rows, U.UnitPlan(members=2, count=5, strategy=strategy), "id", "tokens")
+    walked = [df for name, df in seen if name == "allowed-units"]
+    assert walked and all(df.schema["m0"].dataType.fieldNames() == ["ord", "id"] and df.count() <= 5 for df in walked)
+    assert chosen.count() == 5 and all(r.m1.tokens == [f"t{r.m1.id % 2}", f"u{r.m1.id % 2}"] for r in chosen.collect())
+
+
+def test_pairs_are_ruled_out_inside_the_join(spark):
+    """Of many sets that share one rare token and little else, none leaves the join to be compared."""
+    rows = spark.createDataFrame([(i, ["rare", *(f"t{i}-{j}" for j in range(20))]) for i in range(30)], "id int, tokens array<string>")
+    joins = U.similar_pairs(rows, 0.5)
+    assert "bit_count" in joins._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count() == 0
+
+
 def test_plan_choice():
     assert U.choose_plan(10, 2, "similar", 100) == "walk" and U.choose_plan(1000, 2, "random", 100) == "sample"
     for bad in ((1000, 2, "similar", 100), (1, 2, "random", 100), (5, 0, "random", 100)):

@@ -172,3 +172,15 @@ def test_configuration(tmp_path, monkeypatch):
     assert config.load(str(tmp_path / "c.json")) == CONFIG
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "l.json"))
+
+
+def test_captions_end_at_the_first_stage(spark, monkeypatch):
+    """What later stages write holds what a prompt shows of the captions, not all of them; the prompts are the same."""
+    from siltstone.plans import catalogue
+
+    seen, plain = [], G.put_aside
+    monkeypatch.setattr(G, "put_aside", lambda df, name="table", *args, **options: seen.append((name, plain(df, name, *args, **options))) or seen[-1][1])
+    catalogue._run_chain(spark, "/root/testdata/sf0.001")
+    judged = [df for name, df in seen if name == "judged"]
+    assert judged[0].where("audio_captions is not null").count() > 0
+    assert judged[-1].count() > 0 and judged[-1].where("audio_captions is not null or audio_context is null").isEmpty()

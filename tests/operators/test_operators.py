@@ -338,6 +338,45 @@ def test_near_dedup_equals_a_walk(spark, threshold):
     assert sorted(r.kept for r in got if r.unit == 9) == [False, True, True]
 
 
+@pytest.mark.parametrize(("pairwise", "part"), [(2048, 64), (2048, 7), (40, 7), (1, 1)])
+def test_near_dedup_of_large_units_equals_a_walk(spark, monkeypatch, pairwise, part):
+    """Pairs come by units, in parts, up to a number of candidates, and by runs of characters beyond it; only then are runs written."""
+    monkeypatch.setattr(D, "PAIRWISE", pairwise)
+    monkeypatch.setattr(D, "PART", part)
+    rng = np.random.default_rng(7)
+    words = ["dog", "dogs", "barks", "loudly", "rain", "falls", "on", "the", "roof", "x", "\U0001f415"]
+    rows = [(None if n % 5 == 0 else n % 2, n, " ".join(rng.choice(words, rng.integers(3, 9))), str(rng.choice(["q", "is it"])), str(rng.choice(["S", "C"], p=[0.8, 0.2]))) for n in range(240)]
+    rows += [(u, n + 240, claim.replace("the", "teh"), q, sig) for u, n, claim, q, sig in rows[::6]]
+    df = spark.createDataFrame(rows, "unit int, n int, claim string, question string, sig string").repartition(5)
+    written, put_aside = [], D.put_aside
+    monkeypatch.setattr(D, "put_aside", lambda df, name="table", *a: written.append(name) or put_aside(df, name, *a))
+    got = D.keep_distinct(df, "unit", "n", "claim", "question", F.col("sig"), 0.9).collect()
+    folded = [(u, n, c.replace("\U0001f415", "").split(), q, sig) for u, n, c, q, sig in rows]  # what is no letter and no digit goes
+    want = {n: kept for _, n, *_, kept in walked([(u, n, " ".join(c), q, sig) for u, n, c, q, sig in folded], 0.9)}
+    assert {r.n: r.kept for r in got} == want and 40 <= sum(not k for k in want.values()) < 200
+    assert ("runs" in written) == (pairwise < 2048)
+
+
+def test_common_subsequences_bound_the_ratio(monkeypatch):
+    """Texts of one vocabulary that are not alike are told apart without the slow ratio; those that are alike are not."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aehinorst"), rng.integers(2, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 100)) for _ in range(6)]
+    for a in texts:
+        near = a[:200] + a[215:]
+        assert D.close(a, "q", near, "q", 0.9) and D.close(near, "q", a, "q", 0.9)
+        assert D.longest_common(a, near) == len(near)
+    for a, b in [("abcde", "ace"), ("", "a"), ("a", ""), ("ab" * 40, "ba" * 40), ("\U0001f415x", "x\U0001f415"), ("xa", "ay")]:
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, c in enumerate(a):
+            for j, d in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if c == d else max(table[i][j + 1], table[i + 1][j])
+        assert D.longest_common(a, b) == table[-1][-1]
+        assert D.longest_common(a, b) >= sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: pytest.fail("the slow ratio of texts that are not alike"))
+    assert not any(D.close(a, "q", b, "q", 0.9) for a in texts for b in texts if a is not b)
+
+
 def test_exact_dedup_of_candidates_takes_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 4, "a", "q"), (1, 4, "A!", "q"), (1, None, "a", "q"), (None, None, "a", "q"), (1, 5, "b", None), (None, 2, "a", "q")], "unit int, n int, claim string, question string")
     got = D.keep_distinct_exact(df, "unit", "n", "claim", "question").collect()

@@ -5,11 +5,13 @@ import json
 import os
 import threading
 import time
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone import schemas as S
+from siltstone.operators import answers
 from siltstone.operators import chain as C
 from siltstone.operators import generate as G
 from siltstone.operators.answers import AnswerLog
@@ -75,6 +77,31 @@ def test_rows_alike_share_an_answer_and_failures_are_asked_again(spark, tmp_path
     assert ok.count() == 4 and bad.isEmpty() and len(lines(calls)) == 5
 
 
+@pytest.mark.parametrize("slow", [False, True])
+def test_tasks_of_fast_answers_grow_and_leave_slow_ones(spark, tmp_path, monkeypatch, slow):
+    """Answers that come fast make few files; where they turn slow, what a grown task does not come to goes to small ones. Each is asked for once."""
+    monkeypatch.setattr(answers, "TASKS", 4)
+    monkeypatch.setattr(answers, "SECONDS", 20.0 if not slow else 0.5)
+    monkeypatch.setattr(answers, "STEP", 16)
+    monkeypatch.setattr(answers, "time", types.SimpleNamespace(monotonic=iter(x / 100 for x in range(100)).__next__))  # as if each wave took no time
+    calls = str(tmp_path / "calls")
+
+    def script(prompt):
+        if slow and len(lines(calls)) > 40:
+            time.sleep(0.1)
+        told(calls, prompt)
+        return ANSWER
+
+    rows = spark.range(400)
+    log = AnswerLog(str(tmp_path / "log"), each=2)
+    for _ in range(2):
+        ok, bad = G.with_retries(rows, STAGE, G.ScriptedGenerator(script), pool=2, log=log, identity=("id",))
+        assert sorted(r.id for r in ok.collect()) == list(range(400)) and bad.isEmpty()
+        assert len(lines(calls)) == len(set(lines(calls))) == 400
+    files = len([f for f in os.listdir(tmp_path / "log") if f.endswith(".parquet")])
+    assert files > 40 if slow else files < 40  # of 400 rows, four a small task
+
+
 @pytest.mark.parametrize("bad", [4, 220])
 def test_a_run_ends_at_its_first_failure(spark, tmp_path, bad):
     """Of 400 candidates those of the waves up to the one with the failure are asked for, twice at most."""

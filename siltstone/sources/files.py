@@ -21,10 +21,9 @@ _LACKING = "".join(chr(b) for b, c in zip(range(0x80, 0xA0), _CP1252) if c == "\
 _HELD = "".join(chr(b) for b, c in zip(range(0x80, 0xA0), _CP1252) if c != "\ufffd")
 
 
-def _verdicts(lines: DataFrame) -> DataFrame:
+def _verdicts(splits: DataFrame) -> DataFrame:
     """path, encoding: the first encoding that takes all bytes of a file. No character of any goes beyond a line."""
-    latin = F.decode("raw", "ISO-8859-1")
-    fits = lines.groupBy("path").agg(F.bool_and("is_utf8").alias("utf8"), F.bool_and(F.col("is_utf8") | ~latin.rlike(f"[{_LACKING}]")).alias("cp1252"))
+    fits = splits.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252"))
     return fits.select("path", F.when(F.col("utf8"), ENCODINGS[1]).when(F.col("cp1252"), ENCODINGS[2]).otherwise(ENCODINGS[3]).alias("encoding"))
 
 
@@ -62,10 +61,10 @@ def in_quotes(line: bytes, quoted: bool) -> bool:
 
 
 def _csv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(path, line, raw, opened, closed: whether the line begins and ends outside quotes, split; verdicts on encodings). A file is read in splits.
+    """(path, line, raw, opened, closed: whether the line begins and ends outside quotes; verdicts on encodings). A file is read in splits.
 
     Each split is walked through for both states in which it may begin; what it
-    makes of them is then handed from split to split.
+    makes of them is then handed from split to split, and sent to the lines.
     """
     read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.is_valid_utf8("value").alias("is_utf8"), F.col("value").cast("binary").alias("raw"))
 
@@ -86,26 +85,55 @@ def _csv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     kinds = "path string, split long, at long, is_utf8 boolean, raw binary, begin0 boolean, begin1 boolean, end0 boolean, end1 boolean"
     lines = put_aside(read.mapInArrow(walk, kinds), "csv-lines")
-    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max_by(F.struct("end0", "end1"), "at").alias("end"))
-    # a file's splits are few: their states one after the other, each as (split, lines before, state at its begin)
-    start = F.struct(F.array().cast("array<struct<split:bigint,before:bigint,quoted:boolean>>").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("quoted"))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(x["split"].alias("split"), s["n"].alias("before"), s["quoted"].alias("quoted")))).alias("out"), (s["n"] + x["n"]).alias("n"), F.when(s["quoted"], x["end"]["end1"]).otherwise(x["end"]["end0"]).alias("quoted"))
+    cp1252 = F.col("is_utf8") | ~F.decode("raw", "ISO-8859-1").rlike(f"[{_LACKING}]")
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max_by(F.struct("end0", "end1"), "at").alias("end"), F.bool_and("is_utf8").alias("utf8"), F.bool_and(cp1252).alias("cp1252"))
+    splits = put_aside(splits, "csv-splits")
+    # a file's splits are few: their states one after the other, each as (split, its first number, lines before, state at its begin)
+    start = F.struct(F.array().cast("array<struct<split:bigint,first:bigint,before:bigint,quoted:boolean>>").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("quoted"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(x["split"].alias("split"), x["first"].alias("first"), s["n"].alias("before"), s["quoted"].alias("quoted")))).alias("out"), (s["n"] + x["n"]).alias("n"), F.when(s["quoted"], x["end"]["end1"]).otherwise(x["end"]["end0"]).alias("quoted"))
     told = splits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("split", "n", "first", "end"))).alias("x")).select("path", F.explode(F.aggregate("x", start, step)["out"]).alias("s")).select("path", "s.*")
-    placed = lines.join(splits.select("path", "split", "first").join(told, ["path", "split"]), ["path", "split"])
+    placed = lines.join(F.broadcast(told), ["path", "split"])
     state = lambda c: F.when(F.col("quoted"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    out = placed.select("path", "split", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "raw", (~state("begin")).alias("opened"), (~state("end")).alias("closed"))
-    return out, _verdicts(lines)
+    out = placed.select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "raw", (~state("begin")).alias("opened"), (~state("end")).alias("closed"))
+    return out, _verdicts(splits)
 
 
 def _csv_records(lines: DataFrame) -> DataFrame:
-    """path, line (where it begins), raw: lines that a quoted field goes on over are put together."""
-    whole = lines.where("opened and closed").select("path", "line", "raw")
-    parts = put_aside(lines.where("not (opened and closed)"), "csv-parts")
-    own = F.max(F.when(F.col("opened"), F.col("line")))
-    last = parts.groupBy("path", "split").agg(own.alias("last"))
-    carried = last.select("path", "split", F.max("last").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # a row a split
-    begins = parts.withColumn("begin", own.over(Window.partitionBy("path", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["path", "split"])
-    joined = begins.groupBy("path", F.coalesce("begin", "carried").alias("first")).agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("x"))
+    """path, line (where it begins), raw: lines that a quoted field goes on over are put together.
+
+    Each task does so with the lines that it has one after the other; what
+    begins or ends in another task's is joined, two pieces a task and file or so.
+    """
+
+    def gather(batches):
+        import pyarrow as pa
+
+        held, begin, expected = [], None, None
+        for batch in batches:
+            out = []
+            for path, line, raw, opened, closed in zip(*(batch.column(c).to_pylist() for c in ("path", "line", "raw", "opened", "closed"))):
+                if held and (path, line) != expected:
+                    out.append((*begin, False, b"\n".join(held)))
+                    held = []
+                if not held:
+                    begin = (path, line, opened)
+                held.append(raw)
+                expected = (path, line + 1)
+                if closed:
+                    out.append((*begin, True, b"\n".join(held)))
+                    held = []
+            yield made(pa, out)
+        if held:
+            yield made(pa, [(*begin, False, b"\n".join(held))])
+
+    def made(pa, rows):
+        types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["path", "line", "opened", "closed", "raw"])
+
+    pieces = put_aside(lines.mapInArrow(gather, "path string, line long, opened boolean, closed boolean, raw binary"), "csv-pieces")
+    whole = pieces.where("opened and closed").select("path", "line", "raw")
+    first = F.max(F.when(F.col("opened"), F.col("line"))).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    joined = pieces.where("not (opened and closed)").withColumn("first", first).groupBy("path", "first").agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("x"))
     lists = F.transform("x", lambda x: F.decode(x["raw"], "ISO-8859-1"))  # bytes as characters, there and back
     return whole.unionByName(joined.select("path", F.col("first").alias("line"), F.encode(F.array_join(lists, "\n"), "ISO-8859-1").alias("raw")))
 
@@ -119,6 +147,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     returns alone end rows, they count on from there).
     """
     lines, verdicts = _csv_lines(spark, path)
+    verdicts = put_aside(verdicts, "csv-encodings")  # tables of a row a file are written: their size is known, so rows are not shuffled to meet them
     records = _csv_records(lines).join(verdicts, "path")
     text = _decoded(F.col("raw"), F.col("encoding"))
     records = records.select("path", "line", F.when(F.col("line") == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text).alias("text"))
@@ -158,7 +187,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     listed = files.select(bare(F.col("path")).alias("at"))
     told = listed.join(heads.withColumn("at", bare(F.col("path"))), "at", "left").select(F.coalesce("path", "at").alias("path"), "head").join(counted, "path", "left").mapInArrow(checked, "path string, head string")
-    return records.join(told, "path").mapInArrow(parse, T.StructType(fields))
+    return records.join(put_aside(told, "csv-heads"), "path").mapInArrow(parse, T.StructType(fields))
 
 
 def _csv_rows(text: str) -> list[list[str]]:

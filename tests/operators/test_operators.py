@@ -418,6 +418,25 @@ def test_csv_encodings_and_checks(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "e.csv"), ("file_name",)).collect()
 
 
+def test_csv_records_are_put_together_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Of records over many lines only those that go on in another task's lines are joined, and no row is sorted to meet its file's encoding and head."""
+    tables, aside = {}, files.put_aside
+    monkeypatch.setattr(files, "put_aside", lambda df, name, *a: tables.setdefault(name, aside(df, name, *a)))
+    (tmp_path / "a.csv").write_text("id,x\n" + "".join(f'{i},"one\ntwo, {i}\n\nthree"\n' for i in range(500)))
+    (tmp_path / "b.csv").write_text('id,x\n7,"never\nclosed')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = files.read_csv(spark, str(tmp_path), ("id", "x"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.ordinal, r.id, r.x) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([(2 + 4 * i, str(i), f"one\ntwo, {i}\n\nthree") for i in range(500)] + [(2, "7", "never\nclosed")])
+    assert "SortMergeJoin" not in plan
+    assert 0 < tables["csv-pieces"].where("not (opened and closed)").count() <= 60  # of 2,000 lines
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_csv_in_splits_equals_a_reader_of_whole_files(spark, tmp_path, seed):
     """Quoted fields over lines and splits, quotes inside plain fields, all encodings with one late odd byte, blank lines, both kinds of line ends."""

@@ -20,6 +20,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffling both sides. Spark takes a table for small by its compressed files, and would send it, and all that is made of its rows, through the driver."""
+    return df.hint("merge")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name in df.columns:

@@ -135,7 +135,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: st
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("int").alias("label"))
     known = _shared.materialize(known.withColumnRenamed("__id", "id"), "known-labels")
     rows = docs.select(F.col(id_column).alias("id"), _shared.text_of(text_column).alias("text")).where("id is not null")
-    return _shared.matching(rows, "id", known).join(known, "id").select("id", "text", "label")
+    return _shared.matching(rows, "id", known).join(_shared.merged(known), "id").select("id", "text", "label")
 
 
 def fold(id_column: str):
@@ -174,7 +174,7 @@ def unit_evidence(counts: DataFrame) -> DataFrame:
     whose counts are within the discount in both classes, likelihoods are alike.
     """
     held = counts.where("parent is not null").groupBy(F.col("parent").alias("unit")).agg(*[F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"held_{c}") for c in ("ordinary", "toxic")])
-    told = _shared.materialize(counts.where(F.greatest("ordinary", "toxic") > DISCOUNT).join(held, "unit", "left").na.fill(0.0, ["held_ordinary", "held_toxic"]), "told-units")
+    told = _shared.materialize(counts.where(F.greatest("ordinary", "toxic") > DISCOUNT).join(_shared.merged(held), "unit", "left").na.fill(0.0, ["held_ordinary", "held_toxic"]), "told-units")
     above = told.select(F.col("unit").alias("parent"), *[F.col(c).alias(f"{c}_above") for c in ("ordinary", "toxic", "words", "held_ordinary", "held_toxic")])
 
     def step(ordinary, toxic, words, above: str = ""):
@@ -185,14 +185,14 @@ def unit_evidence(counts: DataFrame) -> DataFrame:
         return F.log(F.greatest(likely("toxic", toxic), F.lit(1e-12)) / F.greatest(likely("ordinary", ordinary), F.lit(1e-12)))
 
     none = F.lit(0.0)
-    steps = told.join(above, "parent").select("unit", step(F.col("ordinary"), F.col("toxic"), F.col("words"), "_above").alias("step"))
+    steps = told.join(_shared.merged(above), "parent").select("unit", step(F.col("ordinary"), F.col("toxic"), F.col("words"), "_above").alias("step"))
     end = F.col("unit").endswith(END)
     bare = F.when(end, F.expr("substring(unit, 1, char_length(unit) - 1)")).otherwise(F.col("unit"))
     chain = F.transform(F.sequence(F.lit(1), F.least(F.char_length(bare), F.lit(DEPTH))), lambda k: F.substring(bare, F.lit(1), k))
     chain = F.when(F.char_length(bare) > 0, chain).otherwise(F.array().cast("array<string>"))
     parts = told.select(F.col("unit").alias("whole"), F.explode(F.when(end, F.array_append(chain, F.col("unit"))).otherwise(chain)).alias("unit"))
-    sums = parts.join(steps, "unit").groupBy(F.col("whole").alias("unit")).agg(F.sum("step").alias("upto"))
-    out = told.join(sums, "unit", "left").withColumn("upto", F.coalesce("upto", none))
+    sums = parts.join(_shared.merged(steps), "unit").groupBy(F.col("whole").alias("unit")).agg(F.sum("step").alias("upto"))
+    out = told.join(_shared.merged(sums), "unit", "left").withColumn("upto", F.coalesce("upto", none))
     return out.select("unit", F.xxhash64("unit").alias("key"), "upto", (F.col("upto") + step(none, none, none)).alias("beyond"))
 
 
@@ -271,12 +271,12 @@ def _sums_by_join(rows: DataFrame, model: Model) -> DataFrame:
     whole = F.array(F.struct(F.lit(DEPTH + 1).alias("k"), F.xxhash64(F.concat("word", F.lit(END))).alias("key")))
     steps = tokens.select("word").distinct().select("word", F.inline(F.concat(chain, whole)))
     told = F.when(F.col("k") > DEPTH, F.col("upto")).otherwise(F.col("beyond"))
-    known = steps.join(model.units.select("key", "upto", "beyond"), "key").groupBy("word").agg(F.max_by(told, "k").alias("each"))
-    each = tokens.join(known, "word", "left").withColumn("each", F.coalesce("each", F.lit(model.root)))
+    known = steps.join(_shared.merged(model.units.select("key", "upto", "beyond")), "key").groupBy("word").agg(F.max_by(told, "k").alias("each"))
+    each = tokens.join(_shared.merged(known), "word", "left").withColumn("each", F.coalesce("each", F.lit(model.root)))
     strong, of = F.col("each") > STRONG, lambda c: F.sum(F.col("times") * c).cast("double")
     none = F.lit(0.0)
     sums = each.groupBy("__a", "__b").agg(of(F.when(strong, F.col("each")).otherwise(none)).alias("strong"), of(strong.cast("int")).alias("strong_words"), of(F.col("each")).alias("evidence"), F.sum("times").cast("double").alias("n"))
-    return keyed.select(*keep, "__a", "__b").join(sums, ["__a", "__b"], "left").select(*keep, *[F.coalesce(c, none).alias(c) for c in SUMS])
+    return keyed.select(*keep, "__a", "__b").join(_shared.merged(sums), ["__a", "__b"], "left").select(*keep, *[F.coalesce(c, none).alias(c) for c in SUMS])
 
 
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from siltstone.llm import quality as Q
 from siltstone.llm.quality import META_SIZE, TEXT_SIZE, co_train, meta_features, score_quality, taught, text_features
 from siltstone.llm.queries import tokenizer_path
 from siltstone.llm.tokens import read_tokens, token_index, write_tokens
-from siltstone.llm.toxicity import DEPTH, DISCOUNT, END, SIGNS, drop_toxic, fold, score_toxicity, train, word_evidence
+from siltstone.llm.toxicity import DEPTH, DISCOUNT, END, SIGNS, _sums_by_join, drop_toxic, fold, labelled, score_toxicity, train, unit_counts, unit_evidence, word_evidence
 
 
 @pytest.fixture(scope="module")
@@ -192,6 +192,18 @@ def test_toxicity_counts_by_hand_and_both_ways(spark):
     assert scores[0] == scores[1] and len(scores[0]) == docs.count()
 
 
+def test_toxicity_broadcasts_no_counts(spark):
+    """Tables that grow with the text are small files and large in memory: none goes through the driver by what Spark takes its size for."""
+    docs, labels, _ = toxic_table(spark)
+    model = train(docs, labels, most_sent=0)
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    planned = [unit_evidence(unit_counts(rows.withColumn("label", F.lit(1)))), _sums_by_join(rows, model), labelled(docs, labels, "doc_id", "text", "toxic")]
+    for df in planned:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent = [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "__bucket" not in x]  # filter bits are sent, and bounded
+        assert "SortMergeJoin" in plan and not sent
+
+
 @pytest.mark.parametrize("some", [None, 0, 1])
 def test_toxicity_without_both_labels(spark, some):
     docs, labels, _ = toxic_table(spark, 60)

@@ -83,6 +83,19 @@ def test_whole_shuffle_keeps_all_columns(spark):
     assert sorted((r.ord, r.id, r.text) for r in U.seeded_subset(rows, 0, 1, "id").collect()) == [(i, r.id, r.text) for i, r in enumerate(sorted(rows.collect(), key=lambda r: __import__("hashlib").sha1(f"1:{r.id}".encode()).hexdigest()))]
 
 
+def test_few_pairs_are_compared(spark):
+    """Large sets that share a rare token each, beside half of their frequent ones: sketches are full, and a shared first token alone sends no pair to be compared."""
+    sets = [(i, [f"own{i}-{k}" for k in range(250)] + [f"rare{i // 2}"] + [f"some{k}" for k in range(700) if (k * 7919 + i * 104729) % 13 < 7]) for i in range(40)]
+    sets += [(100, sets[0][1][30:] + ["x"]), (101, sets[0][1][20:] + ["y"])]
+    rows = [(i, len(t), sorted({w for w in t if sum(w in u for _, u in sets) > 1})) for i, t in sets]
+    order = {w: k for k, w in enumerate(sorted({w for _, _, x in rows for w in x}, key=lambda w: (sum(w in u for _, u in sets), w)))}
+    placed = spark.createDataFrame([(i, n, sorted(order[w] for w in x)) for i, n, x in rows], "rep long, n int, x array<long>").withColumns({c: F.lit(0).cast("long") for c in U._ODD})
+    got = {(r.a, r.b) for r in U.candidate_pairs(placed, 0.7).collect()}
+    assert got == {(0, 100), (0, 101), (100, 101)}
+    frame = spark.createDataFrame(sets, "id long, tokens array<string>")
+    assert {(r.a, r.b) for r in U.similar_pairs(frame, 0.7).collect()} == got
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_similar_pairs_against_brute_force(spark, threshold):
     rng = np.random.default_rng(7)

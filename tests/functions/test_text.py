@@ -108,3 +108,14 @@ def test_caption_groups(spark):
     rows = spark.createDataFrame([(i, json.dumps(c, ensure_ascii=False)) for i, c in enumerate(cases)] + [(99, None), (98, "no json")], "i int, t string")
     got = {r.i: r.g for r in rows.select("i", X.caption_groups(F.col("t")).alias("g")).collect()}
     assert got == {i: plain(c) for i, c in enumerate(cases)} | {99: [], 98: []}
+
+
+def test_phrases_are_found_as_they_stand_or_folded(spark):
+    """What stands letter by letter needs no folding; half a letter, a mark and the end of a quotation are no short cut."""
+    cases = [
+        (["a dog barks", "at cars"], "dog barks", True), (["a dog barks", "at cars"], "barks at", False), (["a dog barks"], "og barks", False), (["a dog barks"], "DOG  barks!", True), (["the a is"], "the", False),
+        (["x\U0001d4b3y"], "y", False), (["\U0001f600y z"], "y", True), (["a \x01 b"], "a \x01 b", True), (["x", "y"], "x \x01 y", False), (["dog\\E cat"], "dog\\E cat", True), (["stra\u00dfe"], "STRASSE", True), (["dog(s) [run"], "dog(s) [run", True), (["dog"], "", False), (["dog"], "-", False),
+    ]
+    rows = spark.createDataFrame([(i, c, p) for i, (c, p, _) in enumerate(cases)], "i int, c array<string>, p string")
+    got = {r.i: (r.one, r.other) for r in rows.select("i", X.is_grounded(F.col("c"), F.col("p")).alias("one"), X.is_said(X.as_one(F.col("c")), F.col("p")).alias("other")).collect()}
+    assert [got[i] for i in range(len(cases))] == [(held, held) for _, _, held in cases]

@@ -184,3 +184,16 @@ def test_captions_end_at_the_first_stage(spark, monkeypatch):
     judged = [df for name, df in seen if name == "judged"]
     assert judged[0].where("audio_captions is not null").count() > 0
     assert judged[-1].count() > 0 and judged[-1].where("audio_captions is not null or audio_context is null").isEmpty()
+
+
+def test_captions_are_joined_once(spark, monkeypatch):
+    """A source's captions go through the first stage as one text, and what later prompts show of them is not empty."""
+    from siltstone.plans import catalogue
+
+    seen, plain = [], G.put_aside
+    monkeypatch.setattr(G, "put_aside", lambda df, name="table", *args, **options: seen.append((name, plain(df, name, *args, **options))) or seen[-1][1])
+    catalogue._run_chain(spark, "/root/testdata/sf0.001")
+    judged = [df for name, df in seen if name == "judged"]
+    assert judged[0].where("size(audio_captions[0]) > 1").isEmpty()
+    shown = judged[-1].agg(F.count("*").alias("n"), F.count_if(F.col("audio_context").rlike(r"^AUDIO_1 captions:\n- \S") & ~F.col("audio_context").endswith("- none")).alias("full")).first()
+    assert shown["n"] == shown["full"] > 0
